@@ -54,17 +54,18 @@ from (select event_id, event_type,
 """
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TRACKS_SQL, events=_events(spark, sf_dir))
+    return spark.sql(TRACKS_SQL, events=events(spark, sf_dir))
 
 
 def raw_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_SQL, events=_events(spark, sf_dir))
+    return spark.sql(RAW_SQL, events=events(spark, sf_dir))
 
 
 def gates(spark: SparkSession) -> DataFrame:
