@@ -264,11 +264,11 @@ def k5(spark, sf_dir):
     return stats.levene(arrival(spark, sf_dir), "rank", "animal_id").select("n", "k", F.round("f", 4).alias("f"), "df1", "df2")
 
 
-@query("k5_levene_price", levene_sql("lineitem", "l_extendedprice", "l_shipmode"))
+@query("k5_levene_price", levene_sql("lineitem", "l_extendedprice", "l_returnflag"))
 def k5_price(spark, sf_dir):
     """Medians and spreads of a column with many distinct values."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipmode", "l_extendedprice")
-    out = stats.levene(items, "l_extendedprice", "l_shipmode")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_extendedprice")
+    out = stats.levene(items, "l_extendedprice", "l_returnflag")
     return out.select("n", "k", F.round("f", 4).alias("f"), "df1", "df2")
 
 
@@ -337,17 +337,17 @@ def weather(spark, sf_dir):
     return seen.select("time", (F.lit(24.0) - F.abs(F.hour("time") - 14) + F.col("n") % 5).alias("temp_c"))
 
 
-WEATHER = "(select date_trunc('hour', ts) as hour, 24.0::double - abs(extract(hour from date_trunc('hour', any_value(ts))) - 14) + count(*) % 5 - 6.5::double * (2000.0::double - 1700.0::double) / 1000.0::double as temp_c from events group by 1)"
+WEATHER = "(select date_trunc('hour', ts) as full_hour, 24.0::double - abs(extract(hour from date_trunc('hour', any_value(ts))) - 14) + count(*) % 5 - 6.5::double * (2000.0::double - 1700.0::double) / 1000.0::double as temp_c from events group by 1)"
 CATEGORY = "case when temp_c < 16 then 'comfort' when temp_c < 22 then 'warm' when temp_c is not null then 'hot' end"
 
 
-@query("x1_temperature", f"select event_id, round(temp_c, 6) as temp_c from tracks left join {WEATHER} on hour = date_trunc('hour', time)")
+@query("x1_temperature", f"select event_id, round(temp_c, 6) as temp_c from tracks left join {WEATHER} on full_hour = date_trunc('hour', time)")
 def x1(spark, sf_dir):
     timed = movement.temperature_at(data.tracks(spark, sf_dir), weather(spark, sf_dir), "time", 1700.0, 2000.0)
     return timed.select("event_id", F.round("temp_c", 6).alias("temp_c"))
 
 
-@query("x2_temperature_category", f"select event_id, {CATEGORY} as category from tracks left join {WEATHER} on hour = date_trunc('hour', time)")
+@query("x2_temperature_category", f"select event_id, {CATEGORY} as category from tracks left join {WEATHER} on full_hour = date_trunc('hour', time)")
 def x2(spark, sf_dir):
     timed = movement.temperature_at(data.tracks(spark, sf_dir), weather(spark, sf_dir), "time", 1700.0, 2000.0)
     return timed.select("event_id", movement.temperature_category(F.col("temp_c")).alias("category"))
@@ -365,7 +365,7 @@ def x3(spark, sf_dir):
 
 @query(
     "x3_section_duration_by_temperature",
-    f"select section, category, round(avg(duration_s), 4) as mean_s, count(*) as n from (select *, {CATEGORY} as category from {SECTIONS} left join {WEATHER} on hour = date_trunc('hour', entered)) group by all",
+    f"select section, category, round(avg(duration_s), 4) as mean_s, count(*) as n from (select *, {CATEGORY} as category from {SECTIONS} left join {WEATHER} on full_hour = date_trunc('hour', entered)) group by all",
 )
 def x3_temperature(spark, sf_dir):
     timed = movement.temperature_at(x3(spark, sf_dir), weather(spark, sf_dir), "entered", 1700.0, 2000.0)
@@ -399,7 +399,7 @@ def x5(spark, sf_dir):
 
 @query(
     "x6_sinuosity",
-    "select session_id, animal_id, direction, route, round(sum(steplength), 4) as walked_m, round(sum(steplength) / 1400.0::double, 6) as sinuosity from trips group by all",
+    "select session_id, animal_id, direction, route, round(sum(steplength), 4) as walked_m, round(sum(steplength) / any_value(case when route is not null then 1400.0::double end), 6) as sinuosity from trips group by session_id, animal_id, direction, route",
 )
 def x6(spark, sf_dir):
     out = movement.sinuosity(data.study(spark, sf_dir).trips, data.routes(spark))
@@ -422,7 +422,7 @@ def x7(spark, sf_dir):
 )
 def x7_forward(spark, sf_dir):
     study = data.study(spark, sf_dir)
-    start, end = (routes.gate_line(study.setting.gates, no) for no in (0, 6))
+    start, end = routes.gate_lines(study.setting.gates, 0, 6)
     return movement.forward_share(study.trips, start, end).withColumn("forward_share", F.round("forward_share", 6))
 
 
@@ -454,7 +454,7 @@ def x12(spark, sf_dir):
 
 @query(
     "x12_rank_change_by_temperature",
-    f"select category, round(avg(abs(change)), 4) as mean_change, count(change) as n from (select *, {CATEGORY} as category from {CHANGES} left join {WEATHER} on hour = date_trunc('hour', first_time)) group by all",
+    f"select category, round(avg(abs(change)), 4) as mean_change, count(change) as n from (select *, {CATEGORY} as category from {CHANGES} left join {WEATHER} on full_hour = date_trunc('hour', first_time)) group by all",
 )
 def x12_temperature(spark, sf_dir):
     changed = movement.rank_changes(data.study(spark, sf_dir).ranked)

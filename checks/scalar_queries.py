@@ -265,7 +265,7 @@ def c9(spark, sf_dir):
 @query("c10_any_gate_crossed", "select event_id, cs as crosses_start, ce as crosses_end from met where cs or ce")
 def c10(spark, sf_dir):
     study = data.study(spark, sf_dir)
-    start, end = (routes.gate_line(study.setting.gates, no) for no in (0, 6))
+    start, end = routes.gate_lines(study.setting.gates, 0, 6)
     return trips.gate_events(study.segments, start, end).select("event_id", "crosses_start", "crosses_end")
 
 

@@ -187,7 +187,7 @@ def e7(spark, sf_dir):
     f"select event_id, route, min({point_line('x', 'y', 'x1', 'y1', 'w.x2', 'w.y2')}) as dist from (select event_id, x, y from tracks) t, ways w group by all",
 )
 def e8(spark, sf_dir):
-    return trips.route_distances(data.tracks(spark, sf_dir), data.routes(spark), ["event_id"])
+    return trips.route_distances(data.tracks(spark, sf_dir), data.routes(spark), ["trail", "road"], ["event_id"])
 
 
 @query(

@@ -81,16 +81,6 @@ def point_segment_distance(x: Column, y: Column, line: Line) -> Column:
     return distance(x, y, line.x1 + t * dx, line.y1 + t * dy)
 
 
-def point_polyline_distance(x: Column, y: Column, lines: Column) -> Column:
-    """Least distance to an array<struct<x1,y1,x2,y2>>."""
-    return F.array_min(
-        F.transform(
-            lines,
-            lambda s: point_segment_distance(x, y, Line(s["x1"], s["y1"], s["x2"], s["y2"])),
-        )
-    )
-
-
 # The published approximate formulas of the Swiss federal
 # mapping agency between the LV95 grid and WGS84 degrees (about 1 m).
 def lv95_to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:

@@ -65,8 +65,11 @@ def crossings(trips: DataFrame, gates: DataFrame) -> DataFrame:
 
 
 def rank_at_gates(cr: DataFrame, by: list[str] = GATE_GROUP) -> DataFrame:
-    """Adds each animal's rank (ties share the mean) and gap in seconds to the first."""
-    timed = materialise(cr.filter(F.col("crossing_time").isNotNull()))
+    """Adds each animal's rank (ties share the mean) and gap in seconds to the first.
+
+    Reads ``cr`` several times: pass a written table.
+    """
+    timed = cr.filter(F.col("crossing_time").isNotNull())
     first = materialise(timed.groupBy(*by).agg(F.min("crossing_time").alias("_first_time")))
     ranked = mid_ranks(timed, by, "crossing_time", "rank", time_chunk("crossing_time"))
     gap = seconds_between(F.col("_first_time"), F.col("crossing_time"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackflow.functions.columns import breed_from_animal
 from trackflow.functions.geometry import distance
 from trackflow.operators.snapshots import SNAPSHOT
-from trackflow.operators.tables import attach, materialise
+from trackflow.operators.tables import attach, materialise, row_count
 
 HOT_GROUP = 1000
 # Fixed value: animals within five metres are together.
@@ -23,7 +23,7 @@ def group_join(left: DataFrame, right: DataFrame, on: list[str], condition: Colu
     """
     sizes = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_GROUP)
     hot = materialise(sizes.select(*on, F.ceil(F.col("_n") / F.lit(HOT_GROUP)).alias("_parts")))
-    if hot.isEmpty():
+    if row_count(hot) == 0:
         return left.join(right, on).filter(condition)
     parts = F.coalesce(F.col("_parts"), F.lit(1).cast("bigint"))
     right_columns = right.columns
@@ -130,7 +130,8 @@ def pair_matrix(pairs: DataFrame, animals: DataFrame) -> DataFrame:
 def matrix_to_pairs(matrix: DataFrame) -> DataFrame:
     """The upper triangle of a named matrix as pairs, with the pair type."""
     names = [c for c in matrix.columns if c != "animal_id"]
-    long = matrix.unpivot("animal_id", names, "b", "n").withColumnRenamed("animal_id", "a")
+    cells = F.array(*[F.struct(F.lit(n).alias("b"), F.col(n).cast("bigint").alias("n")) for n in names])
+    long = matrix.select(F.col("animal_id").alias("a"), F.explode(cells).alias("_cell")).select("a", "_cell.*")
     return same_breed(long.filter(F.col("a") < F.col("b")))
 
 

@@ -2,10 +2,9 @@
 
 A plain window hands each group to one task. Here every group is cut into
 chunks by an expression that never decreases along the order (a time bucket, a
-value range). Windows run per (group, chunk), and what a chunk needs from the
-others (the neighbouring rows, the total so far) is added to it as a few
-extra rows. The chunk edges come from a partial aggregate, so the data itself
-is shuffled once.
+value range), and windows run per (group, chunk). Only the rows at the chunk
+edges, or the chunk totals, meet in a window per group. The rows themselves are
+shuffled once.
 """
 
 from __future__ import annotations
@@ -40,53 +39,32 @@ def neighbours(
     ``wanted`` maps a new column to (column, offset). ``order`` must be total
     within a group.
     """
-    depth_after = max([o for _, o in wanted.values() if o > 0], default=0)
-    depth_before = max([-o for _, o in wanted.values() if o < 0], default=0)
-    part = [*keys, "_chunk"]
-    carried = list(dict.fromkeys([*order, *[c for c, _ in wanted.values()]]))
-    carried = [c for c in carried if c not in keys]
-    chunked = df.withColumn("_chunk", chunk)
-    edges = _edge_rows(chunked, part, keys, order, carried, depth_before, depth_after)
-    both = chunked.withColumn("_edge", F.lit(False)).unionByName(edges, allowMissingColumns=True)
-    w = Window.partitionBy(*part).orderBy(*order)
-    shifted = {
-        name: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(w) for name, (c, o) in wanted.items()
+    offsets = {o for _, o in wanted.values()}
+    # A row looking ``o`` ahead past its chunk's end needs the next chunk's
+    # first ``o`` rows, so both ends count as edges.
+    reach = max(abs(o) for o in offsets)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    along = Window.partitionBy(*keys).orderBy(*order)
+
+    def shift(what: Column | str, offset: int, w) -> Column:
+        return (F.lead(what, offset) if offset > 0 else F.lag(what, -offset)).over(w)
+
+    def known(offset: int) -> Column:
+        return F.col(f"_in_{offset}").isNotNull()
+
+    flags = {f"_in_{o}": shift(F.lit(1), o, inside) for o in sorted(offsets | {reach, -reach})}
+    near = df.withColumn("_chunk", chunk).withColumns(
+        {**{name: shift(c, o, inside) for name, (c, o) in wanted.items()}, **flags}
+    )
+    whole = known(reach) & known(-reach)
+    # The first and last rows of all chunks, in order: from a row near a
+    # chunk's end the next ones here are the next ones of the group.
+    edges = near.filter(~whole)
+    filled = {
+        name: F.when(known(o), F.col(name)).otherwise(shift(c, o, along)) for name, (c, o) in wanted.items()
     }
-    return both.withColumns(shifted).filter(~F.col("_edge")).drop("_edge", "_chunk")
-
-
-def _edge_rows(chunked, part, keys, order, carried, before, after) -> DataFrame:
-    """The rows just outside each chunk, filed under that chunk."""
-    row = F.struct(*carried)
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    if before <= 1 and after <= 1:
-        at = F.struct(*order)
-        ends = chunked.groupBy(*part).agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
-        outside = []
-        if after:
-            outside.append(F.lead("_first").over(along))
-        if before:
-            outside.append(F.lag("_last").over(along))
-        rows = F.array_compact(F.array(*outside))
-    else:
-        n = max(before, after)
-        w = Window.partitionBy(*part)
-        up = F.row_number().over(w.orderBy(*order))
-        down = F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))
-        ordered_row = F.struct(*order, *[c for c in carried if c not in order])
-
-        def ends_of(rank: Column, name: str) -> DataFrame:
-            kept = chunked.withColumn("_rank", rank).filter(F.col("_rank") <= n)
-            return kept.groupBy(*part).agg(F.sort_array(F.collect_list(ordered_row)).alias(name))
-
-        ends = ends_of(up, "_firsts").join(ends_of(down, "_lasts"), part)
-        following = F.flatten(F.collect_list("_firsts").over(along.rowsBetween(1, n)))
-        preceding = F.flatten(F.collect_list("_lasts").over(along.rowsBetween(-n, -1)))
-        rows = F.concat(
-            F.slice(following, 1, n), F.slice(F.reverse(preceding), 1, n)
-        )
-    placed = ends.withColumn("_rows", rows).select(*part, F.explode("_rows").alias("_row"))
-    return placed.select(*part, "_row.*", F.lit(True).alias("_edge"))
+    both = near.filter(whole).unionByName(edges.withColumns(filled))
+    return both.drop("_chunk", *flags)
 
 
 def running_total(
@@ -133,11 +111,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, chunk: Column |
     """Per group and distinct value: its count ``n`` and the running count ``upto``.
 
     A value held by any number of rows is one row after the partial aggregate.
+    Without a ``chunk`` the counts are written, to cut the values into ranges.
     """
-    counted = materialise(
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     if chunk is None:
+        counted = materialise(counted)
         chunk = value_chunk(counted, value)
     return running_total(counted, keys, [value], F.col("n"), chunk, "upto")
 
@@ -148,12 +126,8 @@ def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, chunk:
     Rows without a value have no rank.
     """
     counts = value_counts(df, keys, value, chunk)
-    ranks = materialise(
-        counts.select(
-            *keys, value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias(name)
-        )
-    )
-    return attach(df, ranks, [*keys, value])
+    rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)
+    return df.join(counts.select(*keys, value, rank.alias(name)), [*keys, value], "left")
 
 
 def quantiles(

@@ -153,9 +153,13 @@ def elevation_profile(
     return elevation_join(scaled, dem, cell).select("route", "seq", "elevation", "gate_scale")
 
 
-def gate_line(gates: DataFrame, gate_no: int) -> Line:
-    """The coordinates of one gate, which all routes must share."""
-    rows = gates.filter(F.col("gate_no") == gate_no).select("x1", "y1", "x2", "y2").distinct().head(2)
-    if len(rows) != 1:
-        raise ValueError(f"gate {gate_no} must be one line, found {len(rows) or 'none'}")
-    return Line(*rows[0])
+def gate_lines(gates: DataFrame, *numbers: int) -> list[Line]:
+    """The coordinates of the numbered gates, each of which all routes must share."""
+    rows = gates.filter(F.col("gate_no").isin(list(numbers))).select("gate_no", "x1", "y1", "x2", "y2").collect()
+    found: dict[int, set[Line]] = {no: set() for no in numbers}
+    for row in rows:
+        found[row["gate_no"]].add(Line(*row[1:]))
+    odd = [no for no, lines in found.items() if len(lines) != 1]
+    if odd:
+        raise ValueError(f"gates {odd} must be one line each")
+    return [next(iter(found[no])) for no in numbers]

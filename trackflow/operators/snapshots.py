@@ -43,12 +43,12 @@ def asof_last(fixes: DataFrame, refs: DataFrame, keys: list[str], by: list[str])
     ``refs`` has ``keys``, ref_time and any further columns. Of fixes with the
     same time the first (lowest event_id) counts.
     """
-    group = [*keys, *by, "time"]
-    rest = [c for c in fixes.columns if c not in group]
-    first = fixes.groupBy(*group).agg(F.min_by(F.struct(*rest), F.col("event_id")).alias("_row"))
-    first = first.select(*group, "_row.*")
-    spans = neighbours(first, [*keys, *by], ["time"], {"_until": ("time", 1)}, time_chunk())
-    return _match_spans(spans.withColumn("_from", F.col("time")), refs, keys).drop("_from", "_until")
+    # Equal times in falling event_id: only the last of them, the lowest id,
+    # has a span that is not empty.
+    ordered = fixes.withColumn("_down", -F.col("event_id"))
+    spans = neighbours(ordered, [*keys, *by], ["time", "_down"], {"_until": ("time", 1)}, time_chunk())
+    spans = spans.filter(F.col("_until").isNull() | (F.col("time") < F.col("_until")))
+    return _match_spans(spans.withColumn("_from", F.col("time")), refs, keys).drop("_from", "_until", "_down")
 
 
 def asof_nearest(fixes: DataFrame, refs: DataFrame, keys: list[str], by: list[str], ties: bool = True) -> DataFrame:

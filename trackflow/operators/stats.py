@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trackflow.functions.tails import chi2_tail, f_tail, t_two_sided
 from trackflow.operators.network import all_pairs
 from trackflow.operators.ordered import quantiles, running_total, value_chunk, value_counts
-from trackflow.operators.tables import attach, materialise
+from trackflow.operators.tables import attach, materialise, row_count
 
 # Permutation count and the tolerance for equal correlations.
 PERMUTATIONS = 999
@@ -127,7 +127,7 @@ def letter_groups(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     one = attach(apart, place.select(F.col("_g").alias("a"), F.col("_p").alias("pa")), ["a"])
     two = attach(one, place.select(F.col("_g").alias("b"), F.col("_p").alias("pb")), ["b"])
     stop = two.groupBy(F.least("pa", "pb").alias("place")).agg((F.min(F.greatest("pa", "pb")) - 1).alias("_stop"))
-    size = placed.count()
+    size = row_count(placed)
     reach = placed.join(stop, "place", "left").withColumn("_stop", F.coalesce("_stop", F.lit(size)))
     reach = materialise(reach.select("place", "_stop"))
     from trackflow.operators.ordered import neighbours, seq_chunk

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
@@ -39,11 +39,23 @@ def working_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once and returns a DataFrame that reads it back."""
+    """Writes ``df`` once and returns a DataFrame that reads it back.
+
+    The rows are counted as they are written; ``row_count`` knows them.
+    """
     spark = df.sparkSession
     path = f"{working_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._row_count = seen.get["rows"]
+    return written
+
+
+def row_count(df: DataFrame) -> int:
+    """The number of rows, without a job for a table just written by ``materialise``."""
+    known = getattr(df, "_row_count", None)
+    return df.count() if known is None else known
 
 
 def drop_working_tables(spark: SparkSession) -> None:
@@ -71,7 +83,7 @@ def attach(
     not end in one task. Both ways give the same rows. ``how`` is inner, left,
     left_semi or left_anti; ``condition`` restricts the match further.
     """
-    if dim.count() <= max_broadcast_rows:
+    if row_count(dim) <= max_broadcast_rows:
         left, right, on = fact, F.broadcast(dim), list(keys)
     else:
         spread_by = ["event_id"] if "event_id" in fact.columns else fact.columns

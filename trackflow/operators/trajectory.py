@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trackflow.functions.columns import AUXILIARY_SUFFIX, seconds_between
 from trackflow.functions.geometry import distance
 from trackflow.operators.ordered import neighbours, running_total, seq_chunk, time_chunk
-from trackflow.operators.tables import materialise
+from trackflow.operators.tables import materialise, row_count
 
 TRACK = ["session_id", "animal_id"]
 ORDER = ["time", "event_id"]
@@ -101,7 +101,7 @@ def drop_speed_outliers(
         seen = _with_segment(neighbours(active, keys, ORDER, around, chunk))
         judged = materialise(seen.withColumn("_keep", slow_out & slow_in).drop("_time0", "_x0", "_y0"))
         changed = materialise(judged.filter(~F.col("_keep")).select(*keys).distinct())
-        if changed.isEmpty():
+        if row_count(changed) == 0:
             final.append(judged.drop("_keep"))
             break
         # Both sides are written tables: Spark broadcasts ``changed`` only if

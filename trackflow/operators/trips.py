@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackflow.functions.columns import shift_seconds
-from trackflow.functions.geometry import Line, intersects, point_polyline_distance, segment_columns
+from trackflow.functions.geometry import Line, intersects, point_segment_distance, segment_columns
 from trackflow.operators.ordered import neighbours, time_chunk
 from trackflow.operators.tables import attach, materialise
 from trackflow.operators.trajectory import ORDER, TRACK
@@ -14,7 +14,6 @@ from trackflow.operators.trajectory import ORDER, TRACK
 OUT, BACK = "out", "back"
 # Fixed value: a trip's window is widened by two minutes on both sides.
 BUFFER_SECONDS = 120
-PIECE = 512
 
 
 def gate_events(segs: DataFrame, start: Line, end: Line) -> DataFrame:
@@ -103,27 +102,26 @@ def keep_complete(trips: DataFrame, complete: DataFrame) -> DataFrame:
     return known.filter(whole).drop("out_complete", "back_complete")
 
 
-def route_pieces(routes: DataFrame) -> DataFrame:
-    """Route polylines as arrays of at most ``PIECE`` segments: (route, piece, lines)."""
-    from trackflow.operators.ordered import seq_chunk
+def route_lines(routes: DataFrame) -> DataFrame:
+    """The segments of route polylines: (route, seq, x1, y1, x2, y2).
+
+    Vertices are numbered without gaps, so a segment's end is the next number.
+    """
+    ends = routes.select("route", (F.col("seq") - 1).alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return routes.join(ends, ["route", "seq"]).select("route", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
-    ends = neighbours(routes, ["route"], ["seq"], {"_x2": ("x", 1), "_y2": ("y", 1)}, seq_chunk())
-    line = F.struct(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("_x2").alias("x2"), F.col("_y2").alias("y2"))
-    lines = ends.filter(F.col("_x2").isNotNull()).select("route", F.floor(F.col("seq") / PIECE).alias("piece"), line.alias("line"))
-    return materialise(lines.groupBy("route", "piece").agg(F.collect_list("line").alias("lines")))
 
+def route_distances(fixes: DataFrame, routes: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Distance of every fix to each named route: (*columns, route, dist). ``columns`` must name a fix.
 
-def route_distances(fixes: DataFrame, routes: DataFrame, columns: list[str]) -> DataFrame:
-    """Distance of every fix to every route: (*columns, route, dist). ``columns`` must name a fix."""
-    pieces = route_pieces(routes)
-    names = [r["route"] for r in routes.select("route").distinct().orderBy("route").collect()]
+    Every fix meets the segments of a route inside one task, which keeps only
+    the least distance before anything is shuffled.
+    """
+    lines = materialise(route_lines(routes.filter(F.col("route").isin(names))))
     asked = fixes.select(*columns, "x", "y", F.explode(F.array(*[F.lit(n) for n in names])).alias("route"))
-    to_piece = attach(asked, pieces, ["route"], "inner")
-    far = point_polyline_distance(F.col("x"), F.col("y"), F.col("lines"))
-    measured = to_piece.select(*columns, "route", far.alias("dist"))
-    if pieces.count() == len(names):
-        return measured
-    return measured.groupBy(*columns, "route").agg(F.min("dist").alias("dist"))
+    met = attach(asked, lines.drop("seq"), ["route"], "inner")
+    far = point_segment_distance(F.col("x"), F.col("y"), Line(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    return met.groupBy(*columns, "route").agg(F.min(far).alias("dist"))
 
 
 def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: str, road: str) -> DataFrame:
@@ -131,7 +129,7 @@ def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: st
 
     Only fixes inside the open band between the start and end gates count.
     """
-    per_fix = route_distances(trips.filter(in_band), routes, ["session_id", "direction", "event_id"])
+    per_fix = route_distances(trips.filter(in_band), routes, [trail, road], ["session_id", "direction", "event_id"])
     mean = per_fix.groupBy("session_id", "direction").agg(
         F.avg(F.when(F.col("route") == trail, F.col("dist"))).alias("mean_dist_trail"),
         F.avg(F.when(F.col("route") == road, F.col("dist"))).alias("mean_dist_road"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackflow.operators import crossings, network, snapshots, stats, trajectory, trips
 from trackflow.operators.clusters import SEED, snapshot_clusters
-from trackflow.operators.routes import gate_line
+from trackflow.operators.routes import gate_lines
 from trackflow.operators.tables import materialise
 
 
@@ -50,8 +50,7 @@ class Study:
 
     @cached_property
     def events(self) -> DataFrame:
-        start = gate_line(self.setting.gates, self.setting.start_gate)
-        end = gate_line(self.setting.gates, self.setting.end_gate)
+        start, end = gate_lines(self.setting.gates, self.setting.start_gate, self.setting.end_gate)
         return materialise(trips.trip_events(self.segments, start, end))
 
     @cached_property
