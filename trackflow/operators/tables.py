@@ -89,8 +89,8 @@ def attach(
         spread_by = ["event_id"] if "event_id" in fact.columns else fact.columns
         spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
         left = fact.withColumn("_salt", spread)
-        every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = dim.withColumn("_salt", every_salt.cast("bigint"))
+        every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+        right = dim.withColumn("_salt", F.explode(every_salt))
         on = [*keys, "_salt"]
     if condition is None:
         joined = left.join(right, on, how)
