@@ -72,3 +72,27 @@ def test_smooth_copies_the_nearest_mean_to_the_ends(spark):
 def test_moving_keeps_unknown_steps(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.1), (3, None)], "event_id long, steplength double")
     assert kept(trajectory.moving(df)) == [2, 3]
+
+
+@pytest.mark.parametrize("seed, chunk", [(1, 30), (2, 120), (3, 3600), (4, 60)])
+def test_cleaning_against_row_by_row(spark, seed, chunk):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows, want = [], []
+    for animal in ("HO01", "HO02", "HO03"):
+        n = 150 if animal == "HO01" else 20
+        times = np.sort(rng.integers(0, n * 6, n))
+        xs = np.cumsum(rng.normal(0, 12, n)) + np.where(rng.random(n) < 0.25, rng.normal(0, 120, n), 0)
+        own = [(len(rows) + i, int(t), float(x)) for i, (t, x) in enumerate(zip(times, xs))]
+        want += plain_clean(own, 7.0)
+        rows += [(i, animal, t, x) for i, t, x in own]
+    df = spark.createDataFrame(rows, "event_id long, animal_id string, s long, x double").selectExpr(
+        "event_id", "'a' as session_id", "animal_id", "timestamp_seconds(s) as time", "x", "0D as y"
+    )
+    cleaned = trajectory.drop_speed_outliers(df, 7.0, chunk=time_chunk(seconds=chunk))
+    assert kept(cleaned) == sorted(want) and len(want) < len(rows)
+    # The segments are those of the remaining fixes.
+    again = trajectory.segments(df.filter(F.col("event_id").isin(want)))
+    columns = ["event_id", "time2", "x2", "y2", "timelag", "steplength", "speed"]
+    assert sorted(map(tuple, cleaned.select(*columns).collect()), key=repr) == sorted(map(tuple, again.select(*columns).collect()), key=repr)

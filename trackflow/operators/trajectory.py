@@ -7,6 +7,7 @@ equal times, event_id.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from trackflow.functions.columns import AUXILIARY_SUFFIX, seconds_between
 from trackflow.functions.geometry import distance
 from trackflow.operators.ordered import neighbours, running_total, seq_chunk, time_chunk
-from trackflow.operators.tables import materialise, row_count
+from trackflow.operators.tables import attach, materialise, row_count
 
 TRACK = ["session_id", "animal_id"]
 ORDER = ["time", "event_id"]
@@ -74,41 +75,118 @@ def segments(df: DataFrame, keys: list[str] = TRACK, chunk: Column | None = None
     return _with_segment(neighbours(df, keys, ORDER, ahead, time_chunk() if chunk is None else chunk))
 
 
+def _slow(a: str, b: str, max_speed: float) -> Column:
+    """The way from the place with suffix ``a`` to the one with ``b`` is slow enough or unknown."""
+    step = distance(F.col(f"x{a}"), F.col(f"y{a}"), F.col(f"x{b}"), F.col(f"y{b}"))
+    seconds = seconds_between(F.col(f"time{a}"), F.col(f"time{b}"))
+    return F.coalesce(_speed(step, seconds) < max_speed, F.lit(True))
+
+
+def _places(*offsets: int) -> dict[str, tuple[str, int]]:
+    """Neighbour columns time_1, x_1, y_1, id_1 (one after), time_b1 (one before), ..."""
+    names = {o: f"_{o}" if o > 0 else f"_b{-o}" for o in offsets}
+    found = {f"{c}{n}": (c, o) for o, n in names.items() for c in ("time", "x", "y")}
+    return found | {f"id{n}": ("event_id", o) for o, n in names.items()}
+
+
 def drop_speed_outliers(
     df: DataFrame, max_speed: float = MAX_SPEED, keys: list[str] = TRACK, chunk: Column | None = None
 ) -> DataFrame:
     """Removes both ends of every too fast segment until none is left.
 
-    Returns the remaining fixes with their segments. Each pass judges only the
-    tracks that lost a fix in the pass before; tracks that lost none are
-    final, with the segments of that pass. Every pass is written once.
+    Returns the remaining fixes with their segments. All fixes are judged and
+    shuffled once. A later pass can only change fixes next to a gap left by
+    removed ones, so it looks at those alone: in order, the fixes on both
+    sides of a gap follow each other. When such a fix goes too, the next one
+    outwards is fetched from the written fixes.
     """
     chunk = time_chunk() if chunk is None else chunk
-    around = {
-        "time2": ("time", 1), "x2": ("x", 1), "y2": ("y", 1),
-        "_time0": ("time", -1), "_x0": ("x", -1), "_y0": ("y", -1),
-    }
-    columns = df.columns
-    arrival = _speed(
-        distance(F.col("_x0"), F.col("_y0"), F.col("x"), F.col("y")),
-        seconds_between(F.col("_time0"), F.col("time")),
-    )
-    slow_out = F.coalesce(F.col("speed") < max_speed, F.lit(True))
-    slow_in = F.coalesce(arrival < max_speed, F.lit(True))
-    final: list[DataFrame] = []
-    active = df
+    gap = F.col("gap_before") | F.col("gap_after")
+    judged = materialise(_judge_all(df, max_speed, keys, chunk))
+    zone = judged.filter(gap)
+    fetched: list[DataFrame] = []
     while True:
-        seen = _with_segment(neighbours(active, keys, ORDER, around, chunk))
-        judged = materialise(seen.withColumn("_keep", slow_out & slow_in).drop("_time0", "_x0", "_y0"))
-        changed = materialise(judged.filter(~F.col("_keep")).select(*keys).distinct())
-        if row_count(changed) == 0:
-            final.append(judged.drop("_keep"))
+        seen, wanted = _judge_gaps(zone, max_speed, keys, chunk)
+        if row_count(seen.removed) == 0:
             break
-        # Both sides are written tables: Spark broadcasts ``changed`` only if
-        # its file size is under the broadcast threshold.
-        final.append(judged.join(changed, keys, "left_anti").drop("_keep"))
-        active = judged.filter("_keep").join(changed, keys, "left_semi").select(*columns)
-    return reduce(DataFrame.unionByName, final)
+        wanted = materialise(wanted)
+        more = attach(judged.drop("gap_before", "gap_after"), wanted, [*keys, "event_id"], "inner")
+        zone = seen.left.unionByName(more)
+        fetched.append(wanted.select(*keys, "event_id"))
+    untouched = judged.filter(~gap)
+    if fetched:
+        untouched = attach(untouched, materialise(reduce(DataFrame.unionByName, fetched)), [*keys, "event_id"], "left_anti")
+    whole = untouched.unionByName(seen.left)
+    return _with_segment(whole.drop("gap_before", "gap_after", "prev_id", "next_id"))
+
+
+def _judge_all(df: DataFrame, max_speed: float, keys: list[str], chunk: Column) -> DataFrame:
+    """The fixes that survive the first pass, and whether a neighbour did not."""
+    near = neighbours(df, keys, ORDER, _places(1, 2, -1, -2), chunk)
+    slow_out, slow_in = _slow("", "_1", max_speed), _slow("_b1", "", max_speed)
+    # The neighbours stay if the ways on their other sides are slow as well;
+    # the way between is, where this fix stays.
+    judged = near.withColumns(
+        {
+            "gap_after": F.col("id_1").isNotNull() & ~_slow("_1", "_2", max_speed),
+            "gap_before": F.col("id_b1").isNotNull() & ~_slow("_b2", "_b1", max_speed),
+        }
+    ).filter(slow_out & slow_in)
+    return judged.select(
+        *df.columns,
+        F.col("time_1").alias("time2"),
+        F.col("x_1").alias("x2"),
+        F.col("y_1").alias("y2"),
+        F.col("id_b1").alias("prev_id"),
+        F.col("id_1").alias("next_id"),
+        "gap_before",
+        "gap_after",
+    )
+
+
+class _Gaps(NamedTuple):
+    left: DataFrame
+    removed: DataFrame
+
+
+def _judge_gaps(zone: DataFrame, max_speed: float, keys: list[str], chunk: Column) -> tuple[_Gaps, DataFrame]:
+    """One later pass over the fixes at gaps: who stays (with its new segment), who goes,
+    and which fixes beyond them are at a gap now."""
+    near = neighbours(zone, keys, ORDER, _places(1, -1), chunk)
+    goes = (F.col("gap_after") & ~_slow("", "_1", max_speed)) | (F.col("gap_before") & ~_slow("_b1", "", max_speed))
+    state = {"_gone_after": ("_gone", 1), "_gone_before": ("_gone", -1)}
+    judged = materialise(neighbours(near.withColumn("_gone", goes), keys, ORDER, state, chunk))
+    # A neighbour without a gap between is in the table only if it is at
+    # another gap.
+    joined_after = F.coalesce(F.col("id_1") == F.col("next_id"), F.lit(False))
+    joined_before = F.coalesce(F.col("id_b1") == F.col("prev_id"), F.lit(False))
+    stays = judged.filter(~F.col("_gone")).withColumns(
+        {c: F.when(F.col("gap_after"), F.col(f"{c[:-1]}_1")).otherwise(F.col(c)) for c in ("time2", "x2", "y2")}
+    )
+    stays = stays.withColumns(
+        {
+            "gap_after": F.col("gap_after") | (joined_after & F.col("_gone_after")),
+            "gap_before": F.col("gap_before") | (joined_before & F.col("_gone_before")),
+        }
+    )
+    removed = judged.filter("_gone").select(*keys, "event_id")
+    beyond = F.array_compact(
+        F.array(
+            F.when(
+                ~F.col("gap_after") & ~joined_after & F.col("next_id").isNotNull(),
+                F.struct(F.col("next_id").alias("event_id"), F.lit(True).alias("before"), F.lit(False).alias("after")),
+            ),
+            F.when(
+                ~F.col("gap_before") & ~joined_before & F.col("prev_id").isNotNull(),
+                F.struct(F.col("prev_id").alias("event_id"), F.lit(False).alias("before"), F.lit(True).alias("after")),
+            ),
+        )
+    )
+    asked = judged.filter("_gone").select(*keys, F.explode(beyond).alias("_ask")).select(*keys, "_ask.*")
+    wanted = asked.groupBy(*keys, "event_id").agg(
+        F.bool_or("before").alias("gap_before"), F.bool_or("after").alias("gap_after")
+    )
+    return _Gaps(stays.select(*zone.columns), removed), wanted
 
 
 def smooth(df: DataFrame, keys: list[str], columns: list[str], order: str = "seq") -> DataFrame:
