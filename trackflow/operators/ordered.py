@@ -39,32 +39,34 @@ def neighbours(
     ``wanted`` maps a new column to (column, offset). ``order`` must be total
     within a group.
     """
-    offsets = {o for _, o in wanted.values()}
+    by_offset: dict[int, list[str]] = {}
+    for c, o in wanted.values():
+        if c not in by_offset.setdefault(o, []):
+            by_offset[o].append(c)
     # A row looking ``o`` ahead past its chunk's end needs the next chunk's
     # first ``o`` rows, so both ends count as edges.
-    reach = max(abs(o) for o in offsets)
+    reach = max(abs(o) for o in by_offset)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     along = Window.partitionBy(*keys).orderBy(*order)
 
-    def shift(what: Column | str, offset: int, w) -> Column:
+    def shift(what: Column, offset: int, w) -> Column:
         return (F.lead(what, offset) if offset > 0 else F.lag(what, -offset)).over(w)
 
-    def known(offset: int) -> Column:
-        return F.col(f"_in_{offset}").isNotNull()
-
-    flags = {f"_in_{o}": shift(F.lit(1), o, inside) for o in sorted(offsets | {reach, -reach})}
+    # A neighbour row is a struct: NULL only where the chunk has no such row.
+    rows = {o: F.struct(*columns) for o, columns in by_offset.items()}
+    ends = {o: F.struct(F.lit(1)) for o in (reach, -reach) if o not in rows}
     near = df.withColumn("_chunk", chunk).withColumns(
-        {**{name: shift(c, o, inside) for name, (c, o) in wanted.items()}, **flags}
+        {f"_at_{o}": shift(row, o, inside) for o, row in {**rows, **ends}.items()}
     )
-    whole = known(reach) & known(-reach)
+    whole = F.col(f"_at_{reach}").isNotNull() & F.col(f"_at_{-reach}").isNotNull()
     # The first and last rows of all chunks, in order: from a row near a
     # chunk's end the next ones here are the next ones of the group.
-    edges = near.filter(~whole)
-    filled = {
-        name: F.when(known(o), F.col(name)).otherwise(shift(c, o, along)) for name, (c, o) in wanted.items()
-    }
-    both = near.filter(whole).unionByName(edges.withColumns(filled))
-    return both.drop("_chunk", *flags)
+    edges = near.filter(~whole).withColumns(
+        {f"_at_{o}": F.coalesce(F.col(f"_at_{o}"), shift(row, o, along)) for o, row in rows.items()}
+    )
+    both = near.filter(whole).unionByName(edges)
+    found = [F.col(f"_at_{o}")[c].alias(name) for name, (c, o) in wanted.items()]
+    return both.select(*df.columns, *found)
 
 
 def running_total(

@@ -152,10 +152,23 @@ class _Gaps(NamedTuple):
 def _judge_gaps(zone: DataFrame, max_speed: float, keys: list[str], chunk: Column) -> tuple[_Gaps, DataFrame]:
     """One later pass over the fixes at gaps: who stays (with its new segment), who goes,
     and which fixes beyond them are at a gap now."""
-    near = neighbours(zone, keys, ORDER, _places(1, -1), chunk)
-    goes = (F.col("gap_after") & ~_slow("", "_1", max_speed)) | (F.col("gap_before") & ~_slow("_b1", "", max_speed))
-    state = {"_gone_after": ("_gone", 1), "_gone_before": ("_gone", -1)}
-    judged = materialise(neighbours(near.withColumn("_gone", goes), keys, ORDER, state, chunk))
+    gaps = {f"{g}{n}": (g, o) for g in ("gap_before", "gap_after") for n, o in (("_1", 1), ("_b1", -1))}
+    near = neighbours(zone, keys, ORDER, _places(1, 2, -1, -2) | gaps, chunk)
+
+    def gone(before: str, here: str, after: str, suffix: str) -> Column:
+        return (F.col(f"gap_after{suffix}") & ~_slow(here, after, max_speed)) | (
+            F.col(f"gap_before{suffix}") & ~_slow(before, here, max_speed)
+        )
+
+    judged = materialise(
+        near.withColumns(
+            {
+                "_gone": gone("_b1", "", "_1", ""),
+                "_gone_after": F.coalesce(gone("", "_1", "_2", "_1"), F.lit(False)),
+                "_gone_before": F.coalesce(gone("_b2", "_b1", "", "_b1"), F.lit(False)),
+            }
+        )
+    )
     # A neighbour without a gap between is in the table only if it is at
     # another gap.
     joined_after = F.coalesce(F.col("id_1") == F.col("next_id"), F.lit(False))

@@ -139,7 +139,8 @@ def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: st
 
 
 def join_route(trips: DataFrame, assigned: DataFrame) -> DataFrame:
-    return attach(trips, assigned.select("session_id", "direction", "route"), ["session_id", "direction"])
+    routed = attach(trips, assigned, ["session_id", "direction"])
+    return routed.drop("mean_dist_trail", "mean_dist_road")
 
 
 def trip_duration(fixes: DataFrame, by: list[str]) -> DataFrame:
