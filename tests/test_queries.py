@@ -35,6 +35,21 @@ def test_same_as_sql(spark, con, name):
     assert differences(QUERIES[name](spark, SF_DIR), con, SQL[name]) == ""
 
 
+@pytest.mark.parametrize("name", ["g4_gap_summary", "f6_asof_nearest", "g11_box_by_pair_type", "a6_elevation_join"])
+def test_same_without_broadcasts_and_with_hot_groups(spark, con, name, monkeypatch):
+    """Every side table counts as too large, every group as hot."""
+    from trackflow.operators import network, tables
+
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", -1)
+    monkeypatch.setattr(network, "HOT_GROUP", 1)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert differences(QUERIES[name](spark, SF_DIR), con, SQL[name]) == ""
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -71,19 +71,20 @@ def attach(
     keys: list[str],
     how: str = "left",
     condition: Column | None = None,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a large table with a side table whose size is checked first.
 
     ``dim`` should be a written or local table, so that counting it is cheap.
-    Up to ``max_broadcast_rows`` rows it is broadcast and ``fact`` is not
+    Up to ``max_broadcast_rows`` rows (MAX_BROADCAST_ROWS) it is broadcast and ``fact`` is not
     shuffled. Beyond that the join is salted: ``fact`` rows of one key spread
     over ``salts`` tasks and ``dim`` is repeated for each, so a hot key does
     not end in one task. Both ways give the same rows. ``how`` is inner, left,
     left_semi or left_anti; ``condition`` restricts the match further.
     """
-    if row_count(dim) <= max_broadcast_rows:
+    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    if row_count(dim) <= limit:
         left, right, on = fact, F.broadcast(dim), list(keys)
     else:
         spread_by = ["event_id"] if "event_id" in fact.columns else fact.columns

@@ -129,7 +129,7 @@ def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: st
 
     Only fixes inside the open band between the start and end gates count.
     """
-    per_fix = route_distances(trips.filter(in_band), routes, [trail, road], ["session_id", "direction", "event_id"])
+    per_fix = route_distances(trips.filter(in_band), routes, [trail, road], [*TRACK, "direction", "event_id"])
     mean = per_fix.groupBy("session_id", "direction").agg(
         F.avg(F.when(F.col("route") == trail, F.col("dist"))).alias("mean_dist_trail"),
         F.avg(F.when(F.col("route") == road, F.col("dist"))).alias("mean_dist_road"),
