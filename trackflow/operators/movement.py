@@ -10,7 +10,7 @@ from trackflow.functions.geometry import Line, distance
 from trackflow.operators.network import HOT_GROUP
 from trackflow.operators.ordered import neighbours, running_total, time_chunk
 from trackflow.operators.snapshots import SNAPSHOT
-from trackflow.operators.tables import attach, materialise
+from trackflow.operators.tables import attach, materialise, row_count
 from trackflow.operators.trajectory import ORDER, TRACK
 from trackflow.operators.trips import OUT
 
@@ -164,8 +164,7 @@ def hull_area(pos: DataFrame, snapshot: list[str] = SNAPSHOT) -> DataFrame:
     points = pos.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select(*snapshot, "px", "py").distinct()
     points = materialise(points)
     sizes = points.groupBy(*snapshot).agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_GROUP)).alias("_parts"))
-    dealt = attach(points, materialise(sizes), snapshot)
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("px", "py"), F.col("_parts"))).drop("_parts")
+    large = materialise(sizes.filter("_parts > 1"))
     keys = list(snapshot)
 
     def corners(pdf, key_columns):
@@ -204,10 +203,13 @@ def hull_area(pos: DataFrame, snapshot: list[str] = SNAPSHOT) -> DataFrame:
         out["area"] = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
         return out
 
-    part_schema = dealt.select(*keys, "_part", "px", "py").schema
-    small = dealt.groupBy(*keys, "_part").applyInPandas(reduce_part, part_schema)
+    if row_count(large) > 0:
+        dealt = attach(points, large, snapshot)
+        part = F.pmod(F.xxhash64("px", "py"), F.coalesce("_parts", F.lit(1).cast("bigint")))
+        dealt = dealt.select(*keys, part.alias("_part"), "px", "py")
+        points = dealt.groupBy(*keys, "_part").applyInPandas(reduce_part, dealt.schema)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pos.select(*keys).schema)
-    return small.groupBy(*keys).applyInPandas(finish, f"{kinds}, corners int, area double")
+    return points.groupBy(*keys).applyInPandas(finish, f"{kinds}, corners int, area double")
 
 
 def rank_changes(ranked: DataFrame) -> DataFrame:

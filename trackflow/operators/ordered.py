@@ -39,34 +39,38 @@ def neighbours(
     ``wanted`` maps a new column to (column, offset). ``order`` must be total
     within a group.
     """
-    by_offset: dict[int, list[str]] = {}
-    for c, o in wanted.values():
-        if c not in by_offset.setdefault(o, []):
-            by_offset[o].append(c)
+    offsets = sorted({o for _, o in wanted.values()})
     # A row looking ``o`` ahead past its chunk's end needs the next chunk's
     # first ``o`` rows, so both ends count as edges.
-    reach = max(abs(o) for o in by_offset)
+    reach = max(abs(o) for o in offsets)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     along = Window.partitionBy(*keys).orderBy(*order)
 
     def shift(what: Column, offset: int, w) -> Column:
         return (F.lead(what, offset) if offset > 0 else F.lag(what, -offset)).over(w)
 
-    # A neighbour row is a struct: NULL only where the chunk has no such row.
-    rows = {o: F.struct(*columns) for o, columns in by_offset.items()}
-    ends = {o: F.struct(F.lit(1)) for o in (reach, -reach) if o not in rows}
-    near = df.withColumn("_chunk", chunk).withColumns(
-        {f"_at_{o}": shift(row, o, inside) for o, row in {**rows, **ends}.items()}
+    # What neighbours show travels as one struct instead of its columns, so
+    # nothing but the order is shuffled twice. A neighbour is NULL only where
+    # the chunk has no such row.
+    shown = list(dict.fromkeys(c for c, _ in wanted.values()))
+    packed = [c for c in shown if c not in keys and c not in order]
+    plain = [c for c in df.columns if c not in packed]
+    near = df.select(*plain, F.struct(*shown).alias("_row"), chunk.alias("_chunk")).withColumns(
+        {
+            f"_at_{o}": shift(F.col("_row") if o in offsets else F.lit(1), o, inside)
+            for o in sorted({*offsets, reach, -reach})
+        }
     )
     whole = F.col(f"_at_{reach}").isNotNull() & F.col(f"_at_{-reach}").isNotNull()
     # The first and last rows of all chunks, in order: from a row near a
     # chunk's end the next ones here are the next ones of the group.
     edges = near.filter(~whole).withColumns(
-        {f"_at_{o}": F.coalesce(F.col(f"_at_{o}"), shift(row, o, along)) for o, row in rows.items()}
+        {f"_at_{o}": F.coalesce(F.col(f"_at_{o}"), shift(F.col("_row"), o, along)) for o in offsets}
     )
     both = near.filter(whole).unionByName(edges)
+    own = [F.col("_row")[c].alias(c) if c in packed else F.col(c) for c in df.columns]
     found = [F.col(f"_at_{o}")[c].alias(name) for name, (c, o) in wanted.items()]
-    return both.select(*df.columns, *found)
+    return both.select(*own, *found)
 
 
 def running_total(
