@@ -292,8 +292,9 @@ def f8(spark, sf_dir):
     f"""with m as {MOVES}, r as (select x.perm, corr(q.n::double, p.same_breed::double) as r from pairs p
         join m x on x.animal_id = p.a join m y on y.animal_id = p.b and y.perm = x.perm
         join pairs q on q.a = least(x.moved_to, y.moved_to) and q.b = greatest(x.moved_to, y.moved_to) group by x.perm)
-      select round((select r from r where perm = 0), 6) as r, (count(*) filter (r >= (select r from r where perm = 0) - 1.5e-8) + 1) / 100.0 as p,
-        99 as permutations from r where perm > 0""",
+      select case when not isnan(any_value(r0)) then round(any_value(r0), 6) end as r,
+        case when not isnan(any_value(r0)) then (count(*) filter (r >= r0 - 1.5e-8) + 1) / 100.0 end as p,
+        99 as permutations from r, (select r as r0 from r where perm = 0) where perm > 0""",
 )
 def k7(spark, sf_dir):
     return data.study(spark, sf_dir).mantel(99).withColumn("r", F.round("r", 6))

@@ -218,10 +218,12 @@ def mantel(pairs: DataFrame, other: str, permutations: int = PERMUTATIONS, seed:
     )
     second = first.join(moves.select("perm", F.col("animal_id").alias("b"), F.col("moved_to").alias("b2")), ["perm", "b"])
     moved = second.select("perm", F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"), "v")
-    per = materialise(moved.join(pairs.select("a", "b", "n"), ["a", "b"]).groupBy("perm").agg(F.corr("n", "v").alias("r")))
+    met = moved.join(pairs.select("a", "b", "n"), ["a", "b"]).groupBy("perm")
+    # A matrix without spread has no correlation (NULL), and then no p.
+    r = F.try_divide(F.covar_pop("n", "v"), F.stddev_pop("n") * F.stddev_pop("v"))
+    per = materialise(met.agg(r.alias("r")))
     seen = per.filter("perm = 0").select(F.lit(1).alias("_all"), F.col("r").alias("r0"))
     drawn = attach(per.filter("perm > 0").withColumn("_all", F.lit(1)), seen, ["_all"])
     high = F.count(F.when(F.col("r") >= F.col("r0") - SAME_R, 1))
-    return drawn.agg(F.max("r0").alias("r"), ((high + 1) / F.lit(permutations + 1.0)).alias("p")).withColumn(
-        "permutations", F.lit(permutations)
-    )
+    p = F.when(F.max("r0").isNotNull(), (high + 1) / F.lit(permutations + 1.0))
+    return drawn.agg(F.max("r0").alias("r"), p.alias("p")).withColumn("permutations", F.lit(permutations))
