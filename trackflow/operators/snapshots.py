@@ -125,5 +125,7 @@ def calinski_harabasz(points: DataFrame, group: list[str], cluster: str = "clust
         F.sum(pull).alias("ssb"),
         F.sum(F.col("_sq") - pull).alias("ssw"),
     )
-    score = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))
+    score = F.try_divide(
+        F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))
+    )
     return whole.withColumn("score", F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), score))

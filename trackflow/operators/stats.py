@@ -164,10 +164,12 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
         F.sum(share).alias("group_sq"),
         F.sum("sq").alias("sq"),
     )
-    between = (F.col("group_sq") - F.col("s") * F.col("s") / F.col("n")) / (F.col("k") - 1)
-    within = (F.col("sq") - F.col("group_sq")) / (F.col("n") - F.col("k"))
+    between = F.try_divide(F.col("group_sq") - F.col("s") * F.col("s") / F.col("n"), F.col("k") - 1)
+    within = F.try_divide(F.col("sq") - F.col("group_sq"), F.col("n") - F.col("k"))
+    # Spread between groups but none within is infinitely clear.
+    ratio = F.when((within == 0) & (between > 0), F.lit(float("inf"))).otherwise(F.try_divide(between, within))
     out = whole.select(
-        "n", "k", F.try_divide(between, within).alias("f"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2")
+        "n", "k", ratio.alias("f"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2")
     )
     return out.withColumn("p", f_tail(F.col("f"), F.col("df1"), F.col("df2")))
 
