@@ -11,9 +11,9 @@ if their sets' Jaccard similarity is 0.75 or more, confirmed on whole sets.
 2. Equal sets are one class at once; from here on only the smallest doc_id of each class takes part.
 3. In each bucket a hub is compared with the others (a star), so a round makes at most one pair
    per member and hub. Confirmed links are joined to components. Buckets whose members are not in one
-   component yet go into another round with other hubs, outside the bucket's largest component.
-   A hub leaves the bucket once it has been compared, so every two members of different
-   components meet: no link is lost, and copies are not expanded into all pairs.
+   component yet go into another round with other hubs. A hub leaves the bucket once it has been
+   compared, so every two members of different components meet, unless the shingles that they
+   can share at most are too few: no link is lost, and copies are not expanded into all pairs.
 
 Defined results: a text without words has an empty set and no links. Rows that share a doc_id are one
 node. A row with a null doc_id takes no part in links; its component is null and it is kept.
@@ -143,76 +143,107 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets (node, shingles) are similar enough."""
-    small = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SHARE
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     both = F.size("sa").cast("long") + F.size("sb") - shared
-    confirmed = pairs.filter(small).join(left, "a").join(right, "b")
+    confirmed = pairs.join(left, "a").join(right, "b")
     return confirmed.filter(shared * 100 >= both * SHARE).select("a", "b")
 
 
+def _possible(n, other_n, shared):
+    """Whether sets of these sizes that share at most ``shared`` shingles can be similar enough."""
+    return shared * (100 + SHARE) >= (n + other_n) * SHARE
+
+
+def _shareable(alive: DataFrame, sets: DataFrame) -> DataFrame:
+    """``alive`` with ``common``: how many shingles of the node any other node of ``alive`` has."""
+    nodes = alive.select("node").distinct()
+    single = sets.join(nodes, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    single = single.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    single = single.groupBy("node").agg(F.count(F.lit(1)).alias("single"))
+    joined = alive.join(single, "node", "left").withColumn("common", F.col("n") - F.coalesce("single", F.lit(0)))
+    return materialise(joined.drop("single"))
+
+
 def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of all linked nodes. ``members``: (bucket, node, n), only buckets of two or more."""
-    labels = None
-    tested = None
-    hubs_wanted = 1
-    alive = members.withColumn("component", F.col("node"))
+    """(node, component) of all linked nodes. ``members``: (bucket, node, n), only buckets of two or more.
+
+    From the second round on, a pair that cannot be similar is left out: shingles that no other open
+    member has cannot be shared. The second round's hub is the member with the most shingles that
+    others have, less its own; later ones come from outside the bucket's largest component, four
+    times as many each round.
+    """
+    alive = members.withColumns({"component": F.col("node"), "common": F.col("n")})
+    labels, tested, turn = None, None, 0
+    own = F.struct("node", "n", "common", "component")
     while True:
-        if labels is None:
-            hubs = alive.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "component"), "node").alias("hub"))
-            hubs = hubs.select("bucket", "hub.*")
-        else:
-            by_part = alive.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-            largest = by_part.groupBy("bucket").agg(
-                F.max(F.struct("size", "component"))["component"].alias("largest"),
-                F.count(F.lit(1)).alias("parts"),
-                (F.sum("size") - F.max("size")).alias("outside"),
-            )
-            largest = largest.filter("parts > 1").drop("parts")
-            alive = materialise(alive.join(largest, "bucket"))
+        if turn:
+            parts = alive.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+            alive = alive.join(parts.filter("one != other").select("bucket"), "bucket", "left_semi")
+            alive = materialise(alive)
             if not row_count(alive):
                 break
-            outside = alive.filter("component != largest").withColumn("draw", F.xxhash64("bucket", "node"))
+            if turn == 1:
+                alive = _shareable(alive, sets)
+            least = alive.groupBy("bucket").agg(F.min("n").alias("least"))
+            fit = _possible(F.col("n"), F.col("least"), F.col("common"))
+            alive = materialise(alive.join(least, "bucket").filter(fit).drop("least"))
+        if turn < 2:
+            by = F.struct("node") if turn == 0 else F.struct((F.col("n") - 2 * F.col("common")).alias("odd"), "node")
+            hubs = alive.groupBy("bucket").agg(F.min_by(own, by).alias("hub")).select("bucket", "hub.*")
+        else:
+            sizes = alive.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+            largest = sizes.groupBy("bucket").agg(
+                F.max(F.struct("size", "component"))["component"].alias("largest"), (F.sum("size") - F.max("size")).alias("outside")
+            )
+            outside = alive.join(largest, "bucket").filter("component != largest")
+            outside = outside.withColumn("draw", F.xxhash64("bucket", "node"))
             first = outside.groupBy("bucket").agg(F.min("draw").alias("first"))
             share = (F.pmod(F.col("draw"), F.lit(1 << 20)) + 1) / float(1 << 20)
-            chosen = (F.col("draw") == F.col("first")) | (share * F.col("outside") <= hubs_wanted)
-            hubs = outside.join(first, "bucket").filter(chosen).select("bucket", "node", "n", "component")
+            chosen = (F.col("draw") == F.col("first")) | (share * F.col("outside") <= FIRST_HUBS ** (turn - 1))
+            hubs = outside.join(first, "bucket").filter(chosen).select("bucket", "node", "n", "common", "component")
         hubs = materialise(hubs)
-        named = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        pairs = alive.join(named, "bucket").filter("component != hub_component").select(
-            F.least("node", "hub").alias("a"),
-            F.greatest("node", "hub").alias("b"),
-            F.when(F.col("node") < F.col("hub"), F.col("n")).otherwise(F.col("hub_n")).alias("na"),
-            F.when(F.col("node") < F.col("hub"), F.col("hub_n")).otherwise(F.col("n")).alias("nb"),
-        )
+        named = hubs.select(*[F.col(c).alias(f"hub_{c}") for c in hubs.columns])
+        meet = (F.col("bucket") == F.col("hub_bucket")) & (F.col("component") != F.col("hub_component"))
+        meet = meet & _possible(F.col("n"), F.col("hub_n"), F.least("n", "hub_n", "common", "hub_common"))
+        lower = F.col("node") < F.col("hub_node")
+        pairs = alive.join(named, meet).select(
+            F.least("node", "hub_node").alias("a"),
+            F.greatest("node", "hub_node").alias("b"),
+            F.when(lower, F.col("n")).otherwise(F.col("hub_n")).alias("na"),
+            F.when(lower, F.col("hub_n")).otherwise(F.col("n")).alias("nb"),
+        )
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         found = materialise(_similar(pairs, sets))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if row_count(found):
-            if labels is None:
-                labels = components(found)
-            else:
-                ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                lifted = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-                lifted = lifted.withColumnRenamed("component", "into")
-                known = labels.join(lifted.withColumnRenamed("node", "component"), "component", "left")
-                known = known.select("node", F.coalesce("into", "component").alias("component"))
-                fresh = lifted.select("node", F.col("into").alias("component")).join(labels, "node", "left_anti")
-                labels = materialise(known.unionByName(fresh))
-        elif labels is None:
-            labels = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        rest = alive.select("bucket", "node", "n").join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left")
-        alive = materialise(rest.select("bucket", "node", "n", F.coalesce("component", "node").alias("component")))
-        hubs_wanted = FIRST_HUBS if hubs_wanted == 1 else hubs_wanted * FIRST_HUBS
+        labels = _joined(labels, found)
+        rest = alive.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component")
+        rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        alive = rest.select("bucket", "node", "n", "common", "component")
+        turn += 1
     return labels
 
 
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components after the links ``found`` (written, a and b) between nodes."""
+    if labels is None:
+        return components(found)
+    if not row_count(found):
+        return labels
+    ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    lifted = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    lifted = lifted.withColumnRenamed("component", "into")
+    known = labels.join(lifted.withColumnRenamed("node", "component"), "component", "left")
+    known = known.select("node", F.coalesce("into", "component").alias("component"))
+    fresh = lifted.select("node", F.col("into").alias("component")).join(labels, "node", "left_anti")
+    return materialise(known.unionByName(fresh))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, kept), written."""
     signed = materialise(signatures(docs, doc_id, text))
