@@ -6,11 +6,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, line_dedup, near_dedup, passages, words
+from trackflow.llm import frames, language, line_dedup, near_dedup, page_text, passages, personal_data, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, words, line_dedup, near_dedup, passages):
+for _module in (frames, language, line_dedup, near_dedup, page_text, passages, personal_data, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
@@ -83,3 +83,38 @@ from w left join k using (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = passages.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = personal_data.of_kinds(personal_data.BASE)
+    counts = [F.size(personal_data.of_kinds((k,))).cast("long").alias(f"n_{k}") for k in personal_data.BASE]
+    digest = F.sha2(personal_data.listed(base), 256).alias("base_sha256")
+    return found.select(F.col("row.doc_id"), *counts, digest, personal_data.listed(F.col("spans")).alias("spans"))
+
+
+OP4_SQL = r"""
+with a as (
+  select page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)(</article>|$)', 1), ''), '(?s)<!--.*?-->', '', 'g') as a
+  from pages),
+b as (
+  select page_id, url, list_transform(
+    string_split_regex(replace(replace(replace(a, '<br>', ' '), '<b>', ''), '</b>', ''), '</?(p|h1|h2|h3|div|ul|ol|li|section|blockquote)( [^>]*)?>'),
+    lambda t: trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as b
+  from a),
+c as (select page_id, url, array_to_string(list_filter(b, lambda t: t <> ''), chr(10) || chr(10)) as text from b)
+select page_id, url, text, length(text)::bigint as n_chars from c
+"""
+
+
+@query("op4_page_text", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_language")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
