@@ -6,11 +6,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, language, line_dedup, near_dedup, page_text, passages, personal_data, words
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, topk, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, language, line_dedup, near_dedup, page_text, passages, personal_data, words):
+for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, topk, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
@@ -118,3 +118,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query("op6_topk", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(topk.build_index(vectors), vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", taken)
