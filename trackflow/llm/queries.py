@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, topk, words
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, topk, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, topk, words):
+for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, topk, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
 
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+# The vocabulary file: a parameter, not part of this library.
+PIECES = os.environ.get("TRACKFLOW_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 OP1_SQL = rf"""
 with l as (
@@ -143,3 +147,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     taken = (F.col("copies") * F.col("size")).alias("taken")
     return mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", taken)
+
+
+@query("op7_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(PIECES)
+    found = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    text = pieces.decoded(model, F.col("pieces"))
+    checked = found.select("row.doc_id", "pieces", "scores", F.sha2(text, 256).alias("decoded_sha256"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("whole"))
+    return checked.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.concat_ws(",", F.col("pieces").cast("array<string>")), 256).alias("pieces_sha256"),
+        F.col("scores")[0].alias("best_score"),
+        F.element_at("scores", -1).alias("last_score"),
+        F.size("scores").cast("long").alias("n_best"),
+        "decoded_sha256",
+        (F.col("decoded_sha256") == F.col("whole")).alias("exact"),
+    )
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.judge(docs, labels.select("doc_id", "quality"))
+    return found.select("doc_id", *quality.FORM, "base_failed", "kept", F.round("score", 9).alias("score"))
