@@ -141,14 +141,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (node, shingles) are similar enough."""
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, na, nb) with ``shared``, the size of the intersection of their sets (node, shingles)."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    both = F.size("sa").cast("long") + F.size("sb") - shared
-    confirmed = pairs.join(left, "a").join(right, "b")
-    return confirmed.filter(shared * 100 >= both * SHARE).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b")
+    return met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
 
 
 def _possible(n, other_n, shared):
@@ -170,13 +168,15 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of all linked nodes. ``members``: (bucket, node, n), only buckets of two or more.
 
     From the second round on, a pair that cannot be similar is left out: shingles that no other open
-    member has cannot be shared. The second round's hub is the member with the most shingles that
-    others have, less its own; later ones come from outside the bucket's largest component, four
-    times as many each round.
+    member has cannot be shared, and what two members share lies in what both share with the second round's hub,
+    or beside it. From then on a bucket's hub is its most typical member, the one with the
+    smallest share of such shingles; from the third round on it comes from outside the bucket's largest
+    component, and further hubs are drawn there, four times as many each round.
     """
-    alive = members.withColumns({"component": F.col("node"), "common": F.col("n")})
+    alive = members.withColumns({"component": F.col("node"), "common": F.col("n"), "inner": F.lit(0).cast("long")})
     labels, tested, turn = None, None, 0
-    own = F.struct("node", "n", "common", "component")
+    own = F.struct("node", "n", "common", "inner", "component")
+    typical = F.struct((1 - F.col("common") / F.col("n")).alias("odd"), (-F.col("n")).alias("short"), "node")
     while True:
         if turn:
             parts = alive.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("other"))
@@ -190,7 +190,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             fit = _possible(F.col("n"), F.col("least"), F.col("common"))
             alive = materialise(alive.join(least, "bucket").filter(fit).drop("least"))
         if turn < 2:
-            by = F.struct("node") if turn == 0 else F.struct((F.col("n") - 2 * F.col("common")).alias("odd"), "node")
+            by = F.struct("node") if turn == 0 else typical
             hubs = alive.groupBy("bucket").agg(F.min_by(own, by).alias("hub")).select("bucket", "hub.*")
         else:
             sizes = alive.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -199,14 +199,21 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             )
             outside = alive.join(largest, "bucket").filter("component != largest")
             outside = outside.withColumn("draw", F.xxhash64("bucket", "node"))
-            first = outside.groupBy("bucket").agg(F.min("draw").alias("first"))
+            first = outside.groupBy("bucket").agg(F.min_by("node", typical).alias("first"))
             share = (F.pmod(F.col("draw"), F.lit(1 << 20)) + 1) / float(1 << 20)
-            chosen = (F.col("draw") == F.col("first")) | (share * F.col("outside") <= FIRST_HUBS ** (turn - 1))
-            hubs = outside.join(first, "bucket").filter(chosen).select("bucket", "node", "n", "common", "component")
+            chosen = (F.col("node") == F.col("first")) | ((share * F.col("outside") <= FIRST_HUBS ** (turn - 2)) & F.lit(turn > 2))
+            hubs = outside.join(first, "bucket").filter(chosen).select("bucket", "node", "n", "common", "inner", "component")
         hubs = materialise(hubs)
         named = hubs.select(*[F.col(c).alias(f"hub_{c}") for c in hubs.columns])
-        meet = (F.col("bucket") == F.col("hub_bucket")) & (F.col("component") != F.col("hub_component"))
-        meet = meet & _possible(F.col("n"), F.col("hub_n"), F.least("n", "hub_n", "common", "hub_common"))
+        meet = F.col("bucket") == F.col("hub_bucket")
+        # The second round's hub meets its whole bucket: what both share with it and beside it bounds later pairs.
+        meet = meet & (F.col("node") != F.col("hub_node") if turn == 1 else F.col("component") != F.col("hub_component"))
+        most = F.least("n", "hub_n", "common", "hub_common")
+        if turn > 1:
+            beside = F.least(F.col("common") - F.col("inner"), F.col("hub_common") - F.col("hub_inner"))
+            most = F.least(most, F.least("inner", "hub_inner") + beside)
+        if turn != 1:
+            meet = meet & _possible(F.col("n"), F.col("hub_n"), most)
         lower = F.col("node") < F.col("hub_node")
         pairs = alive.join(named, meet).select(
             F.least("node", "hub_node").alias("a"),
@@ -215,15 +222,22 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             F.when(lower, F.col("hub_n")).otherwise(F.col("n")).alias("nb"),
         )
         pairs = pairs.distinct()
-        if tested is not None:
+        if turn > 1:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        found = materialise(_similar(pairs, sets))
+        counted = materialise(_shared(pairs, sets))
+        found = counted.filter(_possible(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         labels = _joined(labels, found)
         rest = alive.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        alive = rest.select("bucket", "node", "n", "common", "component")
+        if turn == 1:
+            hub = hubs.select("bucket", F.col("node").alias("hub"))
+            met = counted.select("a", "b", "shared")
+            by_node = met.select(F.col("a").alias("node"), F.col("b").alias("hub"), "shared")
+            by_node = by_node.unionByName(met.select(F.col("b").alias("node"), F.col("a").alias("hub"), "shared"))
+            rest = rest.join(hub, "bucket").join(by_node, ["node", "hub"], "left").withColumn("inner", F.coalesce("shared", "common"))
+        alive = rest.select("bucket", "node", "n", "common", "inner", "component")
         turn += 1
     return labels
 
@@ -232,7 +246,7 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """The components after the links ``found`` (written, a and b) between nodes."""
     if labels is None:
         return components(found)
-    if not row_count(found):
+    if found.isEmpty():
         return labels
     ends = found.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
     ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
