@@ -17,8 +17,10 @@ The vocabulary is read from a file whose path is a parameter. Null and empty tex
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-HELD_WORDS = 200_000
+HELD_WORDS = 400_000
+LONG_WORD = 64  # longer words are searched each time
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Path = tuple[float, tuple[int, ...]]
+Word = tuple[tuple[int, ...], float, float]
+Option = tuple[float, tuple[tuple[int, int], ...]]  # score; (word, rank of its path) where not the best
 
 
 class PieceModel:
@@ -58,100 +63,162 @@ class PieceModel:
                 self.ids[piece] = i
         if len(self.byte_id) < 256:
             raise ValueError("the vocabulary has no piece for every byte")
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # Pieces as a tree of characters; a piece's end has its id under the empty string.
+        self.tree: dict = {}
+        for piece, i in self.ids.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_COST
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.held: dict[str, list[Path]] = {}
+        self.held: dict[str, Word] = {}
 
-    def lattice(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end position the edges (start, score, ids)."""
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
-        ids, starts, scores, n = self.ids, self.starts, self.scores, len(word)
+    def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
+        """For each end position the edges (start, score, id); id -1: the character's bytes."""
+        n, tree, scores = len(word), self.tree, self.scores
+        into: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
         for a in range(n):
-            single = False
-            for b in range(a + 1, n + 1):
-                piece = word[a:b]
-                if piece not in starts:
-                    break
-                i = ids.get(piece)
+            node = tree.get(word[a])
+            if node is None or "" not in node:
+                into[a + 1].append((a, self.unknown, -1))
+            b = a + 1
+            while node is not None:
+                i = node.get("")
                 if i is not None:
-                    into[b].append((a, scores[i], (i,)))
-                    single = single or b == a + 1
-            if not single:
-                into[a + 1].append((a, self.unknown, tuple(self.byte_id[x] for x in word[a].encode())))
+                    into[b].append((a, scores[i], i))
+                if b == n:
+                    break
+                node = node.get(word[b])
+                b += 1
         return into
 
+    def _ids(self, word: str, edges: list[tuple[int, int]]) -> tuple[int, ...]:
+        ids: list[int] = []
+        for a, i in edges:
+            if i < 0:
+                ids.extend(self.byte_id[x] for x in word[a].encode())
+            else:
+                ids.append(i)
+        return tuple(ids)
+
+    def viterbi(self, into: list) -> tuple[list[float], list]:
+        """The best score from the start to every position, and the last edge of a path that has it."""
+        best, last = [0.0], [None]
+        for edges in into[1:]:
+            top, chosen = None, None
+            for edge in edges:
+                score = best[edge[0]] + edge[1]
+                if top is None or score > top:
+                    top, chosen = score, edge
+            best.append(top)
+            last.append(chosen)
+        return best, last
+
     def search(self, word: str) -> list[Path]:
-        """The N best paths (score, ids), best first; ties to the path whose last edges start earlier."""
+        """The N best paths (score, ids), best first."""
         into = self.lattice(word)
-        best = [0.0]
-        for edges in into[1:]:
-            best.append(max((best[a] + s for a, s, _ in edges)))
+        best, _ = self.viterbi(into)
         found: list[Path] = []
         agenda = [(-best[-1], 0, len(word), 0.0, None)]
         serial = 0
         while agenda and len(found) < self.n_best:
-            _, _, at, score, chain = heapq.heappop(agenda)
+            _, _, at, score, path = heapq.heappop(agenda)
             if not at:
-                ids: list[int] = []
-                while chain is not None:
-                    edge, chain = chain
-                    ids.extend(edge)
-                found.append((score, tuple(ids)))
+                edges: list[tuple[int, int]] = []
+                while path is not None:
+                    edge, path = path
+                    edges.append(edge)
+                found.append((score, self._ids(word, edges)))
                 continue
-            for a, s, edge in into[at]:
+            for a, s, i in into[at]:
                 serial += 1
-                heapq.heappush(agenda, (-(score + s + best[a]), serial, a, score + s, (edge, chain)))
+                heapq.heappush(agenda, (-(score + s + best[a]), serial, a, score + s, ((a, i), path)))
         return found
 
-    def of_word(self, word: str) -> list[Path]:
-        known = self.held.get(word)
-        if known is None:
-            if len(self.held) >= HELD_WORDS:
-                self.held.clear()
-            known = self.held[word] = self.search(word)
-        return known
-
-    def _runs(self, text: str) -> Iterator[list[Path]]:
-        """The best paths of the words in order."""
-        mark = [(self.unknown, tuple(self.byte_id[x] for x in SPACE.encode()))]
+    def of_word(self, word: str) -> Word:
+        """The best path's ids and score, and what the second best loses (infinite if there is none)."""
+        if not word:  # stands for a U+2581 of the text
+            return tuple(self.byte_id[x] for x in SPACE.encode()), self.unknown, math.inf
+        into = self.lattice(word)
+        best, last = self.viterbi(into)
+        path, at = [], len(word)
+        while at:
+            path.append(last[at])
+            at = last[at][0]
+        # The second best path has an edge that is not on the best one: the best path through each such edge.
+        rest = [-math.inf] * len(word) + [0.0]
+        second = -math.inf
+        for b in range(len(word), 0, -1):
+            for edge in into[b]:
+                after = edge[1] + rest[b]
+                if after > rest[edge[0]]:
+                    rest[edge[0]] = after
+                if edge is not last[b] and best[edge[0]] + after > second:
+                    second = best[edge[0]] + after
+        on_path = {id(e) for e in path}
+        for b in range(1, len(word) + 1):
+            edge = last[b]
+            if id(edge) not in on_path and best[edge[0]] + edge[1] + rest[b] > second:
+                second = best[edge[0]] + edge[1] + rest[b]
+        return self._ids(word, [(e[0], e[2]) for e in reversed(path)]), best[-1], best[-1] - second
+
+    def _words(self, text: str) -> list[str]:
+        """The words of the lattice; an empty string stands for U+2581 in the text itself."""
+        words: list[str] = []
         for k, part in enumerate(text.split(SPACE)):
-            if k:
-                yield mark
             part = part.replace(" ", SPACE)
-            if not k:
+            if k:
+                words.append("")
+            else:
                 part = SPACE + part
             if self.by_word:
-                yield from map(self.of_word, WORD.findall(part))
+                words += WORD.findall(part)
             elif part:
-                yield self.search(part)
-
-    def encode(self, text: str) -> tuple[list[int], list[tuple[float, tuple[tuple[int, int], ...]]], list[list[Path]]]:
-        """The best ids; the N best as (score, changes); the words' paths.
+                words.append(part)
+        return words
 
-        A change (w, r) takes the r-th best path of word w; the best text has no changes.
-        """
+    def _encode(self, text: str) -> tuple[list[int], list[Option], list[str], dict[int, list[Path]]]:
         if not text:
-            return [], [(0.0, ())], []
-        runs = list(self._runs(text))
-        ids: list[int] = []
-        total = 0.0
-        for paths in runs:
-            total += paths[0][0]
-            ids.extend(paths[0][1])
+            return [], [(0.0, ())], [], {}
+        words = self._words(text)
+        if len(self.held) > HELD_WORDS:
+            self.held.clear()
+        held = self.held
+        runs = list(map(held.get, words))
+        for w in [w for w, run in enumerate(runs) if run is None]:
+            word = words[w]
+            run = held.get(word) or self.of_word(word)
+            if len(word) <= LONG_WORD:
+                held[word] = run
+            runs[w] = run
+        found_ids, scores, losses = zip(*runs)
+        ids = list(chain.from_iterable(found_ids))
+        total = sum(scores)
         # The N best texts change no words but those with the N - 1 smallest losses.
-        losses = ((p[0][0] - p[1][0], w) for w, p in enumerate(runs) if len(p) > 1)
-        few = heapq.nsmallest(self.n_best - 1, losses)
-        options: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, w in few:
-            grown = [(loss + runs[w][0][0] - p[0], changes + ((w, r),) if r else changes) for loss, changes in options for r, p in enumerate(runs[w])]
+        losses = np.array(losses)
+        few = [w for w in np.argsort(losses, kind="stable")[: self.n_best - 1].tolist() if losses[w] < math.inf]
+        paths = {w: self.search(words[w]) for w in few}
+        options: list[Option] = [(0.0, ())]
+        for w, found in paths.items():
+            grown = [(loss + found[0][0] - p[0], changes + ((w, r),) if r else changes) for loss, changes in options for r, p in enumerate(found)]
             options = heapq.nsmallest(self.n_best, grown)
-        return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], runs
+        return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], words, paths
+
+    def encode(self, text: str) -> tuple[list[int], list[float]]:
+        """The best ids, and the scores of the N best segmentations in order."""
+        ids, options, _, _ = self._encode(text)
+        return ids, [score for score, _ in options]
 
     def n_best_ids(self, text: str) -> list[Path]:
         """The N best segmentations in full."""
-        _, options, runs = self.encode(text)
-        return [(score, tuple(i for w, p in enumerate(runs) for i in p[dict(changes).get(w, 0)][1])) for score, changes in options]
+        _, options, words, paths = self._encode(text)
+        best = [self.of_word(w)[0] for w in words]
+        made = []
+        for score, changes in options:
+            swap = {w: paths[w][r][1] for w, r in changes}
+            made.append((score, tuple(chain.from_iterable(swap.get(w, ids) for w, ids in enumerate(best)))))
+        return made
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -170,10 +237,10 @@ def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text")
                 part = batch.slice(at, 256)
                 ids, ends, scores = [], [0], []
                 for t in part.column(1).to_pylist():
-                    best, options, _ = pieces.encode(t or "")
+                    best, found = pieces.encode(t or "")
                     ids.append(np.array(best, np.int32))
                     ends.append(ends[-1] + len(best))
-                    scores.append([o[0] for o in options])
+                    scores.append(found)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(scores, pa.list_(pa.float64()))], ["row", "pieces", "scores"])
 
