@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackflow.llm.frames import chunks, free_name, utf8, with_columns
@@ -204,7 +204,11 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             chosen = (F.col("node") == F.col("first")) | ((share * F.col("outside") <= FIRST_HUBS ** (turn - 2)) & F.lit(turn > 2))
             hubs = outside.join(first, "bucket").filter(chosen).select("bucket", "node", "n", "common", "inner", "component")
         hubs = materialise(hubs)
-        named = hubs.select(*[F.col(c).alias(f"hub_{c}") for c in hubs.columns])
+        # A pair that meets in several buckets counts in the first one only.
+        every = F.collect_list("bucket").over(Window.partitionBy("node"))
+        alive = alive.withColumn("buckets", every)
+        named = hubs.withColumn("buckets", every)
+        named = named.select(*[F.col(c).alias(f"hub_{c}") for c in named.columns])
         meet = F.col("bucket") == F.col("hub_bucket")
         # The second round's hub meets its whole bucket: what both share with it and beside it bounds later pairs.
         meet = meet & (F.col("node") != F.col("hub_node") if turn == 1 else F.col("component") != F.col("hub_component"))
@@ -214,6 +218,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
             most = F.least(most, F.least("inner", "hub_inner") + beside)
         if turn != 1:
             meet = meet & _possible(F.col("n"), F.col("hub_n"), most)
+        meet = meet & (F.array_min(F.array_intersect("buckets", "hub_buckets")) == F.col("bucket"))
         lower = F.col("node") < F.col("hub_node")
         pairs = alive.join(named, meet).select(
             F.least("node", "hub_node").alias("a"),
@@ -229,7 +234,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
         found = counted.filter(_possible(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         labels = _joined(labels, found)
-        rest = alive.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component")
+        rest = alive.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component", "buckets")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn == 1:
             hub = hubs.select("bucket", F.col("node").alias("hub"))
