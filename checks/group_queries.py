@@ -227,7 +227,8 @@ def k2_bh(spark, sf_dir):
     f"""with g as (select grp, row_number() over (order by sum(r) / count(*) desc, grp) as place from pooled group by grp),
       d as (select least(x.place, y.place) as lo, greatest(x.place, y.place) as hi from {POSTHOC} p join g x on x.grp = p.a join g y on y.grp = p.b where abs(t) > 2),
       e as (select place, coalesce((select min(hi) from d where lo = place) - 1, (select count(*) from g)) as stop from g),
-      f as (select place, stop, max(stop) over (order by place rows between unbounded preceding and 1 preceding) as far from e),
+      s as (select place, min(stop) over (order by place rows between current row and unbounded following) as stop from e),
+      f as (select place, stop, max(stop) over (order by place rows between unbounded preceding and 1 preceding) as far from s),
       r as (select place, stop, row_number() over (order by place) as no from f where far is null or stop > far)
       select grp as animal_id, string_agg(chr(cast(96 + no as int)), '' order by no) as letters from g join r on g.place between r.place and r.stop group by grp""",
 )
@@ -278,31 +279,31 @@ def k6(spark, sf_dir):
 
 
 MOVES = """(select o.perm, o.animal_id, t.animal_id as moved_to from (select perm, animal_id, row_number() over (partition by perm order by
-    case when perm = 0 then animal_id else md5('73-' || perm || '-' || animal_id) end, animal_id) as place from herd, range(100) r(perm)) o
+    case when perm = 0 then animal_id else md5('73-' || perm || '-' || animal_id) end, animal_id) as place from herd, range(1000) r(perm)) o
   join (select animal_id, row_number() over (order by animal_id) as place from herd) t using (place))"""
 
 
 @query("f8_permuted_pairs", f"select perm::int as perm, animal_id, moved_to from {MOVES}")
 def f8(spark, sf_dir):
-    return stats.permuted_names(data.study(spark, sf_dir).animals, 99, 73)
+    return stats.permuted_names(data.study(spark, sf_dir).animals, 999, 73)
 
 
-@query(
-    "k7_mantel",
-    f"""with m as {MOVES}, r as (select x.perm, corr(q.n::double, p.same_breed::double) as r from pairs p
+MANTEL = f"""with m as {MOVES}, r as (select x.perm, corr(q.n::double, p.same_breed::double) as r from pairs p
         join m x on x.animal_id = p.a join m y on y.animal_id = p.b and y.perm = x.perm
         join pairs q on q.a = least(x.moved_to, y.moved_to) and q.b = greatest(x.moved_to, y.moved_to) group by x.perm)
       select case when not isnan(any_value(r0)) then round(any_value(r0), 6) end as r,
-        case when not isnan(any_value(r0)) then (count(*) filter (r >= r0 - 1.5e-8) + 1) / 100.0 end as p,
-        99 as permutations from r, (select r as r0 from r where perm = 0) where perm > 0""",
-)
+        case when not isnan(any_value(r0)) then (count(*) filter (r >= r0 - 1.5e-8) + 1) / 1000.0 end as p,
+        999 as permutations from r, (select r as r0 from r where perm = 0) where perm > 0"""
+
+
+@query("k7_mantel", MANTEL)
 def k7(spark, sf_dir):
-    return data.study(spark, sf_dir).mantel(99).withColumn("r", F.round("r", 6))
+    return data.study(spark, sf_dir).mantel(999).withColumn("r", F.round("r", 6))
 
 
-@query("k7_mantel_999")
+@query("k7_mantel_999", MANTEL)
 def k7_full(spark, sf_dir):
-    return data.study(spark, sf_dir).mantel()
+    return data.study(spark, sf_dir).mantel().withColumn("r", F.round("r", 6))
 
 
 # --- clusters

@@ -90,3 +90,13 @@ def test_levene_and_boxes(sample):
         inside = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
         assert (r["q1"], r["median"], r["q3"]) == (q1, v.median(), q3)
         assert (r["whisker_low"], r["whisker_high"], r["n"]) == (inside.min(), inside.max(), len(v))
+
+
+def test_letters_when_a_later_member_differs(spark):
+    """Only B and C differ: they share no letter, though A, before both, differs from neither."""
+    from trackflow.operators.stats import letter_groups
+
+    groups = spark.createDataFrame([("A", 10.0), ("B", 9.95), ("C", 8.1)], "group string, mean_rank double")
+    pairs = spark.createDataFrame([("A", "B", False), ("A", "C", False), ("B", "C", True)], "a string, b string, differs boolean")
+    letters = {r["group"]: set(r["letters"]) for r in letter_groups(groups, pairs).collect()}
+    assert letters["A"] & letters["B"] and not letters["B"] & letters["C"]

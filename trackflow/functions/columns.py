@@ -22,7 +22,8 @@ def extract(source: Column, pattern: str, group: int) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    return F.try_to_timestamp(text, F.lit(TIME_FORMAT))
+    """The instant that a text without a zone names in UTC, whatever the session's zone."""
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{TIME_FORMAT} xx"))
 
 
 def breed_from_file(file: Column) -> Column:
@@ -54,7 +55,15 @@ def breed_from_animal(animal_id: Column) -> Column:
 
 
 def time_of_day(time: Column) -> Column:
-    return F.date_format(time, "HH:mm:ss")
+    """HH:mm:ss in UTC, whatever the session's zone."""
+    second = F.pmod(F.floor(F.unix_micros(time) / F.lit(1_000_000)), F.lit(86400))
+    parts = [F.lpad(p.cast("int").cast("string"), 2, "0") for p in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)]
+    return F.when(time.isNotNull(), F.concat_ws(":", *parts))
+
+
+def hour_number(time: Column) -> Column:
+    """Full hours since the epoch."""
+    return F.floor(F.unix_micros(time) / F.lit(3_600_000_000)).cast("long")
 
 
 def epoch_seconds(time: Column) -> Column:

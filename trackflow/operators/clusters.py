@@ -10,7 +10,7 @@ from trackflow.operators.tables import attach, materialise
 
 # Cluster numbers tried, and the seed.
 K_MIN, K_MAX, SEED = 2, 6, 73
-RESTARTS = 10
+RESTARTS = 100
 STILL = 1e-6
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackflow.functions.columns import seconds_between
+from trackflow.functions.columns import hour_number, seconds_between
 from trackflow.functions.geometry import Line, distance
 from trackflow.operators.network import HOT_GROUP
 from trackflow.operators.ordered import neighbours, running_total, time_chunk
@@ -27,10 +27,10 @@ def temperature_at(df: DataFrame, weather: DataFrame, time: str, station_m: floa
     ``weather`` has one row per full hour: (time, temp_c).
     """
     hourly = weather.select(
-        F.date_trunc("hour", "time").alias("_hour"),
+        hour_number(F.col("time")).alias("_hour"),
         (F.col("temp_c") - F.lit(LAPSE_PER_KM * (site_m - station_m) / 1000.0)).alias("temp_c"),
     )
-    return attach(df.withColumn("_hour", F.date_trunc("hour", time)), materialise(hourly), ["_hour"]).drop("_hour")
+    return attach(df.withColumn("_hour", hour_number(F.col(time))), materialise(hourly), ["_hour"]).drop("_hour")
 
 
 def temperature_category(temp: Column) -> Column:

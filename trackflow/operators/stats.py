@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trackflow.functions.tails import chi2_tail, f_tail, t_two_sided
 from trackflow.operators.network import all_pairs
-from trackflow.operators.ordered import quantiles, running_total, value_chunk, value_counts
+from trackflow.operators.ordered import neighbours, quantiles, running_total, seq_chunk, value_chunk, value_counts
 from trackflow.operators.tables import attach, materialise, row_count
 
 # Permutation count and the tolerance for equal correlations.
@@ -115,8 +115,8 @@ def letter_groups(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """Letters so that groups sharing one do not differ; a is the best (highest) mean.
 
     ``groups`` has (group, mean_rank), ``pairs`` (a, b, differs). Along the
-    order of means, every longest stretch in which the first member differs
-    from none gets a letter. Returns (group, mean_rank, letters).
+    order of means, every longest stretch in which no member differs from
+    another gets a letter. Returns (group, mean_rank, letters).
     """
     order = ["_down", "group"]
     keyed = materialise(groups.select("group", "mean_rank", (-F.col("mean_rank")).alias("_down")))
@@ -129,9 +129,10 @@ def letter_groups(groups: DataFrame, pairs: DataFrame) -> DataFrame:
     stop = two.groupBy(F.least("pa", "pb").alias("place")).agg((F.min(F.greatest("pa", "pb")) - 1).alias("_stop"))
     size = row_count(placed)
     reach = placed.join(stop, "place", "left").withColumn("_stop", F.coalesce("_stop", F.lit(size)))
-    reach = materialise(reach.select("place", "_stop"))
-    from trackflow.operators.ordered import neighbours, seq_chunk
-
+    reach = reach.select("place", "_stop", (F.lit(size) - F.col("place")).alias("_back"))
+    # A stretch also ends before the first place from which any later member of it differs.
+    least = running_total(reach, [], ["_back"], F.col("_stop"), seq_chunk("_back"), "_least", F.min)
+    reach = materialise(least.select("place", F.col("_least").alias("_stop")))
     furthest = running_total(reach, [], ["place"], F.col("_stop"), seq_chunk("place"), "_far", F.max)
     before = neighbours(furthest, [], ["place"], {"_far_before": ("_far", -1)}, seq_chunk("place"))
     fresh = before.filter(F.col("_far_before").isNull() | (F.col("_stop") > F.col("_far_before")))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
-SALTS = 16
 
 _local_dirs: dict[str, str] = {}
 
@@ -72,27 +71,20 @@ def attach(
     how: str = "left",
     condition: Column | None = None,
     max_broadcast_rows: int | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join of a large table with a side table whose size is checked first.
 
     ``dim`` should be a written or local table, so that counting it is cheap.
     Up to ``max_broadcast_rows`` rows (MAX_BROADCAST_ROWS) it is broadcast and ``fact`` is not
-    shuffled. Beyond that the join is salted: ``fact`` rows of one key spread
-    over ``salts`` tasks and ``dim`` is repeated for each, so a hot key does
-    not end in one task. Both ways give the same rows. ``how`` is inner, left,
-    left_semi or left_anti; ``condition`` restricts the match further.
+    shuffled. Beyond that it is a plain join, in which adaptive execution splits the partitions of
+    hot keys of ``fact``; nothing is repeated for keys that are not hot. Both ways give the same rows.
+    ``how`` is inner, left, left_semi or left_anti; ``condition`` restricts the match further.
     """
     limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     if row_count(dim) <= limit:
         left, right, on = fact, F.broadcast(dim), list(keys)
     else:
-        spread_by = ["event_id"] if "event_id" in fact.columns else fact.columns
-        spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-        left = fact.withColumn("_salt", spread)
-        every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-        right = dim.withColumn("_salt", F.explode(every_salt))
-        on = [*keys, "_salt"]
+        left, right, on = fact, dim, list(keys)
     if condition is None:
         joined = left.join(right, on, how)
     else:
@@ -103,4 +95,4 @@ def attach(
         for c in on:
             match = match & (F.col(c) == F.col(f"_dim_{c}"))
         joined = left.join(renamed, match, how).drop(*[f"_dim_{c}" for c in on])
-    return joined.drop("_salt")
+    return joined
