@@ -79,7 +79,7 @@ class CrossParser:
     """Counts the phrases of many texts for all languages at once.
 
     The automata are one table: row = state, column = symbol, entry = next state's row with the lowest
-    bit set where the match ends and a new phrase begins.
+    bit set where a new phrase begins.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -105,7 +105,7 @@ class CrossParser:
                 start[symbol] = (base + to * self.width) | 1
             table = np.tile(start, (len(follow), 1))
             for at, state in enumerate(follow):
-                if state:
+                if state and at:  # every step from the start begins a phrase
                     table[at, list(state)] = [base + to * self.width for to in state.values()]
             tables.append(table.astype(np.int32))
             self.roots.append(base)
@@ -138,7 +138,7 @@ class CrossParser:
                 entry = self.table.take((state[:m] & keep) | symbols[begin[:m] + step])
                 found[:m] += entry & 1
                 state[:m] = entry
-            total[:, column] = np.bincount(owner, found + 1, len(texts)).astype(np.int64)
+            total[:, column] = np.bincount(owner, found, len(texts)).astype(np.int64)
         return total
 
     def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
