@@ -44,7 +44,7 @@ def _numbered(sources: DataFrame) -> DataFrame:
     ranged = sources.repartitionByRange(parts, F.col("source").isNull(), "source").withColumn("_part", F.spark_partition_id())
     ranged = materialise(ranged)
     sizes = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before = [F.lit(sum(n for q, n in sizes.items() if q < p)) for p in range(parts)]
+    before = [F.lit(sum(n for q, n in sizes.items() if q < p)) for p in range(max(sizes, default=0) + 1)]
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").isNull(), "source"))
     return ranged.withColumn("place", F.element_at(F.array(*before), F.col("_part") + 1) + inside - 1).drop("_part")
 
