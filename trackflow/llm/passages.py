@@ -8,8 +8,8 @@ puts both on anchor positions, so two equal windows of 35 words share an aligned
 1. Documents are packed into blocks (a few MB of text, compressed), once, dealt by block number.
 2. Each block gives its distinct anchor hashes; a hash in two blocks, or twice in one, is repeated.
 3. Each block extends repeated anchors to all windows that hold one, and gives those
-   windows' distinct 96-bit hashes; again a hash in two blocks, or twice in one, is repeated.
-4. Each block removes the words that repeated windows cover.
+   windows' distinct 96-bit hashes; a hash in one block only, and once there, is single. Few are.
+4. Each block removes the words covered by windows that hold a repeated anchor and are not single.
 
 A passage shared by any number of documents costs one row per block, not per document or pair. Blocks
 are the unit of shuffling; the same exchange serves steps 2 to 4.
@@ -167,21 +167,21 @@ def _give_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: block, doc_ids, texts, repeated anchors, repeated windows (two lists of the same order)."""
+    """Columns: block, doc_ids, texts, repeated anchors, single windows (two lists of the same order)."""
     for batch in batches:
         for row in range(batch.num_rows):
             repeated = _sorted_numbers(batch.column(3), row)
-            bad1, bad2 = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            one, two = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             if batch.column(4)[row].is_valid:
-                bad1 = batch.column(4)[row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                bad2 = batch.column(5)[row].values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
-                bad1, bad2, _ = _distinct_pairs(bad1, bad2)
+                one = batch.column(4)[row].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                two = batch.column(5)[row].values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+                one, two, _ = _distinct_pairs(one, two)
             n_words, n_removed, kept = [], [], []
             for texts, words in _chunked(_unpack(batch.column(2)[row].as_py()), BYTE_BASES):
                 starts = np.zeros(0, np.int64)
-                if len(bad1):
+                if len(repeated):
                     starts = _candidates(words, repeated)
-                    starts = starts[_member_pairs(*_window_hashes(words, starts), bad1, bad2)]
+                    starts = starts[~_member_pairs(*_window_hashes(words, starts), one, two)]
                 gone = covered(words.n, starts, WINDOW)
                 before = np.concatenate([[0], np.cumsum(gone)])
                 for d, text in enumerate(texts):
@@ -198,14 +198,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, *counts, texts_left], ["doc_id", "n_words", "n_removed", "text"])
 
 
-def _repeated(hashes: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose hash is in more than one block or twice in one.
+def _seen(hashes: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``repeated``: whether the hash is in more than one block or twice in one.
 
     Rows are distinct per block, so a hash has at most a row per block.
     """
     same = Window.partitionBy(*keys)
-    seen = hashes.withColumn("n", F.count(F.lit(1)).over(same))
-    return seen.filter((F.col("n") > 1) | F.col("twice"))
+    return hashes.withColumn("repeated", (F.count(F.lit(1)).over(same) > 1) | F.col("twice"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,10 +216,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     blocks = packed.repartition(parts, "block")
 
     anchors = blocks.mapInArrow(_give_anchors, "h1 long, block long, twice boolean")
-    anchors = _repeated(anchors, ["h1"]).groupBy("block").agg(F.collect_list("h1").alias("anchors"))
+    anchors = _seen(anchors, ["h1"]).filter("repeated").groupBy("block").agg(F.collect_list("h1").alias("anchors"))
     windows = blocks.join(anchors, "block").select("block", "doc_ids", "texts", "anchors")
     windows = windows.mapInArrow(_give_windows, "h1 long, h2 int, block long, twice boolean")
-    windows = _repeated(windows, ["h1", "h2"]).groupBy("block")
+    windows = _seen(windows, ["h1", "h2"]).filter("NOT repeated").groupBy("block")
     windows = windows.agg(F.collect_list(F.struct("h1", "h2")).alias("windows"))
     whole = blocks.join(anchors, "block", "left").join(windows, "block", "left")
     return whole.select(
