@@ -109,6 +109,29 @@ def test_near_nulls_and_repeated_ids(spark):
     ]
 
 
+def test_near_ids_with_several_texts(spark):
+    """Each text of a doc_id is a set of its own: rows that share a doc_id or are similar make the components."""
+    r = random.Random(31)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{r.randrange(40)}" for _ in range(60)]
+        for copy in range(5):
+            words = list(base[: r.choice((30, 45, 60))])
+            words[r.randrange(len(words))] = f"x{group}{copy}"
+            rows.append((r.randrange(30), " ".join(words)))
+    rows += [(31, "one two three four five six")] * 4 + [(32, "one two three four five six"), (29, None), (33, "short")]
+    whole = [set() if not t else {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for t in [x or "" for _, x in rows] for w in [t.split()]]
+    label = {d: d for d, _ in rows}
+    for _ in rows:
+        for i, (d, _) in enumerate(rows):
+            for j, (e, _) in enumerate(rows):
+                if whole[i] and 100 * len(whole[i] & whole[j]) >= 75 * len(whole[i] | whole[j]):
+                    label[d] = label[e] = min(label[d], label[e])
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, len(s), label[d], label[d] == d) for (d, _), s in zip(rows, whole)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 def passages_brute(texts):
     words = [WORD.findall(t or "") for t in texts]
     seen = {}

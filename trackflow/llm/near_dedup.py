@@ -15,8 +15,8 @@ if their sets' Jaccard similarity is 0.75 or more, confirmed on whole sets.
    compared, so every two members of different components meet, unless the shingles that they
    can share at most are too few: no link is lost, and copies are not expanded into all pairs.
 
-Defined results: a text without words has an empty set and no links. Rows that share a doc_id are one
-node. A row with a null doc_id takes no part in links; its component is null and it is kept.
+Defined results: a text without words has an empty set and no links. Rows that share a doc_id are in one
+component; each of their texts is compared as a set of its own. A row with a null doc_id takes no part in links; its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -85,6 +85,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set that do not depend on its order."""
+    one, two = (_signed(mixed(s).sum(keepdims=True, dtype=np.uint64)) for s in (shingles, shingles ^ np.uint64(LENGTH_STEP)))
+    return int(one[0]), int(two[0])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     draws = _draws()
     for batch in batches:
@@ -93,8 +99,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks([len(t) for t in texts]):
             for s in shingle_sets(texts[a:b]):
                 size.append(len(s))
-                one.append(int(_signed(mixed(s).sum(keepdims=True, dtype=np.uint64))[0]))
-                two.append(int(_signed(mixed(s ^ np.uint64(LENGTH_STEP)).sum(keepdims=True, dtype=np.uint64))[0]))
+                for sums, value in zip((one, two), fingerprint(s)):
+                    sums.append(value)
                 bands.append(_signed(band_hashes(minima(s, draws))).tolist() if len(s) else None)
         made = [pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_shingles", "set1", "set2", "bands"])
@@ -111,10 +117,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = utf8(batch.column(1))
         for a, b in chunks([len(t) for t in texts]):
-            sets = [_signed(s) for s in shingle_sets(texts[a:b])]
+            sets = shingle_sets(texts[a:b])
+            sums = [fingerprint(s) for s in sets]
             ends = np.cumsum([0, *[len(s) for s in sets]])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["doc_id", "shingles"])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(np.concatenate(sets)), pa.int64()))
+            made = [pa.array(v, pa.int64()) for v in ([len(s) for s in sets], [x for x, _ in sums], [x for _, x in sums])]
+            names = ["doc_id", "n_shingles", "set1", "set2", "shingles"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made, flat], names)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,18 +277,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     signed = materialise(signatures(docs, doc_id, text))
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "set1", "set2"]
-    equal = named.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    # Rows of one doc_id with different texts belong together, too.
-    equal = materialise(equal)
-    per_class = named.join(equal.withColumnRenamed("node", "rep"), key).filter("doc_id = rep")
-    spread = per_class.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    spread = spread.select("bucket", F.col("rep").alias("node"), "n").distinct()
+    equal = materialise(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
+    # A set's node is its smallest doc_id, or a number of its own where that doc_id has other sets, too.
+    several = materialise(equal.groupBy("rep").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("rep", F.lit(True).alias("several")))
+    reused = row_count(several) > 0
+    equal = equal.withColumn("node", F.col("rep"))
+    if reused:
+        own = -1 - F.pmod(F.xxhash64("rep", *key), F.lit(1 << 62))
+        equal = materialise(equal.join(several, "rep", "left").withColumn("node", F.when(F.col("several"), own).otherwise(F.col("rep"))).drop("several"))
+    per_class = named.join(equal, key).filter("doc_id = rep")
+    spread = per_class.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    spread = spread.select("bucket", "node", "n").distinct()
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = materialise(spread.join(shared, "bucket", "left_semi"))
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
+    nodes = materialise(members.select("node").distinct())
+    wanted = nodes.withColumn("doc_id", F.col("node"))
+    if reused:
+        wanted = nodes.join(equal, "node").select("node", F.col("rep").alias("doc_id"), *key)
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    needed = whole.join(nodes, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
-    sets = materialise(needed.withColumnRenamed("doc_id", "node"))
+    needed = whole.join(wanted.select("doc_id").distinct() if reused else wanted, "doc_id", "left_semi")
+    needed = needed.mapInArrow(_sets, "doc_id long, n_shingles long, set1 long, set2 long, shingles array<long>")
+    needed = needed.join(wanted, ["doc_id", *key]) if reused else needed.withColumnRenamed("doc_id", "node")
+    sets = materialise(needed.select("node", "shingles"))
+    if row_count(sets) > row_count(nodes):  # repeated rows
+        sets = materialise(sets.dropDuplicates(["node"]))
     labels = _links(members, sets)
     found = named.select("doc_id", *key).join(equal, key).select("doc_id", "node").join(labels, "node", "left")
     found = found.select("doc_id", F.coalesce("component", "node").alias("label"))
@@ -291,6 +312,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         over = components(ties.select(F.col("label").alias("a"), F.col("low").alias("b")))
         over = over.withColumnRenamed("node", "label").withColumnRenamed("component", "over")
         tied = tied.join(over, "label", "left").withColumn("label", F.coalesce("over", "label"))
+    if reused:
+        lowest = tied.groupBy("label").agg(F.min("doc_id").alias("lowest"))
+        tied = tied.join(lowest, "label").withColumn("label", F.col("lowest"))
     final = signed.select("doc_id", "n_shingles").join(tied.select("doc_id", "label"), "doc_id", "left")
     component = F.coalesce("label", "doc_id").alias("component_id")
     kept = F.coalesce(F.coalesce("label", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
