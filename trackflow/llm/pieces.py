@@ -7,7 +7,8 @@ backward from the end (A*): the first path to reach the start is the best, the n
 Spaces are written as U+2581, and one is put before the text. Where no piece covers a character, its bytes
 are used at the least piece score less 10. U+2581 in a text itself is always given as bytes, so decoding
 gives back every text exactly. No piece spans the border between a word and the space before the next, so the
-lattice falls into words; each distinct word is searched once per task (a bounded table), and the N best
+lattice falls into words; the distinct words of a batch go through the forward pass together, position by position, and are
+kept in a bounded table per task. The N best
 texts are the N best sums over their words. A vocabulary that has pieces across such borders
 is searched text by text.
 
@@ -25,14 +26,18 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackflow.llm.frames import chunks
+
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 HELD_WORDS = 400_000
 LONG_WORD = 64  # longer words are searched each time
+WORDS_AT_ONCE = 20_000
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -40,6 +45,111 @@ Word = tuple[tuple[int, ...], float, float]
 Option = tuple[float, tuple[tuple[int, int], ...]]  # score; (word, rank of its path) where not the best
 
 
+class PieceTree:
+    """Pieces as a tree of characters, kept as a hash table of (node, character) and walked for many words at once."""
+
+    def __init__(self, ids: dict[str, int], scores: list[float], unknown: float):
+        child: dict[int, int] = {}
+        piece = [-1]
+        for text, i in ids.items():
+            node = 0
+            for c in text:
+                node = child.setdefault(node << 21 | ord(c), len(piece))
+                if node == len(piece):
+                    piece.append(-1)
+            piece[node] = i
+        self.piece = np.array([*piece, -1], np.int32)  # the last stands for node -1: no such text
+        self.scores = np.array([*scores, unknown])  # the last for id -1: bytes
+        self.numbers = np.array([*range(len(scores)), -1], object)  # one object for each id
+        self.bits = (4 * len(piece)).bit_length()
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.nodes = np.full(1 << self.bits, -1, np.int32)
+        keys, nodes = np.fromiter(child.keys(), np.int64), np.fromiter(child.values(), np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            self.keys[slots] = np.where(self.keys[slots] < 0, keys, self.keys[slots])
+            placed = self.keys[slots] == keys
+            self.nodes[slots[placed]] = nodes[placed]
+            keys, nodes, slots = keys[~placed], nodes[~placed], self._next(slots[~placed])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slots: np.ndarray) -> np.ndarray:
+        return (slots + 1) & ((1 << self.bits) - 1)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes under ``node`` along the characters ``code``; -1 where there is none."""
+        key = node.astype(np.int64) << 21 | code
+        slots = self._slots(key)
+        there, found = self.keys[slots], self.nodes[slots]
+        at = np.flatnonzero((there != key) & (there >= 0))
+        found[(there != key)] = -1
+        while len(at):
+            slots = self._next(slots if len(slots) == len(at) else slots[at])
+            there = self.keys[slots]
+            hit = there == key[at]
+            found[at[hit]] = self.nodes[slots[hit]]
+            more = ~hit & (there >= 0)
+            at, slots = at[more], slots[more]
+        return found
+
+    def paths(self, words: list[str]) -> tuple[list[tuple[int, ...]], list[float], list[float]]:
+        """For words by falling length: the best path's ids, its score, and the second best path's score."""
+        sizes = np.array([len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        every, longest = np.arange(len(words)), int(sizes[0])
+        left = np.searchsorted(-sizes, -np.arange(longest + 1)).tolist()  # words longer than each position
+        best = np.full((longest + 1, len(words)), -np.inf)
+        best[0] = 0.0
+        length_of = np.zeros(best.shape, np.int16)
+        id_of = np.full(best.shape, -1, np.int32)
+        edges = []
+        for a in range(longest):
+            at, node = every[: left[a]], np.zeros(left[a], np.int32)
+            for b in range(a + 1, longest + 1):
+                n = int(np.searchsorted(at, left[b - 1]))
+                at = at[:n]
+                node = self.step(node[:n], codes[first[at] + (b - 1)])
+                piece = self.piece[node]
+                used = piece >= 0 if b > a + 1 else slice(None)
+                ends, piece = at[used], piece[used]
+                score = self.scores[piece]
+                value = best[a, ends] + score
+                better = value > best[b, ends]
+                won = ends[better]
+                best[b, won], length_of[b, won], id_of[b, won] = value[better], b - a, piece[better]
+                edges.append((a, b, ends, score))
+                alive = node >= 0
+                at, node = at[alive], node[alive]
+                if not len(at):
+                    break
+        on_path = np.zeros(best.shape, np.int16)
+        at, end, walked = every, sizes, []
+        while len(at):
+            length = length_of[end, at]
+            on_path[end, at] = length
+            walked.append((at, end - length, id_of[end, at]))
+            end = end - length
+            at, end = at[end > 0], end[end > 0]
+        # The second best path has an edge that is not on the best one: the best path through each such edge.
+        rest = np.full(best.shape, -np.inf)
+        rest[sizes, every] = 0.0
+        second = np.full(len(words), -np.inf)
+        for a, b, at, score in reversed(edges):
+            after = score + rest[b, at]
+            rest[a, at] = np.maximum(rest[a, at], after)
+            through = best[a, at] + after
+            through[on_path[b, at] == b - a] = -np.inf
+            second[at] = np.maximum(second[at], through)
+        word, start, piece = (np.concatenate(x) for x in zip(*walked))
+        order = np.lexsort((start, word))
+        flat = self.numbers[piece[order]].tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        return [tuple(flat[x:y]) for x, y in zip([0, *ends], ends)], best[sizes, every].tolist(), second.tolist()
+
+
 class PieceModel:
     """Pieces with scores, from a SentencePiece model file's bytes."""
 
@@ -73,6 +183,10 @@ class PieceModel:
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_COST
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.held: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
+        self.found: dict[str, list[Path]] = {}
+        self.length_of = {i: len(piece) for piece, i in self.ids.items()}
+        self.many: PieceTree | None = None
 
     def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
         """For each end position the edges (start, score, id); id -1: the character's bytes."""
@@ -163,6 +277,39 @@ class PieceModel:
                 second = best[edge[0]] + edge[1] + rest[b]
         return self._ids(word, [(e[0], e[2]) for e in reversed(path)]), best[-1], best[-1] - second
 
+    def hold(self, texts: list[list[str]]) -> None:
+        """Holds all words of ``texts`` but long ones; those that are new are searched many at once.
+
+        When half the bound is reached, words that are not met again before the next time are let go.
+        """
+        if len(self.held) > HELD_WORDS // 2:
+            self.held, self.older = {}, self.held
+            self.found.clear()
+        wanted = set(chain.from_iterable(texts)).difference(self.held)
+        known = wanted.intersection(self.older)
+        self.held.update(zip(known, map(self.older.__getitem__, known)))
+        fresh = sorted((w for w in wanted - known if 0 < len(w) <= LONG_WORD), key=len, reverse=True)
+        self.many = self.many or PieceTree(self.ids, self.scores, self.unknown)
+        for x in range(0, len(fresh), WORDS_AT_ONCE):
+            part = fresh[x : x + WORDS_AT_ONCE]
+            for word, ids, best, second in zip(part, *self.many.paths(part)):
+                self.held[word] = (self._with_bytes(word, ids) if -1 in ids else ids), best, best - second
+
+    def _with_bytes(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """``ids`` with the bytes of the characters that have -1."""
+        at, made = 0, []
+        for i in ids:
+            made += [i] if i >= 0 else [self.byte_id[x] for x in word[at].encode()]
+            at += self.length_of[i] if i >= 0 else 1
+        return tuple(made)
+
+    def _search_held(self, word: str) -> list[Path]:
+        if len(word) > LONG_WORD:
+            return self.search(word)
+        if word not in self.found:
+            self.found[word] = self.search(word)
+        return self.found[word]
+
     def _words(self, text: str) -> list[str]:
         """The words of the lattice; an empty string stands for U+2581 in the text itself."""
         words: list[str] = []
@@ -178,41 +325,40 @@ class PieceModel:
                 words.append(part)
         return words
 
-    def _encode(self, text: str) -> tuple[list[int], list[Option], list[str], dict[int, list[Path]]]:
-        if not text:
-            return [], [(0.0, ())], [], {}
-        words = self._words(text)
-        if len(self.held) > HELD_WORDS:
-            self.held.clear()
-        held = self.held
-        runs = list(map(held.get, words))
-        for w in [w for w, run in enumerate(runs) if run is None]:
-            word = words[w]
-            run = held.get(word) or self.of_word(word)
-            if len(word) <= LONG_WORD:
-                held[word] = run
-            runs[w] = run
+    def _encode(self, words: list[str]) -> tuple[list[int], list[Option], dict[int, list[Path]]]:
+        if not words:
+            return [], [(0.0, ())], {}
+        runs = list(map(self.held.get, words))
+        if not all(runs):
+            runs = [run or self.of_word(word) for run, word in zip(runs, words)]
         found_ids, scores, losses = zip(*runs)
         ids = list(chain.from_iterable(found_ids))
         total = sum(scores)
         # The N best texts change no words but those with the N - 1 smallest losses.
         losses = np.array(losses)
         few = [w for w in np.argsort(losses, kind="stable")[: self.n_best - 1].tolist() if losses[w] < math.inf]
-        paths = {w: self.search(words[w]) for w in few}
+        paths = {w: self._search_held(words[w]) for w in few}
         options: list[Option] = [(0.0, ())]
         for w, found in paths.items():
             grown = [(loss + found[0][0] - p[0], changes + ((w, r),) if r else changes) for loss, changes in options for r, p in enumerate(found)]
             options = heapq.nsmallest(self.n_best, grown)
-        return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], words, paths
+        return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], paths
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], list[float]]]:
+        """For each text the best ids, and the scores of the N best segmentations in order."""
+        words = [self._words(t) if t else [] for t in texts]
+        self.hold(words)
+        for w in words:
+            ids, options, _ = self._encode(w)
+            yield ids, [score for score, _ in options]
 
     def encode(self, text: str) -> tuple[list[int], list[float]]:
-        """The best ids, and the scores of the N best segmentations in order."""
-        ids, options, _, _ = self._encode(text)
-        return ids, [score for score, _ in options]
+        return next(self.encode_all([text]))
 
     def n_best_ids(self, text: str) -> list[Path]:
         """The N best segmentations in full."""
-        _, options, words, paths = self._encode(text)
+        words = self._words(text) if text else []
+        _, options, paths = self._encode(words)
         best = [self.of_word(w)[0] for w in words]
         made = []
         for score, changes in options:
@@ -233,11 +379,11 @@ def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel(model, n_best)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in chunks(sizes):
+                part = batch.slice(a, b - a)
                 ids, ends, scores = [], [0], []
-                for t in part.column(1).to_pylist():
-                    best, found = pieces.encode(t or "")
+                for best, found in pieces.encode_all(part.column(1).to_pylist()):
                     ids.append(np.array(best, np.int32))
                     ends.append(ends[-1] + len(best))
                     scores.append(found)
