@@ -7,10 +7,9 @@ backward from the end (A*): the first path to reach the start is the best, the n
 Spaces are written as U+2581, and one is put before the text. Where no piece covers a character, its bytes
 are used at the least piece score less 10. U+2581 in a text itself is always given as bytes, so decoding
 gives back every text exactly. No piece spans the border between a word and the space before the next, so the
-lattice falls into words; the distinct words of a batch go through the forward pass together, position by position, and are
-kept in a bounded table per task. The N best
-texts are the N best sums over their words. A vocabulary that has pieces across such borders
-is searched text by text.
+lattice falls into words: new distinct words of a batch go through the passes together, position by position,
+and stay in a bounded table of the task. The N best texts are the N best sums over their words. A vocabulary
+that has pieces across such borders is searched text by text.
 
 The vocabulary is read from a file whose path is a parameter. Null and empty texts have no pieces.
 """
@@ -36,7 +35,8 @@ from trackflow.llm.frames import chunks
 SPACE = "▁"
 UNKNOWN_COST = 10.0
 HELD_WORDS = 400_000
-LONG_WORD = 64  # longer words are searched each time
+HELD_IDS = 8 * HELD_WORDS
+LONG_WORD = 64  # longer words are searched one by one
 WORDS_AT_ONCE = 20_000
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -60,7 +60,6 @@ class PieceTree:
             piece[node] = i
         self.piece = np.array([*piece, -1], np.int32)  # the last stands for node -1: no such text
         self.scores = np.array([*scores, unknown])  # the last for id -1: bytes
-        self.numbers = np.array([*range(len(scores)), -1], object)  # one object for each id
         self.bits = (4 * len(piece)).bit_length()
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.nodes = np.full(1 << self.bits, -1, np.int32)
@@ -94,8 +93,8 @@ class PieceTree:
             at, slots = at[more], slots[more]
         return found
 
-    def paths(self, words: list[str]) -> tuple[list[tuple[int, ...]], list[float], list[float]]:
-        """For words by falling length: the best path's ids, its score, and the second best path's score."""
+    def paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words by falling length: the best paths' ids in a row (a character c without a piece: -1 - c), how many each has, its score, the second best's."""
         sizes = np.array([len(w) for w in words])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         first = np.cumsum(sizes) - sizes
@@ -145,9 +144,10 @@ class PieceTree:
             second[at] = np.maximum(second[at], through)
         word, start, piece = (np.concatenate(x) for x in zip(*walked))
         order = np.lexsort((start, word))
-        flat = self.numbers[piece[order]].tolist()
-        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        return [tuple(flat[x:y]) for x, y in zip([0, *ends], ends)], best[sizes, every].tolist(), second.tolist()
+        word, start, piece = word[order], start[order], piece[order]
+        lost = np.flatnonzero(piece < 0)
+        piece[lost] = -1 - codes[first[word[lost]] + start[lost]]
+        return piece, np.bincount(word, minlength=len(words)), best[sizes, every], second
 
 
 class PieceModel:
@@ -182,10 +182,12 @@ class PieceModel:
             node[""] = i
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_COST
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.held: dict[str, Word] = {}
-        self.older: dict[str, Word] = {}
+        # Held words by row: ids between two ends, best score, loss of the second best, the last batch that had it.
+        self.held: dict[str, int] = {}
+        self.held_ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.best, self.loss, self.batch_of = np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        self.batch = 0
         self.found: dict[str, list[Path]] = {}
-        self.length_of = {i: len(piece) for piece, i in self.ids.items()}
         self.many: PieceTree | None = None
 
     def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
@@ -278,30 +280,55 @@ class PieceModel:
         return self._ids(word, [(e[0], e[2]) for e in reversed(path)]), best[-1], best[-1] - second
 
     def hold(self, texts: list[list[str]]) -> None:
-        """Holds all words of ``texts`` but long ones; those that are new are searched many at once.
-
-        When half the bound is reached, words that are not met again before the next time are let go.
-        """
-        if len(self.held) > HELD_WORDS // 2:
-            self.held, self.older = {}, self.held
-            self.found.clear()
-        wanted = set(chain.from_iterable(texts)).difference(self.held)
-        known = wanted.intersection(self.older)
-        self.held.update(zip(known, map(self.older.__getitem__, known)))
-        fresh = sorted((w for w in wanted - known if 0 < len(w) <= LONG_WORD), key=len, reverse=True)
+        """Finds all words of ``texts`` that are not held yet, many at once."""
+        if len(self.held) > HELD_WORDS or len(self.held_ids) > HELD_IDS:
+            self._let_go()
+        self.batch += 1
+        words = set(chain.from_iterable(texts))
+        fresh = sorted(words.difference(self.held), key=len, reverse=True)
+        self.batch_of[[self.held[w] for w in words.intersection(self.held)]] = self.batch
+        alone = [w for w in fresh if not 0 < len(w) <= LONG_WORD]
+        fresh = [w for w in fresh if 0 < len(w) <= LONG_WORD]
+        ids, counts, best, loss = [self.held_ids], [np.diff(self.ends)], [self.best], [self.loss]
+        for word in alone:
+            own, score, less = self.of_word(word)
+            for column, value in zip((ids, counts, best, loss), (own, [len(own)], [score], [less])):
+                column.append(np.array(value))
         self.many = self.many or PieceTree(self.ids, self.scores, self.unknown)
         for x in range(0, len(fresh), WORDS_AT_ONCE):
             part = fresh[x : x + WORDS_AT_ONCE]
-            for word, ids, best, second in zip(part, *self.many.paths(part)):
-                self.held[word] = (self._with_bytes(word, ids) if -1 in ids else ids), best, best - second
-
-    def _with_bytes(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        """``ids`` with the bytes of the characters that have -1."""
-        at, made = 0, []
-        for i in ids:
-            made += [i] if i >= 0 else [self.byte_id[x] for x in word[at].encode()]
-            at += self.length_of[i] if i >= 0 else 1
-        return tuple(made)
+            flat, count, score, second = self.many.paths(part)
+            for column, value in zip((ids, counts, best, loss), (*self._with_bytes(flat, count), score, score - second)):
+                column.append(value)
+        self.held.update(zip(alone + fresh, range(len(self.held), len(self.held) + len(alone) + len(fresh))))
+        self.held_ids = np.concatenate(ids).astype(np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+        self.best, self.loss = np.concatenate(best), np.concatenate(loss)
+        self.batch_of = np.append(self.batch_of, np.full(len(self.held) - len(self.batch_of), self.batch))
+
+    def _let_go(self) -> None:
+        """Keeps the words that came in the later batches: about half of them, at most the bounds."""
+        keep = self.batch_of > np.median(self.batch_of)
+        counts = np.diff(self.ends)
+        if counts[keep].sum() > HELD_IDS:
+            keep[:] = False
+        self.held = {w: row for row, w in enumerate(w for w, k in zip(self.held, keep.tolist()) if k)}
+        self.held_ids = self.held_ids[np.repeat(keep, counts)]
+        self.ends = np.concatenate([[0], np.cumsum(counts[keep])]).astype(np.int64)
+        self.best, self.loss, self.batch_of = self.best[keep], self.loss[keep], self.batch_of[keep]
+        self.found.clear()
+
+    def _with_bytes(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` and their counts with bytes for the characters without a piece."""
+        lost = ids < 0
+        if not lost.any():
+            return ids, counts
+        spelt = [[self.byte_id[x] for x in chr(-1 - c).encode()] for c in ids[lost].tolist()]
+        width = np.ones(len(ids), np.int64)
+        width[lost] = [len(b) for b in spelt]
+        made = np.repeat(ids, width)
+        made[made < 0] = list(chain.from_iterable(spelt))
+        return made, np.bincount(np.repeat(np.arange(len(counts)), counts), width, len(counts)).astype(np.int64)
 
     def _search_held(self, word: str) -> list[Path]:
         if len(word) > LONG_WORD:
@@ -325,18 +352,19 @@ class PieceModel:
                 words.append(part)
         return words
 
-    def _encode(self, words: list[str]) -> tuple[list[int], list[Option], dict[int, list[Path]]]:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, list[Option], dict[int, list[Path]]]:
+        """The best ids, the N best as changes to them, and the N best of the words concerned. ``words`` are held."""
         if not words:
-            return [], [(0.0, ())], {}
-        runs = list(map(self.held.get, words))
-        if not all(runs):
-            runs = [run or self.of_word(word) for run, word in zip(runs, words)]
-        found_ids, scores, losses = zip(*runs)
-        ids = list(chain.from_iterable(found_ids))
-        total = sum(scores)
+            return np.zeros(0, np.int32), [(0.0, ())], {}
+        rows = np.fromiter(map(self.held.__getitem__, words), np.int64, len(words))
+        begin, count = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        end = np.cumsum(count)
+        ids = self.held_ids[np.arange(end[-1]) + np.repeat(begin - end + count, count)]
+        total = float(self.best[rows].sum())
         # The N best texts change no words but those with the N - 1 smallest losses.
-        losses = np.array(losses)
-        few = [w for w in np.argsort(losses, kind="stable")[: self.n_best - 1].tolist() if losses[w] < math.inf]
+        losses, n = self.loss[rows], min(self.n_best - 1, len(words))
+        low = np.flatnonzero(losses <= np.partition(losses, n - 1)[n - 1]) if n else np.zeros(0, np.int64)
+        few = [w for w in low[np.argsort(losses[low], kind="stable")][:n].tolist() if losses[w] < math.inf]
         paths = {w: self._search_held(words[w]) for w in few}
         options: list[Option] = [(0.0, ())]
         for w, found in paths.items():
@@ -344,7 +372,7 @@ class PieceModel:
             options = heapq.nsmallest(self.n_best, grown)
         return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], paths
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], list[float]]]:
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float]]]:
         """For each text the best ids, and the scores of the N best segmentations in order."""
         words = [self._words(t) if t else [] for t in texts]
         self.hold(words)
@@ -353,11 +381,13 @@ class PieceModel:
             yield ids, [score for score, _ in options]
 
     def encode(self, text: str) -> tuple[list[int], list[float]]:
-        return next(self.encode_all([text]))
+        ids, scores = next(self.encode_all([text]))
+        return ids.tolist(), scores
 
     def n_best_ids(self, text: str) -> list[Path]:
         """The N best segmentations in full."""
         words = self._words(text) if text else []
+        self.hold([words])
         _, options, paths = self._encode(words)
         best = [self.of_word(w)[0] for w in words]
         made = []
@@ -384,7 +414,7 @@ def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text")
                 part = batch.slice(a, b - a)
                 ids, ends, scores = [], [0], []
                 for best, found in pieces.encode_all(part.column(1).to_pylist()):
-                    ids.append(np.array(best, np.int32))
+                    ids.append(best)
                     ends.append(ends[-1] + len(best))
                     scores.append(found)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
