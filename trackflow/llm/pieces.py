@@ -20,6 +20,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -34,10 +35,10 @@ from trackflow.llm.frames import chunks
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-HELD_WORDS = 400_000
+HELD_WORDS = 250_000
 HELD_IDS = 8 * HELD_WORDS
 LONG_WORD = 64  # longer words are searched one by one
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 10_000
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Path = tuple[float, tuple[int, ...]]
@@ -173,13 +174,6 @@ class PieceModel:
                 self.ids[piece] = i
         if len(self.byte_id) < 256:
             raise ValueError("the vocabulary has no piece for every byte")
-        # Pieces as a tree of characters; a piece's end has its id under the empty string.
-        self.tree: dict = {}
-        for piece, i in self.ids.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
         self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN_COST
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         # Held words by row: ids between two ends, best score, loss of the second best, the last batch that had it.
@@ -190,6 +184,17 @@ class PieceModel:
         self.found: dict[str, list[Path]] = {}
         self.many: PieceTree | None = None
 
+    @cached_property
+    def tree(self) -> dict:
+        """Pieces as a tree of characters; a piece's end has its id under the empty string. Decoding needs none."""
+        tree: dict = {}
+        for piece, i in self.ids.items():
+            node = tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        return tree
+
     def lattice(self, word: str) -> list[list[tuple[int, float, int]]]:
         """For each end position the edges (start, score, id); id -1: the character's bytes."""
         n, tree, scores = len(word), self.tree, self.scores
