@@ -220,6 +220,19 @@ def test_language(spark):
     assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
 
 
+def test_language_copies(spark):
+    # Texts with the highest draws, copied often: none lies under a share that counts rows.
+    words = spark.range(4000).select(F.concat(F.lit("copied words "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    high = words.orderBy(F.desc(F.xxhash64("text"))).limit(20)
+    rows = high.crossJoin(spark.range(100)).select("text", F.lit("many").alias("lang"))
+    low = words.orderBy(F.xxhash64("text")).limit(20)
+    rows = rows.unionByName(low.crossJoin(spark.range(100)).select("text", F.lit("low").alias("lang")))
+    samples = language.learn(rows)
+    assert set(samples) == {"many", "low"}
+    for name, texts in (("many", high), ("low", low)):
+        assert samples[name] == " ".join(r["text"] for r in texts.orderBy(F.xxhash64("text")).collect())
+
+
 def test_language_held_out(spark):
     found = queries.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0]

@@ -9,7 +9,7 @@ with the fewest bits wins, ties go to the smaller name by code point.
 Texts are lower-cased, and everything but letters becomes one space. Long texts are parsed in pieces of
 PIECE characters side by side; a phrase ends where its piece ends.
 
-Parameters of the sample: at most SAMPLE_ROWS rows per language, at most SAMPLE_CHARS characters per
+Parameters of the sample: at most SAMPLE_ROWS different texts per language, at most SAMPLE_CHARS characters per
 language, TOTAL_CHARS over all languages. Defined results: a null text or one without a letter is "und" with score
 0, as is every text if there is nothing to learn from; a label of null is not learned.
 The score is 1 less the best language's bits over the second best's (1 if there is one language only).
@@ -157,18 +157,21 @@ class CrossParser:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", draw: Column | None = None) -> dict[str, str]:
-    """A bounded sample of plain text per language; ``draw`` is the number that orders the rows."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.xxhash64(F.col(text)) if draw is None else draw).alias("draw"))
+    """A bounded sample of plain text per language; ``draw`` is the number that orders the rows, copies count once."""
+    key = F.xxhash64(F.col(text))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key"), (key if draw is None else draw).alias("draw"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TOTAL_CHARS // 2000).collect()}
+    different = rows.select("lang", "key").distinct()
+    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TOTAL_CHARS // 2000).collect()}
     if not sizes:
         return {}
-    # Hashes are even, so the lowest four-fold share holds enough rows; few are ranked.
+    # Hashes of different texts are even, so their lowest four-fold share holds enough of them; few are ranked.
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 4 * SAMPLE_ROWS / n))])
     low = (F.col("draw") / float(1 << 63) + 1) / 2 <= share[F.col("lang")]
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - ROW_CHARS) / 2)).cast("int")
     few = rows.filter(F.col("lang").isin(list(sizes))).filter(low)
-    few = materialise(few.select("lang", "draw", F.col("text").substr(middle, F.lit(ROW_CHARS)).alias("text")))
+    few = few.select("lang", "key", "draw", F.col("text").substr(middle, F.lit(ROW_CHARS)).alias("text"))
+    few = materialise(few.groupBy("lang", "key", "text").agg(F.min("draw").alias("draw")))
     chars = min(SAMPLE_CHARS, TOTAL_CHARS // len(sizes))
     samples: dict[str, list[str]] = {k: [] for k in sizes}
     for name in sizes:
