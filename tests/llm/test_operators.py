@@ -196,6 +196,20 @@ def test_page_text(spark):
     assert [r["text"][:5] for r in got] == ["", "", "Title"]
 
 
+@pytest.mark.parametrize("name", ["class='layout has-sidebar'", "class=content-with-sidebar", "class=page-with-banner", "id=social-history", "class=with-header"])
+def test_page_text_named_wrapper(name):
+    long = "A tale, told at length. It goes on, and on, to its end."
+    around = f"<body><div class=ad>Buy!</div><div {name}>%s<div class=sidebar>Side, and more.</div><div class=related><article>A teaser.</article></div></div>"
+    around += "<div id=comments><ol><li class=comment><article>A reader's very long comment, with points; longer, really, than the tale itself is.</article></ol></div>"
+    article = f"<article><h1>Title</h1><p>{long}<p>End</article>"
+    assert page_text.main_text(around % article) == f"Title\n\n{long}\n\nEnd"
+    assert page_text.main_text(around % f"<main><div class='x-menu'>{article}</div></main>") == f"Title\n\n{long}\n\nEnd"
+    only = f"<body><div class=ad>Buy!</div><div {name}><p>{long}<p>{long}</div><div class='cookie notice'>We use cookies.</div>"
+    assert page_text.main_text(only) == f"{long}\n\n{long}"
+    assert page_text.main_text("<body><article><p>Short.</article><div class=ad>An advert, longer than the article; much longer.</div>") == "Short."
+    assert page_text.main_text("<body><article></article><div class=ad>An advert, all there is.</div>") == ""
+
+
 def parses_brute(sample, text):
     n, i = 0, 0
     while i < len(text):

@@ -7,7 +7,9 @@ smoothed score reaches a share of the page's mean are content paths. The main te
 the content element: the outermost article or main around most of the content, else the deepest division
 that holds most of it. Within it every block is kept, however short. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are known by tag, role or class name and left
-out first.
+out first. A class name or id is evidence only: an element so named stays if it holds the page's article or main,
+or most of the content that the ratios find when all but reader comments counts. Where an article or main lies
+outside, parts of a name that says nothing else ("ad", not "has-ad") go in any case.
 
 White space inside a block (a line break counts as such) becomes one space, blocks are joined by an empty
 line. Null and empty pages, and pages without content, give an empty text.
@@ -45,6 +47,7 @@ LEFT_OUT_NAMES = frozenset(
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup "
     "login comment comments disqus respond replies share sharing social related recommended widget pagination pager toolbar".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies".split())
 HEADERS = frozenset("header masthead".split())
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -71,13 +74,17 @@ class Element:
     out: bool
     main: bool
     depth: int
+    named: bool = False
+    wholly: bool = False
+    comments: bool = False
+    gone: bool = False
     mass: float = 0.0
 
 
 @dataclass
 class Block:
     element: Element
-    pieces: list[str] = field(default_factory=list)
+    pieces: list[tuple[str, Element]] = field(default_factory=list)
 
 
 @dataclass
@@ -94,19 +101,26 @@ def _opened(tag: str, rest: str, parent: Element) -> Element:
     role = attributes.get("role", "").lower()
     main = tag in ("article", "main") or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
     out = parent.out or tag in LEFT_OUT
+    named = False
     if not out and not main and tag not in ("html", "body"):
         inside = parent
         while inside.parent is not None and not inside.main:
             inside = inside.parent
-        heads = not inside.main and (tag == "header" or bool(HEADERS.intersection(names)))
+        heads = not inside.main and tag == "header"
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         hidden = hidden or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        out = heads or hidden or role in LEFT_OUT_ROLES or bool(LEFT_OUT_NAMES.intersection(names))
-    return Element(tag, f"{tag}.{names[0]}" if names else tag, parent, out, main, parent.depth + 1)
+        out = heads or hidden or role in LEFT_OUT_ROLES
+        named = bool(LEFT_OUT_NAMES.intersection(names)) or not inside.main and bool(HEADERS.intersection(names))
+    made = Element(tag, f"{tag}.{names[0]}" if names else tag, parent, out, main, parent.depth + 1, named)
+    if named:
+        made.comments = bool(COMMENTS.intersection(names))
+        single = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+        made.wholly = any(all(n in LEFT_OUT_NAMES or n in HEADERS for n in re.findall(r"[a-z0-9]+", name)) for name in single if name.strip("-_"))
+    return made
 
 
-def parse(page: str) -> tuple[list[Block], list[Piece]]:
-    """Blocks of text and pieces with their paths, in page order, left-out parts excepted."""
+def parse(page: str) -> tuple[list[Block], list[Piece], list[Element]]:
+    """Blocks of text, pieces with their paths and elements, in page order; named parts are in, others left out."""
     root = Element("", "", None, False, False, 0)
     at, here = 0, root
     blocks: list[Block] = [Block(root)]
@@ -117,7 +131,7 @@ def parse(page: str) -> tuple[list[Block], list[Piece]]:
     def said(raw: str) -> None:
         if here.out or not raw:
             return
-        blocks[-1].pieces.append(raw)
+        blocks[-1].pieces.append((raw, here))
         if not raw.isspace():
             chain, linked = here, False
             while chain is not None:
@@ -147,7 +161,7 @@ def parse(page: str) -> tuple[list[Block], list[Piece]]:
             continue
         if tag == "br":
             if not here.out:
-                blocks[-1].pieces.append(" ")
+                blocks[-1].pieces.append((" ", here))
             continue
         if block:
             closes = CLOSED_BY.get(tag, frozenset())
@@ -170,7 +184,7 @@ def parse(page: str) -> tuple[list[Block], list[Piece]]:
                 here = made
         if block:
             blocks.append(Block(here))
-    return blocks, pieces
+    return blocks, pieces, held
 
 
 def content_paths(pieces: list[Piece]) -> set[str]:
@@ -192,20 +206,83 @@ def content_paths(pieces: list[Piece]) -> set[str]:
     return {p for p, n in number.items() if length[p] and smooth[p] / n >= THRESHOLD * mean}
 
 
-def main_text(page: str) -> str:
-    blocks, pieces = parse(page)
+def weigh(pieces: list[Piece]) -> float:
+    """Sets each element's mass, the length of the content in it; returns that of the page."""
     chosen = content_paths(pieces)
-    total, seen = 0, {}
+    total = 0
+    for p in pieces:
+        element = p.element
+        while element is not None:
+            element.mass = 0
+            element = element.parent
     for p in pieces:
         if p.path in chosen and not p.linked:
             total += len(p.text)
             element = p.element
             while element is not None:
                 element.mass += len(p.text)
-                seen[id(element)] = element
                 element = element.parent
+    return total
+
+
+def hold_articles(elements: list[Element], pieces: list[Piece]) -> bool:
+    """Ends the names of elements that hold the page's article or main; returns whether one lies in no named element."""
+    mains = [e for e in elements if e.main and not e.out]
+    while True:
+        size = {id(e): 0 for e in mains}
+        for p in pieces:
+            element = None if p.linked else p.element
+            while element is not None and not element.named:
+                if element.main:
+                    size[id(element)] += len(p.text)
+                element = element.parent
+        free, largest, tops = False, 0, {}
+        for e in mains:
+            above, top = e.parent, None
+            while above is not None:
+                top = above if above.named else top
+                above = above.parent
+            if top is None:
+                free, largest = True, max(largest, size[id(e)])
+            else:
+                tops[id(top)] = top, max(size[id(e)], tops.get(id(top), (top, 0))[1])
+        better = [top for top, n in tops.values() if n > largest and not top.comments]
+        if not better and not largest:
+            better = [top for top, n in tops.values() if n]
+        if not better:
+            return free
+        for top in better:
+            top.named = False
+
+
+def leave_out(elements: list[Element], pieces: list[Piece]) -> None:
+    """Sets what is gone: what lies in a named element, unless that holds the page's article or its content."""
+    free = hold_articles(elements, pieces)
+    replies = set()
+    for e in elements:
+        if e.named and e.comments or id(e.parent) in replies:
+            replies.add(id(e))
+    total = weigh([p for p in pieces if id(p.element) not in replies]) or weigh(pieces)
+    for e in elements:
+        if e.named and total and e.mass >= MOST * total and not (free and e.wholly):
+            e.named = False
+        e.gone = e.out or e.named or e.parent is not None and e.parent.gone
+
+
+def main_text(page: str) -> str:
+    blocks, pieces, elements = parse(page)
+    if any(e.named for e in elements):
+        leave_out(elements, pieces)
+        pieces = [p for p in pieces if not p.element.gone]
+    total = weigh(pieces)
     if not total:
         return ""
+    seen = {}
+    for p in pieces:
+        element = p.element
+        while element is not None:
+            seen[id(element)] = element
+            element = element.parent
     holding = [e for e in seen.values() if e.mass >= MOST * total]
     mains = [e for e in holding if e.main]
     if mains:
@@ -218,7 +295,7 @@ def main_text(page: str) -> str:
         while element is not None and element is not content:
             element = element.parent
         if element is content:
-            text = " ".join(html.unescape("".join(b.pieces)).split())
+            text = " ".join(html.unescape("".join(raw for raw, e in b.pieces if not e.gone)).split())
             if text:
                 texts.append(text)
     return "\n\n".join(texts)
