@@ -210,6 +210,19 @@ def test_page_text_named_wrapper(name):
     assert page_text.main_text("<body><article></article><div class=ad>An advert, all there is.</div>") == ""
 
 
+def test_page_text_no_article():
+    some, more = "A lead, of some length. It tells what comes.", "A tale, told at length. It goes on, and on, to its end. " * 2
+    parts = f"<h1>Title</h1><div class=lead>{some}</div><div class=body>{more}</div>"
+    want = f"Title\n\n{some}\n\n{more.strip()}"
+    menu = "<ul><li><a href=1>One</a><li><a href=2>Two</a></ul>"
+    assert page_text.main_text(f"<body><div>{menu}</div><div id=story>{parts}</div><div>{menu}</div>") == want
+    assert page_text.main_text(f"<body><div>{menu}</div>{parts}<div>{menu}</div>") == want
+    quoted = f"<div id=story><h1>Title</h1><p>So.<blockquote><p>{more}</blockquote><ul><li>{some}</ul><p>End</div>"
+    assert page_text.main_text(f"<body>{menu}{quoted}") == f"Title\n\nSo.\n\n{more.strip()}\n\n{some}\n\nEnd"
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{more}</section>" for i in range(3))
+    assert page_text.main_text(f"<body>{menu}<div>{sections}</div>") == "\n\n".join(f"Part {i}\n\n{more.strip()}" for i in range(3))
+
+
 def parses_brute(sample, text):
     n, i = 0, 0
     while i < len(text):

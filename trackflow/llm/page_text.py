@@ -5,7 +5,8 @@ and path, text length and punctuation are aggregated over its pieces and divided
 the two ratios are fused (their product), smoothed over neighbouring pieces in page order, and the paths whose
 smoothed score reaches a share of the page's mean are content paths. The main text is what lies in
 the content element: the outermost article or main around most of the content, else the deepest division
-that holds most of it. Within it every block is kept, however short. Menus, headers, footers, sidebars,
+that holds all of it. Within it every block is kept, however short; only where that is the whole page, blocks of
+nothing but links (no headings) before and after all content are menus. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are known by tag, role or class name and left
 out first. A class name or id is evidence only: an element so named stays if it holds the page's article or main,
 or most of the content that the ratios find when all but reader comments counts. Where an article or main lies
@@ -58,6 +59,8 @@ CLOSED_BY = {
     "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]),
 }
+DIVISIONS = frozenset("div article section main body html td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div article section main body html td th blockquote".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^>\"'])*+|[^>]*)(?:>|\Z)", re.S
@@ -258,11 +261,12 @@ def hold_articles(elements: list[Element], pieces: list[Piece]) -> bool:
 def leave_out(elements: list[Element], pieces: list[Piece]) -> None:
     """Sets what is gone: what lies in a named element, unless that holds the page's article or its content."""
     free = hold_articles(elements, pieces)
-    replies = set()
-    for e in elements:
-        if e.named and e.comments or id(e.parent) in replies:
-            replies.add(id(e))
-    total = weigh([p for p in pieces if id(p.element) not in replies]) or weigh(pieces)
+    total, replies = 0, set()
+    if any(e.named and not (free and e.wholly) for e in elements):
+        for e in elements:
+            if e.named and e.comments or id(e.parent) in replies:
+                replies.add(id(e))
+        total = weigh([p for p in pieces if id(p.element) not in replies]) or weigh(pieces)
     for e in elements:
         if e.named and total and e.mass >= MOST * total and not (free and e.wholly):
             e.named = False
@@ -283,13 +287,12 @@ def main_text(page: str) -> str:
         while element is not None:
             seen[id(element)] = element
             element = element.parent
-    holding = [e for e in seen.values() if e.mass >= MOST * total]
-    mains = [e for e in holding if e.main]
+    mains = [e for e in seen.values() if e.main and e.mass >= MOST * total]
     if mains:
         content = min(mains, key=lambda e: e.depth)
     else:
-        content = max((e for e in holding if e.tag in SCOPES or not e.tag), key=lambda e: e.depth)
-    texts = []
+        content = max((e for e in seen.values() if e.mass == total and (e.tag in DIVISIONS or not e.tag)), key=lambda e: e.depth)
+    texts, links = [], []
     for b in blocks:
         element = b.element
         while element is not None and element is not content:
@@ -298,9 +301,25 @@ def main_text(page: str) -> str:
             text = " ".join(html.unescape("".join(raw for raw, e in b.pieces if not e.gone)).split())
             if text:
                 texts.append(text)
+                links.append(all(raw.isspace() or e.gone or _in_link(e) for raw, e in b.pieces) and not _in_heading(b.element))
+    if content.tag in ("", "html", "body") and False in links:
+        first, last = links.index(False), len(links) - links[::-1].index(False)
+        texts = texts[first:last]
     return "\n\n".join(texts)
 
 
+def _in_link(element: Element | None) -> bool:
+    while element is not None and element.tag != "a":
+        element = element.parent
+    return element is not None
+
+
+def _in_heading(element: Element | None) -> bool:
+    while element is not None and element.tag not in HEADINGS:
+        element = element.parent
+    return element is not None
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
