@@ -1,6 +1,7 @@
 """Each text operator on small tables with nulls, empty and very long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -325,6 +326,22 @@ def test_topk(spark):
     assert topk.search(topk.build_index(empty), empty, 5).count() == 0
 
 
+def test_topk_large_components(spark):
+    r = random.Random(5)
+    rows = [(i, [0.0] + [r.choice([1, 1e3, 1e5, 3e6]) * r.uniform(-1, 1) for _ in range(5)]) for i in range(300)]
+    rows += [(300, [3.0e16, 0, 0, 0, 0, 1e-2]), (301, [-3.0e16, 0, 0, 0, 0, 0]), (302, [0.0, 1, 0, 0, 0, 0])]
+    whole = {i: [math.floor(x * 256) for x in v] for i, v in rows}
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = topk.search(topk.build_index(table), table.filter("vec_id in (0, 50, 100, 302)"), 5).collect()
+    for q in (0, 50, 100, 302):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    for far in ([1e300, 0.0], [3e16, 0.0]):
+        two = spark.createDataFrame([(1, far), (2, far)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64-bit integers"):
+            topk.search(topk.build_index(two), two, 5).collect()
+
+
 def test_mixing(spark):
     r = random.Random(4)
     sources = [r.choice(["a", "b", "b", "b", "c", "d"]) for _ in range(1500)] + [None, "z", "tiny"]

@@ -12,7 +12,8 @@ Blocks of queries meet blocks of rows, k best per pair, then k best per query. N
 candidate list passes through the driver.
 
 Defined results: vectors that are null, empty, or hold a null, NaN or infinite component, and rows with a
-null id take no part; components beyond +-2**20 after quantising are clipped to that. Vectors meet only vectors of
+null id take no part. Quantised components are 64-bit integers; a component, or a score of a block's best,
+beyond them is an error. Vectors meet only vectors of
 their length. Rows that share the query's id are its own and no candidates; an id queried with
 several vectors is answered for the least of them.
 """
@@ -32,12 +33,14 @@ from trackflow.operators.tables import materialise, row_count
 
 ROWS_PER_BLOCK = 1 << 16
 QUERIES_PER_BLOCK = 64
-LIMIT = 1 << 20
+LIMIT = 1 << 63
 
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(vec_id, dim, v): valid vectors as whole numbers."""
-    whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.floor(F.greatest(F.least(x * 256, F.lit(LIMIT * 1.0)), F.lit(-LIMIT * 1.0))).cast("int"))
+    fits = lambda y: (y >= F.lit(-1.0 * LIMIT)) & (y < F.lit(1.0 * LIMIT))
+    beyond = F.raise_error(F.lit("a component times 256 is beyond 64-bit integers")).cast("long")
+    whole = F.transform(F.col(vector).cast("array<double>"), lambda x: F.when(fits(x * 256), F.floor(x * 256)).otherwise(beyond))
     good = ~F.exists(F.col(vector).cast("array<double>"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & good)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.size(vector).alias("dim"), whole.alias("v"))
@@ -58,14 +61,14 @@ class Slices:
         order = np.argsort(ids, kind="stable")
         ids, values = ids[order], values[order].astype(np.int64)
         lowest = values.min(axis=0)
-        raised = values - lowest
+        raised = values.view(np.uint64) - lowest.view(np.uint64)  # modulo 2**64, as the difference may have 64 bits
         bits = max(1, int(raised.max()).bit_length())
         words = -(-len(ids) // 64)
         planes = np.zeros((values.shape[1], bits, words * 8), np.uint8)
-        padded = np.zeros((words * 64, values.shape[1]), np.int64)
+        padded = np.zeros((words * 64, values.shape[1]), np.uint64)
         padded[: len(ids)] = raised
         for b in range(bits):
-            planes[:, b] = np.packbits(((padded >> b) & 1).astype(np.uint8).T, axis=1, bitorder="little")
+            planes[:, b] = np.packbits(((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8).T, axis=1, bitorder="little")
         return cls(ids, planes.view(np.uint64), lowest)
 
     def to_bytes(self) -> bytes:
@@ -83,8 +86,8 @@ class Slices:
     def values(self, rows: np.ndarray) -> np.ndarray:
         """The vectors of some rows, read back from the slices."""
         bit = (self.planes[:, :, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
-        weights = (1 << np.arange(self.planes.shape[1], dtype=np.int64))[None, :, None]
-        return ((bit.astype(np.int64) * weights).sum(axis=1) + self.lowest[:, None]).T
+        weights = (np.uint64(1) << np.arange(self.planes.shape[1], dtype=np.uint64))[None, :, None]
+        return ((bit * weights).sum(axis=1, dtype=np.uint64) + self.lowest.view(np.uint64)[:, None]).view(np.int64).T
 
     def scores(self, query: list[int]) -> list[np.ndarray]:
         """The slices, least first, of the inner product less a constant that all rows share."""
@@ -144,11 +147,22 @@ class Slices:
                     break
         # What is open now ties on the boundary score; rows are in order of their ids.
         rows = np.concatenate([positions(sure), positions(open_)[: k - count(sure)]])
-        scores = self.values(rows) @ query.astype(np.int64)
+        scores = exact_products(self.values(rows), query)
         order = np.lexsort((self.ids[rows], -scores))
         return self.ids[rows][order], scores[order]
 
 
+def exact_products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products with ``query``, by wider sums where 64 bits might not do; an error if one is beyond 64 bits."""
+    largest = np.abs(values.astype(np.float64)).max(axis=0, initial=0.0)
+    if float(largest @ np.abs(query.astype(np.float64))) < 2.0**62:
+        return values @ query.astype(np.int64)
+    wide = [sum(v * q for v, q in zip(row, query.tolist())) for row in values.tolist()]
+    if any(not -LIMIT <= score < LIMIT for score in wide):
+        raise OverflowError("an inner product is beyond 64-bit integers")
+    return np.array(wide, np.int64)
+
+
 def signed_digits(value: int) -> Iterator[tuple[int, bool]]:
     """The non-adjacent form: (shift, is minus) with value = sum of +-2**shift."""
     shift = 0
@@ -181,7 +195,7 @@ def _packed(limit: int, sliced: bool):
             parts = waiting.pop(dim)
             ids = np.concatenate([p[0] for p in parts])
             values = np.concatenate([p[1] for p in parts])
-            data = Slices.of(ids, values).to_bytes() if sliced else ids.tobytes() + values.astype(np.int32).tobytes()
+            data = Slices.of(ids, values).to_bytes() if sliced else ids.tobytes() + values.astype(np.int64).tobytes()
             columns = [pa.array([number], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())]
             number += 1
             return pa.RecordBatch.from_arrays(columns, ["block", "dim", "n", "data"])
@@ -235,7 +249,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
                     last, held = raw, Slices.from_bytes(raw)
                 n, dim, data = batch.column(2)[r].as_py(), batch.column(0)[r].as_py(), batch.column(3)[r].as_py()
                 ids = np.frombuffer(data, np.int64, n)
-                vectors = np.frombuffer(data, np.int32, n * dim, 8 * n).reshape(n, dim)
+                vectors = np.frombuffer(data, np.int64, n * dim, 8 * n).reshape(n, dim)
                 found = [held.best(int(i), v, k) for i, v in zip(ids, vectors)]
                 sizes = [len(f[0]) for f in found]
                 columns = [np.repeat(ids, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
