@@ -261,6 +261,28 @@ def test_language_copies(spark):
         assert samples[name] == " ".join(r["text"] for r in texts.orderBy(F.xxhash64("text")).collect())
 
 
+def test_language_many_letters(monkeypatch):
+    r = random.Random(6)
+    wide = lambda first, n: "".join(chr(first + r.randrange(n)) if r.random() < 0.9 else " " for _ in range(4000))
+    samples = {"han": wide(0x4E00, 1200), "hangul": wide(0xAC00, 900), "small": "ᚠᚢᚦ ᚨᚱᚲ", "latin": "the cat sat on the mat"}
+    samples = {k: " ".join(v.split()) for k, v in samples.items()}
+    texts = [samples["han"][500:900], samples["hangul"][90:300], "ᚨᚱᚲ ᚠᚢᚦ", "the mat", samples["han"][7:60] + " cat ᚦ" + samples["hangul"][:30]]
+    texts = [language.plain(t) for t in texts]
+    for entries in (language.DENSE_ENTRIES, 300, 0):
+        monkeypatch.setattr(language, "DENSE_ENTRIES", entries)
+        parser = language.CrossParser(samples)
+        for text in (t[:250] for t in texts):
+            assert parser.phrases([text])[0].tolist() == [parses_brute(samples[k], text) for k in parser.languages]
+        assert parser.judge(texts)[0][:4] == ["han", "hangul", "small", "latin"]
+
+
+def test_language_every_label(spark):
+    names = [f"l{i}" for i in range(language.TOTAL_CHARS // 2000 + 5)]
+    rows = spark.createDataFrame([(n, f"text of {n}".translate({48 + i: 97 + i for i in range(10)})) for n in names], "lang string, text string")
+    samples = language.learn(rows)
+    assert sorted(samples) == sorted(names) and samples["l12"] == "text of lbc"
+
+
 def test_language_held_out(spark):
     found = queries.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0]

@@ -10,7 +10,8 @@ Texts are lower-cased, and everything but letters becomes one space. Long texts
 PIECE characters side by side; a phrase ends where its piece ends.
 
 Parameters of the sample: at most SAMPLE_ROWS different texts per language, at most SAMPLE_CHARS characters per
-language, TOTAL_CHARS over all languages. Defined results: a null text or one without a letter is "und" with score
+language, TOTAL_CHARS over all languages or LEAST_CHARS for each, if that is more. Every label is learned, and
+every character of its sample counts. Defined results: a null text or one without a letter is "und" with score
 0, as is every text if there is nothing to learn from; a label of null is not learned.
 The score is 1 less the best language's bits over the second best's (1 if there is one language only).
 """
@@ -27,14 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackflow.llm.frames import chunks
-from trackflow.operators.tables import materialise
+from trackflow.operators.tables import attach, materialise, row_count
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 30_000
 TOTAL_CHARS = 600_000
 ROW_CHARS = 6_000
 PIECE = 256
-MAX_SYMBOLS = 256
+LEAST_CHARS = 2_000
+DENSE_ENTRIES = 1 << 25
 CHUNK_CHARS = 1 << 19
 UNKNOWN = "und"
 
@@ -75,49 +77,90 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return follow
 
 
+class DenseTable:
+    """An automaton as a table: row = state, column = symbol, entry = the next state's row, with the lowest bit
+    set where a new phrase begins."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        self.width = dense_width(symbols)
+        start = np.full(self.width, 1, np.int32)
+        for symbol, to in follow[0].items():
+            start[symbol] = (to * self.width) | 1
+        table = np.tile(start, (len(follow), 1))
+        for at, state in enumerate(follow):
+            if state and at:  # every step from the start begins a phrase
+                table[at, list(state)] = [to * self.width for to in state.values()]
+        self.table = table.ravel()
+        self.keep = np.int32(~(self.width - 1))
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table.take((state & self.keep) | symbols)
+
+
+class SparseTable:
+    """An automaton as its sorted steps (state, symbol); entries are twice the next state, the lowest bit as above."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        self.symbols = symbols
+        self.start = np.full(symbols, 1, np.int32)
+        for symbol, to in follow[0].items():
+            self.start[symbol] = (to << 1) | 1
+        steps = [(at * symbols + symbol, to << 1) for at, state in enumerate(follow) if at for symbol, to in state.items()]
+        keys = np.array([k for k, _ in steps] + [np.iinfo(np.int64).max], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.array([to for _, to in steps] + [0], np.int32)[order]
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        entry = self.start.take(symbols)
+        live = np.flatnonzero((state > 1) & (symbols > 0))
+        wanted = (state[live] >> 1).astype(np.int64) * self.symbols + symbols[live]
+        at = self.keys.searchsorted(wanted)
+        hit = self.keys.take(at) == wanted
+        entry[live[hit]] = self.next.take(at[hit])
+        return entry
+
+
+def dense_width(symbols: int) -> int:
+    return 1 << max(1, math.ceil(math.log2(symbols)))
+
+
 class CrossParser:
-    """Counts the phrases of many texts for all languages at once.
+    """Counts the phrases of many texts for all languages.
 
-    The automata are one table: row = state, column = symbol, entry = next state's row with the lowest
-    bit set where a new phrase begins.
+    Each language has symbols of its own for the characters of its sample. Tables are dense as far as all of them
+    have at most DENSE_ENTRIES entries, those with the fewest first, and sparse beyond; both count the same.
     """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        common = sorted(counts, key=lambda c: (-counts[c], c))[: MAX_SYMBOLS - 2]
-        self.width = 1 << max(1, math.ceil(math.log2(len(common) + 2)))
         # 0: a letter that no sample has; 1: the space.
-        symbols = {c: i + 2 for i, c in enumerate(c for c in common if c != " ")} | {" ": 1}
-        self.symbol_of = np.zeros(0x110000, np.uint8)
-        known = np.fromiter((ord(c) for c in symbols), np.int64, len(symbols))
-        self.symbol_of[known] = np.fromiter(symbols.values(), np.int64, len(symbols))
-        tables, self.roots, base = [], [], 0
+        common = [" ", *sorted(set().union(*samples.values()) - {" "})]
+        self.symbol_of = np.zeros(0x110000, np.int32)
+        self.symbol_of[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        letters = {name: [" ", *sorted(set(text) - {" "})] for name, text in samples.items()}
+        entries = {name: 2 * (len(text) + 1) * dense_width(len(letters[name]) + 1) for name, text in samples.items()}
+        dense, total = set(), 0
+        for name in sorted(samples, key=lambda n: (entries[n], n)):
+            total += entries[name]
+            if total <= DENSE_ENTRIES:
+                dense.add(name)
+        self.tables: list[DenseTable | SparseTable] = []
+        # Per language: its symbol of each symbol of all.
+        self.own: list[np.ndarray] = []
         for name in self.languages:
-            follow = suffix_automaton([symbols.get(c, 0) for c in samples[name]])
-            for state in follow:
-                state.pop(0, None)
-            start = np.full(self.width, base | 1, np.int64)
-            for symbol, to in follow[0].items():
-                start[symbol] = (base + to * self.width) | 1
-            table = np.tile(start, (len(follow), 1))
-            for at, state in enumerate(follow):
-                if state and at:  # every step from the start begins a phrase
-                    table[at, list(state)] = [base + to * self.width for to in state.values()]
-            tables.append(table.astype(np.int32))
-            self.roots.append(base)
-            base += len(follow) * self.width
-        self.table = np.concatenate([t.ravel() for t in tables])
+            symbols = {c: i + 1 for i, c in enumerate(letters[name])}
+            own = np.zeros(len(common) + 1, np.min_scalar_type(len(symbols)))
+            own[self.symbol_of[[ord(c) for c in symbols]]] = list(symbols.values())
+            self.own.append(own)
+            follow = suffix_automaton([symbols[c] for c in samples[name]])
+            self.tables.append((DenseTable if name in dense else SparseTable)(follow, len(symbols) + 1))
         self.costs = np.array([math.log2(max(2, len(samples[n]))) for n in self.languages])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrase counts: a row per text, a column per language. ``texts`` are plain."""
         sizes = np.array([len(t) for t in texts], np.int64)
         letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        symbols = self.symbol_of[letters].astype(np.int32)
+        common = self.symbol_of[letters]
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -127,15 +170,15 @@ class CrossParser:
         owner, begin, long = owner[order], begin[order], long[order]
         active = np.searchsorted(-long, -np.arange(PIECE), side="left")
         total = np.zeros((len(texts), len(self.languages)), np.int64)
-        keep = np.int32(~(self.width - 1))
-        for column, root in enumerate(self.roots):
-            state = np.full(len(owner), root, np.int32)
+        for column, (table, own) in enumerate(zip(self.tables, self.own)):
+            symbols = own[common].astype(np.int32)
+            state = np.zeros(len(owner), np.int32)
             found = np.zeros(len(owner), np.int32)
             for step in range(PIECE):
                 m = int(active[step])
                 if not m:
                     break
-                entry = self.table.take((state[:m] & keep) | symbols[begin[:m] + step])
+                entry = table.step(state[:m], symbols[begin[:m] + step])
                 found[:m] += entry & 1
                 state[:m] = entry
             total[:, column] = np.bincount(owner, found, len(texts)).astype(np.int64)
@@ -159,27 +202,31 @@ class CrossParser:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", draw: Column | None = None) -> dict[str, str]:
     """A bounded sample of plain text per language; ``draw`` is the number that orders the rows, copies count once."""
     key = F.xxhash64(F.col(text))
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), key.alias("key"), (key if draw is None else draw).alias("draw"))
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), key.alias("key"), (key if draw is None else draw).alias("draw"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    different = rows.select("lang", "key").distinct()
-    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(TOTAL_CHARS // 2000).collect()}
-    if not sizes:
+    sizes = materialise(rows.select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if not row_count(sizes):
         return {}
     # Hashes of different texts are even, so their lowest four-fold share holds enough of them; few are ranked.
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 4 * SAMPLE_ROWS / n))])
-    low = (F.col("draw") / float(1 << 63) + 1) / 2 <= share[F.col("lang")]
+    share = F.least(F.lit(1.0), 4 * SAMPLE_ROWS / F.col("n"))
+    low = (F.col("draw") / float(1 << 63) + 1) / 2 <= share
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - ROW_CHARS) / 2)).cast("int")
-    few = rows.filter(F.col("lang").isin(list(sizes))).filter(low)
+    few = attach(rows, sizes, ["lang"], "inner").filter(low)
     few = few.select("lang", "key", "draw", F.col("text").substr(middle, F.lit(ROW_CHARS)).alias("text"))
-    few = materialise(few.groupBy("lang", "key", "text").agg(F.min("draw").alias("draw")))
-    chars = min(SAMPLE_CHARS, TOTAL_CHARS // len(sizes))
-    samples: dict[str, list[str]] = {k: [] for k in sizes}
-    for name in sizes:
-        for row in few.filter(F.col("lang") == name).orderBy("draw", "text").limit(SAMPLE_ROWS).collect():
-            if sum(map(len, samples[name])) < chars:
-                samples[name].append(plain(row["text"]))
-    joined = {k: " ".join(v)[:chars].strip() for k, v in samples.items()}
-    return {k: v for k, v in joined.items() if v}
+    few = few.groupBy("lang", "key", "text").agg(F.min("draw").alias("draw"))
+    chars = min(SAMPLE_CHARS, max(LEAST_CHARS, TOTAL_CHARS // row_count(sizes)))
+
+    def sample(group: pa.Table) -> pa.Table:
+        ranked = sorted(zip(group["draw"].to_pylist(), group["text"].to_pylist()))[:SAMPLE_ROWS]
+        parts: list[str] = []
+        for _, text in ranked:
+            if sum(map(len, parts)) >= chars:
+                break
+            parts.append(plain(text))
+        return pa.table({"lang": group["lang"][:1].cast(pa.string()), "sample": pa.array([" ".join(parts)[:chars].strip()], pa.string())})
+
+    joined = few.groupBy("lang").applyInArrow(sample, "lang string, sample string")
+    return {r["lang"]: r["sample"] for r in joined.filter("sample <> ''").collect()}
 
 
 def predictions(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
