@@ -283,6 +283,15 @@ def test_language_every_label(spark):
     assert sorted(samples) == sorted(names) and samples["l12"] == "text of lbc"
 
 
+@pytest.mark.parametrize("label", [None, "und"])
+def test_language_stage_without_labels(spark, label):
+    import corpus_pipeline
+
+    table = docs(spark, [None, "", "12 !?", "some words", "more words", "漢"]).withColumn("lang", F.lit(label).cast("string"))
+    kept = dict(corpus_pipeline.STAGES)["language"](spark, table, "")
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
+
+
 def test_language_held_out(spark):
     found = queries.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0]

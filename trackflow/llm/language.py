@@ -229,9 +229,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", draw: Col
     return {r["lang"]: r["sample"] for r in joined.filter("sample <> ''").collect()}
 
 
-def predictions(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+def predictions(docs: DataFrame, samples: dict[str, str], text: str = "text", lettered: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, on wish also whether the text has a letter; columns of these names are replaced."""
+    new = ["lang_pred", "score", "lettered"][: 3 if lettered else 2]
+    kept = [c for c in docs.columns if c.lower() not in new]
     inner = [f"c{i}" for i in range(len(kept))]
     plain_rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(text).cast("string").alias("_text"))
     kinds = [f"{i} {plain_rows.schema[i].dataType.simpleString()}" for i in inner]
@@ -244,10 +245,11 @@ def predictions(docs: DataFrame, samples: dict[str, str], text: str = "text") ->
                 texts = [plain(t or "") for t in column.slice(a, b - a).to_pylist()]
                 names, scores = parser.judge(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 own = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(scores)], [*inner, "lang_pred", "score"])
+                found = [pa.array(names), pa.array(scores), pa.array([bool(t) for t in texts])]
+                yield pa.RecordBatch.from_arrays([*own, *found], [*inner, "lang_pred", "score", "lettered"])
 
-    judged = plain_rows.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double"]))
-    return judged.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], "lang_pred", "score")
+    judged = plain_rows.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double", "lettered boolean"]))
+    return judged.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *new)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -264,7 +266,10 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without those that have no language: null texts and texts without a letter."""
+    """``docs`` without those that have no language: null texts and texts without a letter.
+
+    Texts with letters stay whatever they are judged to be, also unjudged where there is nothing to learn from.
+    """
     samples = learn(docs.filter(~held_out(doc_id)), text, lang)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return predictions(row, samples).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return predictions(row, samples, lettered=True).filter("lettered").select("row.*")
