@@ -320,6 +320,24 @@ def test_pieces_table(spark):
     assert [r["back"] for r in got] == [t or "" for t in texts]
 
 
+def test_pieces_n_best_table(spark):
+    raw = pieces.read_model(queries.PIECES)
+    texts = [None, "", "some text, ä", "x▁y z and a cat", "a", "word " * 3000]
+    table = pieces.encoded(docs(spark, texts), raw)
+    whole = pieces.written_out(F.col("pieces"), F.col("n_best")).alias("whole")
+    read = pieces.digests(raw, F.col("pieces"), F.col("n_best")).alias("read")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    model = pieces.PieceModel(raw)
+    for row, text in zip(table.select("row.doc_id", whole, read, "scores").orderBy("doc_id").collect(), texts):
+        want = model.n_best_ids(text or "")
+        assert [(o["score"], tuple(o["pieces"])) for o in row["whole"]] == want and len({ids for _, ids in want}) == len(want)
+        assert [o["score"] for o in row["whole"]] == row["scores"] and (not text or len(want) == 4 or text == "a")
+        assert all(model.decode(list(ids)) == (text or "") for _, ids in want)
+        assert [tuple(r) for r in row["read"]] == [(sha(",".join(map(str, ids))), sha(text or "")) for _, ids in want]
+    op7 = queries.op7(spark, "/root/testdata/sf0.001")
+    assert op7.filter("not exact or n_best_sha256 is null").isEmpty() and not op7.filter("n_best = 4").isEmpty()
+
+
 def quality_brute(text):
     w = WORD.findall(text or "")
     lines, again = (text or "").split("\n"), 0

@@ -11,11 +11,15 @@ lattice falls into words: new distinct words of a batch go through the passes to
 and stay in a bounded table of the task. The N best texts are the N best sums over their words. A vocabulary
 that has pieces across such borders is searched text by text.
 
+The best ids are those of the Viterbi pass. A* runs over the words in which the next best texts differ from the best,
+at most N - 1 of a text; these are given as changes to the best ids, and ``changed`` writes them out.
+
 The vocabulary is read from a file whose path is a parameter. Null and empty texts have no pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -43,6 +47,7 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 Path = tuple[float, tuple[int, ...]]
 Word = tuple[tuple[int, ...], float, float]
+Change = tuple[int, int, tuple[int, ...]]  # start and number of the best ids that go, ids in their place
 Option = tuple[float, tuple[tuple[int, int], ...]]  # score; (word, rank of its path) where not the best
 
 
@@ -357,10 +362,10 @@ class PieceModel:
                 words.append(part)
         return words
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, list[Option], dict[int, list[Path]]]:
-        """The best ids, the N best as changes to them, and the N best of the words concerned. ``words`` are held."""
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, list[tuple[float, list[Change]]]]:
+        """The best ids, and the N best scores with their changes to them, in order. ``words`` are held."""
         if not words:
-            return np.zeros(0, np.int32), [(0.0, ())], {}
+            return np.zeros(0, np.int32), [(0.0, [])]
         rows = np.fromiter(map(self.held.__getitem__, words), np.int64, len(words))
         begin, count = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
         end = np.cumsum(count)
@@ -375,57 +380,105 @@ class PieceModel:
         for w, found in paths.items():
             grown = [(loss + found[0][0] - p[0], changes + ((w, r),) if r else changes) for loss, changes in options for r, p in enumerate(found)]
             options = heapq.nsmallest(self.n_best, grown)
-        return ids, [(total - loss, tuple(sorted(changes))) for loss, changes in options], paths
+        made = []
+        for loss, changes in options:
+            made.append((total - loss, [(int(end[w] - count[w]), int(count[w]), paths[w][r][1]) for w, r in sorted(changes)]))
+        return ids, made
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float]]]:
-        """For each text the best ids, and the scores of the N best segmentations in order."""
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[float, list[Change]]]]]:
+        """For each text the best ids, and the scores of the N best segmentations in order with their changes."""
         words = [self._words(t) if t else [] for t in texts]
         self.hold(words)
         for w in words:
-            ids, options, _ = self._encode(w)
-            yield ids, [score for score, _ in options]
+            yield self._encode(w)
 
     def encode(self, text: str) -> tuple[list[int], list[float]]:
-        ids, scores = next(self.encode_all([text]))
-        return ids.tolist(), scores
+        ids, options = next(self.encode_all([text]))
+        return ids.tolist(), [score for score, _ in options]
 
     def n_best_ids(self, text: str) -> list[Path]:
         """The N best segmentations in full."""
-        words = self._words(text) if text else []
-        self.hold([words])
-        _, options, paths = self._encode(words)
-        best = [self.of_word(w)[0] for w in words]
-        made = []
-        for score, changes in options:
-            swap = {w: paths[w][r][1] for w, r in changes}
-            made.append((score, tuple(chain.from_iterable(swap.get(w, ids) for w, ids in enumerate(best)))))
-        return made
+        ids, options = next(self.encode_all([text]))
+        return [(score, tuple(changed(ids.tolist(), changes))) for score, changes in options]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
         return raw.decode("utf-8", "replace")[1:] if ids else ""
 
 
+def changed(best: list[int], changes: list[Change]) -> list[int]:
+    """The best ids after the changes."""
+    out, at = [], 0
+    for start, n, ids in changes:
+        out += best[at:start]
+        out += ids
+        at = start + n
+    return out + best[at:]
+
+
+CHANGES = "array<struct<start int, n int, pieces array<int>>>"
+
+
 def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text") -> DataFrame:
-    """(row, pieces, scores): each row of ``docs`` as a struct, its best ids, and its N best scores in order."""
+    """(row, pieces, scores, n_best): each row of ``docs`` as a struct, its best ids, its N best scores in order, and
+    the N best segmentations, each with its score and its changes to the best ids."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
     kind = row.schema["row"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel(model, n_best)
+        change = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("pieces", pa.list_(pa.int32()))])
+        option = pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for a, b in chunks(sizes):
                 part = batch.slice(a, b - a)
-                ids, ends, scores = [], [0], []
+                ids, ends, options = [], [0], []
                 for best, found in pieces.encode_all(part.column(1).to_pylist()):
                     ids.append(best)
                     ends.append(ends[-1] + len(best))
-                    scores.append(found)
+                    options.append(found)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(scores, pa.list_(pa.float64()))], ["row", "pieces", "scores"])
+                scores = pa.array([[score for score, _ in found] for found in options], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, scores, pa.array(options, pa.list_(option))], ["row", "pieces", "scores", "n_best"])
 
-    return row.mapInArrow(encode, f"row {kind}, pieces array<int>, scores array<double>")
+    return row.mapInArrow(encode, f"row {kind}, pieces array<int>, scores array<double>, n_best array<struct<score double, changes {CHANGES}>>")
+
+
+def written_out(pieces: Column, n_best: Column) -> Column:
+    """array<struct<score, pieces>>: the N best segmentations in full, of columns of ``encoded``."""
+    after = lambda ids, c: F.concat(F.slice(ids, 1, c["start"]), c["pieces"], F.slice(ids, c["start"] + c["n"] + 1, F.size(ids)))
+    whole = lambda o: F.aggregate(F.reverse(o["changes"]), pieces, after)
+    return F.transform(n_best, lambda o: F.struct(o["score"].alias("score"), whole(o).alias("pieces")))
+
+
+def digests(model: bytes, pieces: Column, n_best: Column) -> Column:
+    """array<struct<pieces_sha256, decoded_sha256>>: the ids, joined by commas, and the text of each of the N best."""
+
+    @F.pandas_udf("array<struct<pieces_sha256 string, decoded_sha256 string>>")
+    def digest(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        made = PieceModel(model)
+        names = [str(i) for i in range(len(made.bytes_of))]
+
+        def both(ids: list[int], options: np.ndarray) -> list[dict[str, str]]:
+            # What lies between the places of changes is joined once for all options.
+            own, raw = list(map(names.__getitem__, ids)), list(map(made.bytes_of.__getitem__, ids))
+            swaps = [{c["start"]: c["pieces"] for c in option["changes"]} for option in options]
+            cuts = sorted({0, len(own)}.union(x for o in options for c in o["changes"] for x in (c["start"], c["start"] + c["n"])))
+            spans = [(a, ",".join(own[a:b]), b"".join(raw[a:b])) for a, b in zip(cuts, cuts[1:])]
+            found, known = [], {}
+            for swap in swaps:
+                listed = ",".join([",".join(names[i] for i in swap[a]) if a in swap else part for a, part, _ in spans])
+                whole = b"".join([b"".join(made.bytes_of[i] for i in swap[a]) if a in swap else part for a, _, part in spans])
+                if whole not in known:
+                    known[whole] = hashlib.sha256(whole.decode("utf-8", "replace")[1:].encode()).hexdigest()
+                found.append({"pieces_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": known[whole]})
+            return found
+
+        for first, second in columns:
+            yield pd.Series([both(ids.tolist(), options) for ids, options in zip(first, second)], index=first.index)
+
+    return digest(pieces, n_best)
 
 
 def decoded(model: bytes, pieces: Column) -> Column:

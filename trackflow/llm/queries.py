@@ -153,17 +153,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(PIECES)
     found = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    text = pieces.decoded(model, F.col("pieces"))
-    checked = found.select("row.doc_id", "pieces", "scores", F.sha2(text, 256).alias("decoded_sha256"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("whole"))
+    read = pieces.digests(model, F.col("pieces"), F.col("n_best"))
+    checked = found.select("row.doc_id", "pieces", "scores", read.alias("read"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("whole"))
     return checked.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.concat_ws(",", F.col("pieces").cast("array<string>")), 256).alias("pieces_sha256"),
+        F.col("read")[0]["pieces_sha256"].alias("pieces_sha256"),
         F.col("scores")[0].alias("best_score"),
         F.element_at("scores", -1).alias("last_score"),
         F.size("scores").cast("long").alias("n_best"),
-        "decoded_sha256",
-        (F.col("decoded_sha256") == F.col("whole")).alias("exact"),
+        F.col("read")[0]["decoded_sha256"].alias("decoded_sha256"),
+        F.forall("read", lambda r: r["decoded_sha256"] == F.col("whole")).alias("exact"),
+        F.sha2(F.concat_ws(",", F.col("read")["pieces_sha256"]), 256).alias("n_best_sha256"),
     )
 
 
