@@ -91,3 +91,26 @@ def test_csv_layout_and_overwrite(spark, tmp_path):
     sinks.write_layers({"pairs": pairs}, str(tmp_path))
     sinks.write_layers({"pairs": pairs.limit(1)}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1
+
+
+def test_large_csv_is_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ONE_FILE_ROWS", 50)
+    table = spark.range(2000).select(F.format_string("%05d", 1999 - F.col("id")).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the test's parts are small
+    try:
+        sinks.write_csv({"many": table, "few": table.limit(50)}, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "few").glob("part-*"))) == 1
+    parts = sorted((tmp_path / "many").glob("part-*"))
+    assert len(parts) > 1
+    assert [x for p in parts for x in p.read_text().split()[1:]] == [f"{i:05d}" for i in range(2000)]
+
+
+def test_matrix_of_too_many_animals_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(network, "MAX_MATRIX_ANIMALS", 2)
+    pairs = spark.createDataFrame([("A", "B", 1)], "a string, b string, n long")
+    animals = spark.createDataFrame([("A",), ("B",), ("C",)], "animal_id string")
+    assert network.pair_matrix(pairs, animals.limit(2)).count() == 2
+    with pytest.raises(ValueError, match="with_zero_pairs"):
+        network.pair_matrix(pairs, animals)

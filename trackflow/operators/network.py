@@ -11,6 +11,8 @@ from trackflow.operators.snapshots import SNAPSHOT
 from trackflow.operators.tables import attach, materialise, row_count
 
 HOT_GROUP = 1000
+# A matrix has one column per animal.
+MAX_MATRIX_ANIMALS = 2000
 # Fixed value: animals within five metres are together.
 NEAR_METRES = 5.0
 
@@ -119,8 +121,14 @@ def same_breed(pairs: DataFrame) -> DataFrame:
 
 
 def pair_matrix(pairs: DataFrame, animals: DataFrame) -> DataFrame:
-    """The symmetric n x n matrix, zero diagonal: animal_id and one column per animal."""
-    names = [r["animal_id"] for r in animals.select("animal_id").distinct().orderBy("animal_id").collect()]
+    """The symmetric n x n matrix, zero diagonal: animal_id and one column per animal.
+
+    More than MAX_MATRIX_ANIMALS animals are an error; their pairs stay rows (a, b, n), see ``with_zero_pairs``.
+    """
+    first = animals.select("animal_id").distinct().orderBy("animal_id").limit(MAX_MATRIX_ANIMALS + 1)
+    names = [r["animal_id"] for r in first.collect()]
+    if len(names) > MAX_MATRIX_ANIMALS:
+        raise ValueError(f"a matrix has at most {MAX_MATRIX_ANIMALS} animals; use with_zero_pairs for rows (a, b, n)")
     both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     wide = both.groupBy(F.col("a").alias("animal_id")).pivot("b", names).agg(F.sum("n"))
     known = animals.select("animal_id").distinct()

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from trackflow.operators.tables import materialise, row_count
+
+ONE_FILE_ROWS = 100_000
+
 
 def write_layers(tables: dict[str, DataFrame], path: str) -> None:
     """Writes each table to ``path``/name as parquet, replacing what was there."""
@@ -12,15 +16,17 @@ def write_layers(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_csv(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes each summary table to ``path``/name as one CSV file with a header.
+    """Writes each summary table to ``path``/name as CSV with a header.
 
     A matrix (animal_id and one column per animal) is written in animal order
-    without the name column, so row order equals header order. Meant for
-    matrices and name lists, whose size is that of the herd.
+    without the name column, so row order equals header order. A table of up to ONE_FILE_ROWS
+    rows becomes one file; a larger one is dealt by ranges into parts whose names follow the order.
     """
     for name, table in tables.items():
-        if set(table.columns) > {"animal_id"}:
-            table = table.orderBy("animal_id").coalesce(1).drop("animal_id")
-        else:
-            table = table.orderBy(*table.columns).coalesce(1)
-        table.write.mode("overwrite").csv(f"{path}/{name}", header=True)
+        table = materialise(table)
+        matrix = set(table.columns) > {"animal_id"}
+        sorted_ = table.orderBy("animal_id") if matrix else table.orderBy(*table.columns)
+        if row_count(table) <= ONE_FILE_ROWS:
+            sorted_ = sorted_.coalesce(1)
+        sorted_ = sorted_.drop("animal_id") if matrix else sorted_
+        sorted_.write.mode("overwrite").csv(f"{path}/{name}", header=True)
