@@ -8,11 +8,11 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, topk, words
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, runs, topk, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, topk, words):
+for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, runs, topk, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
@@ -173,3 +173,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.judge(docs, labels.select("doc_id", "quality"))
     return found.select("doc_id", *quality.FORM, "base_failed", "kept", F.round("score", 9).alias("score"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in texts whose crc32(doc_id) is divisible by 10 the words from a place on repeat with a period, as the query's contract sets."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    every = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1)))
+    split = docs.select("doc_id", "text", every.alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words").cast("long")
+    sized = split.withColumns({"n": n, "a": F.when(n > 0, F.col("g") % n)})
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    placed = sized.withColumn("p", F.when(F.col("n") > 0, period))
+    again = F.expr("transform(words, (w, i) -> words[if(i < a, i, cast(a + (i - a) % p as int))])")
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(with_planted_runs(docs))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    top = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("top.shorter")
+    return top.select(
+        "doc_id",
+        "n_runs",
+        F.col("top.start").alias("start"),
+        length.alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(1000 * length / F.col("top.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
