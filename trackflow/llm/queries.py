@@ -8,11 +8,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, runs, topk, words
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, topk, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
+from trackflow.operators.tables import materialise
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, runs, topk, words):
+for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, topk, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
@@ -206,3 +207,56 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "runs_sha256",
         "collapsed_sha256",
     )
+
+
+OP13_SQL = """
+with t as (
+  select conv_id, turn, length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '') as told,
+    length(coalesce(text, ''))::bigint as size
+  from conversations where conv_id is not null),
+o as (select conv_id, told, size, row_number() over (partition by conv_id order by turn nulls first, sha256(told)) as pos from t),
+c as (
+  select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(
+      [4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint),
+      lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)),
+    4294967295) % 6 as h
+  from (select distinct conv_id from o) d),
+r as (
+  select c.conv_id, 0 as part, pos, told, size from c join o on o.conv_id = c.base and pos <= h
+  union all select c.conv_id, 1, pos, told, size from c join o on o.conv_id = c.conv_id and pos > h),
+p as (
+  select conv_id, size, row_number() over w as depth, list(told) over w as prefix, count(*) over (partition by conv_id) as n
+  from r window w as (partition by conv_id order by part, pos)),
+a as (
+  select conv_id, prefix, depth, size, depth = n as ends from p
+  union all select conv_id, []::varchar[], 0, 0, not exists (select 1 from r where r.conv_id = c.conv_id) from c),
+n as (
+  select prefix, depth, min(conv_id) as conv_id, count(*) as n_convs, max(size) as size,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256
+  from a group by prefix, depth),
+k as (select prefix[1:depth - 1] as prefix, count(*) as n_children from n where depth > 0 group by 1),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (prefix)),
+s as (
+  select prefix[1:up] as prefix, sum((n_children = 0)::bigint) as n_leaves, sum((n_convs - 1) * size) as saved
+  from (select m.*, unnest(range(depth + 1)) as up from m) u group by 1)
+select m.conv_id, m.depth::bigint as depth, q.conv_id as parent_conv_id, m.n_convs::bigint as n_convs, m.n_children::bigint as n_children,
+  s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, m.ends_sha256
+from m join s using (prefix) left join n q on m.depth > 0 and q.prefix = m.prefix[1:m.depth - 1]
+"""
+
+
+def rebuilt_paths(conversations: DataFrame) -> DataFrame:
+    """(conv_id, path): each conversation with its first turns replaced by those of its hundred's first one, as the query's contract sets."""
+    own = materialise(prefix_trie.paths(conversations))
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    heads = own.filter(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("base"), F.slice("path", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    met = own.select("conv_id", "path", base.alias("base"), h.alias("h")).join(heads, "base", "left")
+    kept = F.slice(F.col("path"), F.col("h") + 1, F.greatest(F.size("path"), F.lit(1)))
+    rebuilt = F.concat(F.coalesce(F.slice(F.col("head"), F.lit(1), F.col("h")), F.slice("path", 1, 0)), kept)
+    return met.select("conv_id", rebuilt.alias("path"))
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(rebuilt_paths(table(spark, sf_dir, "conversations")))
