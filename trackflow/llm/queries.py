@@ -8,12 +8,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, topk, words
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, simhash, topk, words
 from trackflow.llm.registry import QUERIES, SQL, query, table
 from trackflow.operators.tables import materialise
 
 # Python workers may start in a folder from which the package cannot be imported.
-for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, topk, words):
+for _module in (frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, prefix_trie, quality, runs, simhash, topk, words):
     cloudpickle.register_pickle_by_value(_module)
 
 __all__ = ["QUERIES", "SQL"]
@@ -176,6 +176,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.FORM, "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in texts whose crc32(doc_id) is divisible by 10 the words from a place on repeat with a period, as the query's contract sets."""
     h = F.crc32(F.col("doc_id").cast("string"))
