@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import trackflow.functions.tails
-from checks import group_queries, scalar_queries, track_queries  # noqa: F401
+from checks import group_queries, motion_queries, scalar_queries, track_queries  # noqa: F401
 from checks.registry import QUERIES, SQL
 from pyspark import cloudpickle
 

@@ -204,6 +204,7 @@ def sql(final: str) -> str:
     visit(final)
     heads = [f"{name} as materialized ({body.strip()})" for name, body in CTES.items() if name in needed]
     body = final.strip()
-    if body.startswith("with "):  # the query brings CTEs of its own
-        return f"with {', '.join(heads)}, {body[5:]}" if heads else body
+    for word in ("with recursive ", "with "):  # the query brings CTEs of its own
+        if body.startswith(word):
+            return f"{word}{', '.join(heads)}, {body.removeprefix(word)}" if heads else body
     return (f"with {', '.join(heads)} " if heads else "") + body

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackflow.functions.columns import hour_number, seconds_between
 from trackflow.functions.geometry import Line, distance
 from trackflow.operators.network import HOT_GROUP
-from trackflow.operators.ordered import neighbours, running_total, time_chunk
+from trackflow.operators.ordered import neighbours, running_total, time_chunk, within_time
 from trackflow.operators.snapshots import SNAPSHOT
 from trackflow.operators.tables import attach, materialise, row_count
 from trackflow.operators.trajectory import ORDER, TRACK
@@ -73,6 +73,13 @@ def moving_speed(segs: DataFrame, reach: int = 2) -> DataFrame:
     return near.withColumn("moving_speed", way / F.when(time > 0, time)).drop(*wanted)
 
 
+def moving_speed_within(segs: DataFrame, seconds: float) -> DataFrame:
+    """Speed over the segments of all fixes of the track at most ``seconds`` before or after: a moving time window."""
+    totals = {"_way": F.sum(F.coalesce("steplength", F.lit(0.0))), "_lag": F.sum(F.coalesce("timelag", F.lit(0.0)))}
+    near = within_time(segs, TRACK, "time", seconds, seconds, totals)
+    return near.withColumn("moving_speed", F.col("_way") / F.when(F.col("_lag") > 0, F.col("_lag"))).drop("_way", "_lag")
+
+
 def stops(segs: DataFrame, slower_than: float) -> DataFrame:
     """Runs of fixes below a speed, per track: (track, stop_no, fixes, stop_from, stop_to, duration_s, since_last_s).
 

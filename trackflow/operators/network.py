@@ -34,32 +34,19 @@ def group_join(left: DataFrame, right: DataFrame, on: list[str], condition: Colu
     return repeated.drop("_parts").join(dealt.drop("_parts"), [*on, "_part"]).filter(condition).drop("_part")
 
 
-def near_pairs(pos: DataFrame, metres: float = NEAR_METRES, snapshot: list[str] = SNAPSHOT) -> DataFrame:
-    """Pairs at most ``metres`` apart in the same snapshot: (*snapshot, a, b, dist).
+def near_rows(pos: DataFrame, metres: float, snapshot: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs at most ``metres`` apart in the same snapshot, each once: (*snapshot, one, two, dist).
 
-    Positions are filed in grid cells a little wider than the distance, and a
-    cell is joined only with itself and four of its neighbours (the other four
-    see it from their side).
+    ``one`` and ``two`` are structs (animal_id, px, py, *carry) in either order. Positions are filed in grid cells a little
+    wider than the distance, and a cell is joined only with itself and four of its neighbours (the other
+    four see it from their side).
     """
     cell = F.lit(metres * 1.000001 if metres > 0 else 1.0)
     placed = pos.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select(
-        *snapshot,
-        "animal_id",
-        "px",
-        "py",
-        F.floor(F.col("px") / cell).alias("cx"),
-        F.floor(F.col("py") / cell).alias("cy"),
+        *snapshot, F.struct("animal_id", "px", "py", *carry).alias("two"), F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy")
     )
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
-    here = placed.select(
-        *snapshot,
-        F.col("animal_id").alias("id1"),
-        F.col("px").alias("px1"),
-        F.col("py").alias("py1"),
-        "cx",
-        "cy",
-        F.explode(steps).alias("_d"),
-    )
+    here = placed.select(*snapshot, F.col("two").alias("one"), "cx", "cy", F.explode(steps).alias("_d"))
     here = here.withColumns(
         {
             "cx": F.col("cx") + F.col("_d.i"),
@@ -67,13 +54,16 @@ def near_pairs(pos: DataFrame, metres: float = NEAR_METRES, snapshot: list[str]
             "same_cell": (F.col("_d.i") == 0) & (F.col("_d.j") == 0),
         }
     ).drop("_d")
-    there = placed.withColumnsRenamed({"animal_id": "id2", "px": "px2", "py": "py2"})
-    far = distance(F.col("px1"), F.col("py1"), F.col("px2"), F.col("py2"))
-    once = ~F.col("same_cell") | (F.col("id1") < F.col("id2"))
-    joined = group_join(here, there, [*snapshot, "cx", "cy"], once & (far <= metres))
-    return joined.select(
-        *snapshot, F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), far.alias("dist")
-    )
+    far = distance(F.col("one.px"), F.col("one.py"), F.col("two.px"), F.col("two.py"))
+    once = ~F.col("same_cell") | (F.col("one.animal_id") < F.col("two.animal_id"))
+    joined = group_join(here, placed, [*snapshot, "cx", "cy"], once & (far <= metres))
+    return joined.select(*snapshot, "one", "two", far.alias("dist"))
+
+
+def near_pairs(pos: DataFrame, metres: float = NEAR_METRES, snapshot: list[str] = SNAPSHOT) -> DataFrame:
+    """Pairs at most ``metres`` apart in the same snapshot: (*snapshot, a, b, dist)."""
+    one, two = F.col("one.animal_id"), F.col("two.animal_id")
+    return near_rows(pos, metres, snapshot).select(*snapshot, F.least(one, two).alias("a"), F.greatest(one, two).alias("b"), "dist")
 
 
 def proximity_counts(pos: DataFrame, metres: float = NEAR_METRES, snapshot: list[str] = SNAPSHOT) -> DataFrame:

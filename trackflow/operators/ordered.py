@@ -9,6 +9,7 @@ shuffled once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,6 +104,32 @@ def running_total(
     )
 
 
+def within_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    before_s: float,
+    after_s: float,
+    totals: dict[str, Column],
+    chunk_seconds: int = CHUNK_SECONDS,
+) -> DataFrame:
+    """Adds aggregates over the rows of the group from ``before_s`` before to ``after_s`` after each row's time, both ends included.
+
+    Each row goes to its own chunk and, as a copy, to those next chunks whose rows' windows reach it; chunks are at least as
+    wide as the window, so there are three at most, and one shuffle. Rows without a time have windows of their own kind:
+    they see each other only.
+    """
+    width = max(chunk_seconds, math.ceil(before_s + after_s)) * 1_000_000
+    before, after = round(before_s * 1e6), round(after_s * 1e6)
+    at = F.unix_micros(F.col(time))
+    chunk = F.floor(F.col("_at") / F.lit(width))
+    seen_by = F.sequence(F.floor((F.col("_at") - after) / F.lit(width)), F.floor((F.col("_at") + before) / F.lit(width)))
+    copies = df.withColumn("_at", at).withColumn("_chunk", F.explode(F.coalesce(seen_by, F.array(F.lit(None).cast("long")))))
+    near = Window.partitionBy(*keys, "_chunk").orderBy("_at").rangeBetween(-before, after)
+    found = copies.withColumns({name: total.over(near) for name, total in totals.items()})
+    return found.filter(F.col("_chunk").eqNullSafe(chunk)).drop("_at", "_chunk")
+
+
 def value_chunk(counted: DataFrame, value: str, chunks: int = 64) -> Column:
     """Chunk number by value range; cut points are approximate quantiles of a written table."""
     shares = [i / chunks for i in range(1, chunks)]
