@@ -61,3 +61,42 @@ def test_projection(spark):
 def test_haversine(spark):
     one_degree = g.haversine(F.lit(9.0), F.lit(46.0), F.lit(9.0), F.lit(47.0))
     assert value(spark, one_degree) == pytest.approx(111195, abs=1)
+
+
+def test_route_distances(spark):
+    """Routes of 1 to 400 segments, against every segment; fixes without a place have no distance."""
+    import math
+    import random
+
+    from trackflow.operators import trips
+
+    r = random.Random(2)
+    vertices = {"a": 401, "b": 2, "c": 51, "point": 1, "d": 17}
+    ways = {name: [(r.uniform(0, 900), r.uniform(0, 300)) for _ in range(n)] for name, n in vertices.items()}
+    routes = spark.createDataFrame([(n, i, x, y) for n, w in ways.items() for i, (x, y) in enumerate(w)], "route string, seq long, x double, y double")
+    points = [(i, r.uniform(-100, 1000), r.uniform(-100, 400)) for i in range(60)] + [(60, *ways["a"][7]), (61, None, 5.0), (62, None, None)]
+    fixes = spark.createDataFrame(points, "event_id long, x double, y double")
+
+    def far(x, y, one, two):
+        (x1, y1), (x2, y2) = one, two
+        dx, dy = x2 - x1, y2 - y1
+        t = min(1.0, max(0.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(x1 + t * dx - x, y1 + t * dy - y)
+
+    got = {(r["route"], r["event_id"]): r["dist"] for r in trips.route_distances(fixes, routes, list(ways), ["event_id"]).collect()}
+    want = {(n, i): None if x is None else min(far(x, y, *s) for s in zip(w, w[1:])) for n, w in ways.items() if len(w) > 1 for i, x, y in points}
+    assert got.keys() == want.keys()
+    assert all(got[k] == v or got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_attach_counts_bytes(spark, monkeypatch):
+    """A few rows of long arrays are not broadcast."""
+    from trackflow.operators import tables
+
+    dim = tables.materialise(spark.range(3).withColumn("line", F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.rand(1) * i)))
+    fact = spark.range(10)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(tables.attach(fact, dim, ["id"])).lower()
+    monkeypatch.setattr(tables, "MAX_BROADCAST_BYTES", 1 << 20)
+    joined = tables.attach(fact, dim, ["id"])
+    assert "broadcast" not in plan(joined).lower() and joined.filter("size(line) > 0").count() == 3

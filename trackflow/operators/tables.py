@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
+# Columnar files are about this much smaller than the same rows in memory.
+PACKED = 4
 
 _local_dirs: dict[str, str] = {}
 
@@ -57,6 +60,13 @@ def row_count(df: DataFrame) -> int:
     return df.count() if known is None else known
 
 
+def byte_size(df: DataFrame) -> int:
+    """About how many bytes the rows of a table just written by ``materialise`` take in memory; 0 for other tables."""
+    if getattr(df, "_row_count", None) is None:
+        return 0
+    return PACKED * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def drop_working_tables(spark: SparkSession) -> None:
     """Removes every intermediate table this application wrote."""
     jvm = spark.sparkContext._jvm
@@ -75,13 +85,13 @@ def attach(
     """Equi-join of a large table with a side table whose size is checked first.
 
     ``dim`` should be a written or local table, so that counting it is cheap.
-    Up to ``max_broadcast_rows`` rows (MAX_BROADCAST_ROWS) it is broadcast and ``fact`` is not
-    shuffled. Beyond that it is a plain join, in which adaptive execution splits the partitions of
+    Up to ``max_broadcast_rows`` rows (MAX_BROADCAST_ROWS) and MAX_BROADCAST_BYTES it is broadcast and ``fact`` is not
+    shuffled; arrays in a row count with their bytes. Beyond that it is a plain join, in which adaptive execution splits the partitions of
     hot keys of ``fact``; nothing is repeated for keys that are not hot. Both ways give the same rows.
     ``how`` is inner, left, left_semi or left_anti; ``condition`` restricts the match further.
     """
     limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    if row_count(dim) <= limit:
+    if row_count(dim) <= limit and byte_size(dim) <= MAX_BROADCAST_BYTES:
         left, right, on = fact, F.broadcast(dim), list(keys)
     else:
         left, right, on = fact, dim, list(keys)

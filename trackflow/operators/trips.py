@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackflow.functions.columns import shift_seconds
-from trackflow.functions.geometry import Line, intersects, point_segment_distance, segment_columns
+from trackflow.functions.geometry import Line, intersects, packed_line, point_line_distance, segment_columns
 from trackflow.operators.ordered import neighbours, time_chunk
 from trackflow.operators.tables import attach, materialise
 from trackflow.operators.trajectory import ORDER, TRACK
@@ -111,17 +111,24 @@ def route_lines(routes: DataFrame) -> DataFrame:
     return routes.join(ends, ["route", "seq"]).select("route", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
+def route_trees(routes: DataFrame) -> DataFrame:
+    """(route, boxes): each polyline in one row, as ``packed_line`` makes it."""
+    segment = F.struct("seq", "x1", "y1", "x2", "y2")
+    lines = route_lines(routes).groupBy("route").agg(F.array_sort(F.collect_list(segment)).alias("line"))
+    bare = F.transform("line", lambda s: F.struct(s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2")))
+    return lines.select("route", packed_line(bare, F.size("line")).alias("boxes"))
+
+
 def route_distances(fixes: DataFrame, routes: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
-    """Distance of every fix to each named route: (*columns, route, dist). ``columns`` must name a fix.
+    """Distance of every fix to each named route: (*columns, route, dist).
 
-    Every fix meets the segments of a route inside one task, which keeps only
-    the least distance before anything is shuffled.
+    A route is an array in the row, so a fix finds its nearest segment without meeting the segments as rows, and no fix is
+    shuffled where the routes are small enough to broadcast.
     """
-    lines = materialise(route_lines(routes.filter(F.col("route").isin(names))))
+    trees = materialise(route_trees(routes.filter(F.col("route").isin(names))))
     asked = fixes.select(*columns, "x", "y", F.explode(F.array(*[F.lit(n) for n in names])).alias("route"))
-    met = attach(asked, lines.drop("seq"), ["route"], "inner")
-    far = point_segment_distance(F.col("x"), F.col("y"), Line(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return met.groupBy(*columns, "route").agg(F.min(far).alias("dist"))
+    met = attach(asked, trees, ["route"], "inner")
+    return met.select(*columns, "route", point_line_distance(F.col("x"), F.col("y"), F.col("boxes")).alias("dist"))
 
 
 def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: str, road: str) -> DataFrame:
@@ -129,7 +136,7 @@ def assign_route(trips: DataFrame, routes: DataFrame, in_band: Column, trail: st
 
     Only fixes inside the open band between the start and end gates count.
     """
-    per_fix = route_distances(trips.filter(in_band), routes, [trail, road], [*TRACK, "direction", "event_id"])
+    per_fix = route_distances(trips.filter(in_band), routes, [trail, road], ["session_id", "direction"])
     mean = per_fix.groupBy("session_id", "direction").agg(
         F.avg(F.when(F.col("route") == trail, F.col("dist"))).alias("mean_dist_trail"),
         F.avg(F.when(F.col("route") == road, F.col("dist"))).alias("mean_dist_road"),
