@@ -81,46 +81,6 @@ def point_segment_distance(x: Column, y: Column, line: Line) -> Column:
     return distance(x, y, line.x1 + t * dx, line.y1 + t * dy)
 
 
-def packed_line(segments: Column, size: Column) -> Column:
-    """``segments``, an array of struct(x1, y1, x2, y2), as boxes over runs of about the root of ``size`` segments each.
-
-    array<struct<x_min, y_min, x_max, y_max, part array of segments>>: a two-level tree for ``point_line_distance``.
-    """
-    run = F.ceil(F.sqrt(size.cast("double"))).cast("int")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(size / run).cast("int") - 1, F.lit(0)))
-
-    def side(part: Column, pick, one: str, two: str) -> Column:
-        return pick(F.transform(part, lambda s: (F.least if pick is F.array_min else F.greatest)(s[one], s[two])))
-
-    def box(part: Column) -> Column:
-        low, high = F.array_min, F.array_max
-        return F.struct(
-            side(part, low, "x1", "x2").alias("x_min"), side(part, low, "y1", "y2").alias("y_min"),
-            side(part, high, "x1", "x2").alias("x_max"), side(part, high, "y1", "y2").alias("y_max"), part.alias("part"),
-        )
-
-    return F.transform(F.transform(starts, lambda i: F.slice(segments, i * run + 1, run)), box)
-
-
-def point_line_distance(x: Column, y: Column, boxes: Column) -> Column:
-    """Least distance to the segments of ``packed_line``; NULL without a place.
-
-    A box is opened only if it is nearer than the best segment so far, so about twice the root of the line's segments are looked at.
-    """
-
-    def opened(best: Column, box: Column) -> Column:
-        # Where the place lies beside the box; 0 where it lies within its sides.
-        dx = F.greatest(box["x_min"] - x, x - box["x_max"], F.lit(0.0))
-        dy = F.greatest(box["y_min"] - y, y - box["y_max"], F.lit(0.0))
-        nearest = F.aggregate(
-            box["part"], best, lambda b, s: F.least(b, point_segment_distance(x, y, Line(s["x1"], s["y1"], s["x2"], s["y2"])))
-        )
-        return F.when(F.sqrt(dx * dx + dy * dy) * 0.999999 > best, best).otherwise(nearest)
-
-    found = F.aggregate(boxes, F.lit(float("inf")), opened)
-    return F.when(x.isNotNull() & y.isNotNull(), found)
-
-
 # The published approximate formulas of the Swiss federal
 # mapping agency between the LV95 grid and WGS84 degrees (about 1 m).
 def lv95_to_wgs84(east: Column, north: Column) -> tuple[Column, Column]:
