@@ -2,7 +2,8 @@
 
 Words and word pairs are hashed to 2**16 buckets. Two multinomials over the buckets are counted: one from trusted
 documents (label 1, four fifths of them), one from all documents. A document's score is the mean over its n-grams of
-log(trusted / corpus), so long and short texts compare. The remaining fifth of the labelled documents sets the
+log(trusted / corpus), so long and short texts compare. The trusted multinomial is fitted on TRUSTED_ROWS documents at most, those
+of the least hashes of their ids; corpus counts cover all documents. The remaining fifth of the labelled documents sets the
 threshold: a histogram of their scores gives the cut that loses least, a lost good document weighing LOSS bad
 ones; without held-out labels of both kinds it is DEFAULT_CUT. Every document is judged by it, and by
 fixed rules on its form.
@@ -26,6 +27,7 @@ from trackflow.llm.words import Sequences, Words, covered, mixed, window_starts
 from trackflow.operators.tables import materialise
 
 BITS = 16
+TRUSTED_ROWS = 200_000  # labelled documents that the trusted side is fitted on
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
@@ -95,9 +97,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def model(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket. ``docs``: doc_id, text; ``trusted``: distinct doc_id."""
-    mark = trusted.select(F.col("doc_id").alias("_trusted"))
-    marked = docs.join(mark, F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("good"))
+    """The log ratio of each bucket. ``docs``: doc_id, text; ``trusted``: distinct doc_id.
+
+    At most TRUSTED_ROWS ids are broadcast, so no text is shuffled: every document is counted where it is read.
+    """
+    drawn = trusted.orderBy(F.xxhash64("doc_id", F.lit("trusted")), "doc_id").limit(TRUSTED_ROWS)
+    mark = materialise(drawn.select(F.col("doc_id").alias("_trusted")))
+    marked = docs.join(F.broadcast(mark), F.col("doc_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("good"))
     sums = marked.mapInArrow(_counted, "bucket long, corpus long, trusted long").groupBy("bucket")
     rows = sums.agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted")).collect()  # 2**BITS rows at most
     corpus, good = np.ones(1 << BITS), np.ones(1 << BITS)
