@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -292,6 +293,17 @@ def test_language_stage_without_labels(spark, label):
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]
 
 
+def test_language_stage_labels(spark):
+    """Documents without a label get the judged one; other columns keep their values, whatever their names."""
+    a, b = "the cat and the dog sat there with them ", "der Hund und die Katze waren nicht dort mit "
+    rows = [(i, (a if i % 2 else b) * 5, None if i % 5 == 0 else "en" if i % 2 else "de", 1.5, "x", True) for i in range(1, 60)]
+    table = spark.createDataFrame(rows + [(60, "12", None, 0.0, "", False)], "doc_id long, text string, lang string, score double, lang_pred string, LETTERED boolean")
+    got = {r["doc_id"]: r for r in language.keep_known(table).collect()}
+    assert sorted(got) == list(range(1, 60)) and all(r["lang"] == ("en" if i % 2 else "de") for i, r in got.items())
+    assert all((r["score"], r["lang_pred"], r["LETTERED"], r["text"]) == (1.5, "x", True, rows[i - 1][1]) for i, r in got.items())
+    assert language.keep_known(table.limit(0)).collect() == []
+
+
 def test_language_held_out(spark):
     found = queries.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0]
@@ -338,6 +350,27 @@ def test_pieces_n_best_table(spark):
     assert op7.filter("not exact or n_best_sha256 is null").isEmpty() and not op7.filter("n_best = 4").isEmpty()
 
 
+@pytest.mark.parametrize("c", list(" a-=_.#*") + ["ab", "漢"])
+def test_pieces_long_runs(c):
+    """Many equally good paths are not all grown: the N best of a long run come at once, distinct and exact."""
+    model = pieces.PieceModel(pieces.read_model(queries.PIECES))
+    text = c * (5_000 // len(c))
+    began = time.perf_counter()
+    found = model.n_best_ids(text)
+    assert time.perf_counter() - began < 3
+    assert len({ids for _, ids in found}) == len(found) == (1 if c == "漢" else 4)
+    assert found[0][1] == tuple(model.encode(text)[0]) and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert all(model.decode(list(ids)) == text for _, ids in found)
+
+
+def test_pieces_kept_columns(spark):
+    raw = pieces.read_model(queries.PIECES)
+    whole, part = (pieces.encoded(docs(spark, [None, "a text", "more"]), raw, keep=k) for k in (None, ["doc_id", "shard"]))
+    assert part.select("row.*").columns == ["doc_id", "shard"] and "text" in whole.select("row.*").columns
+    rows = lambda df: sorted(map(tuple, df.select("row.doc_id", "pieces", "scores").collect()))
+    assert rows(part) == rows(whole)
+
+
 def quality_brute(text):
     w = WORD.findall(text or "")
     lines, again = (text or "").split("\n"), 0

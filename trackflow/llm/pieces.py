@@ -246,20 +246,22 @@ class PieceModel:
         into = self.lattice(word)
         best, _ = self.viterbi(into)
         found: list[Path] = []
-        agenda = [(-best[-1], 0, len(word), 0.0, None)]
+        # By what a path loses against the best, which is exactly 0 along best edges. Of equal losses the one nearest to the start goes on,
+        # then the newest, so that many equally good paths are not all grown side by side.
+        agenda = [(0.0, len(word), 0, None)]
         serial = 0
         while agenda and len(found) < self.n_best:
-            _, _, at, score, path = heapq.heappop(agenda)
+            loss, at, _, path = heapq.heappop(agenda)
             if not at:
                 edges: list[tuple[int, int]] = []
                 while path is not None:
                     edge, path = path
                     edges.append(edge)
-                found.append((score, self._ids(word, edges)))
+                found.append((best[-1] - loss, self._ids(word, edges)))
                 continue
             for a, s, i in into[at]:
-                serial += 1
-                heapq.heappush(agenda, (-(score + s + best[a]), serial, a, score + s, ((a, i), path)))
+                serial -= 1
+                heapq.heappush(agenda, (loss + (best[at] - (best[a] + s)), a, serial, ((a, i), path)))
         return found
 
     def of_word(self, word: str) -> Word:
@@ -419,10 +421,14 @@ def changed(best: list[int], changes: list[Change]) -> list[int]:
 CHANGES = "array<struct<start int, n int, pieces array<int>>>"
 
 
-def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, pieces, scores, n_best): each row of ``docs`` as a struct, its best ids, its N best scores in order, and
-    the N best segmentations, each with its score and its changes to the best ids."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    the N best segmentations, each with its score and its changes to the best ids.
+
+    ``row`` holds the columns ``keep`` (default: all). Without the text among them it goes to the Python workers once and does not come back.
+    """
+    held = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    row = docs.select(held.alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = row.schema["row"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

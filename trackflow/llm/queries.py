@@ -153,9 +153,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pieces")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(PIECES)
-    found = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
+    found = pieces.encoded(docs, model, keep=["doc_id", "whole"])
     read = pieces.digests(model, F.col("pieces"), F.col("n_best"))
-    checked = found.select("row.doc_id", "pieces", "scores", read.alias("read"), F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("whole"))
+    checked = found.select("row.doc_id", "pieces", "scores", read.alias("read"), "row.whole")
     return checked.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
