@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import trackflow.functions.tails
 from checks import group_queries, motion_queries, scalar_queries, track_queries  # noqa: F401
 from checks.registry import QUERIES, SQL
-from pyspark import cloudpickle
-
-# The tail functions run in Python workers, which may start in another folder.
-cloudpickle.register_pickle_by_value(trackflow.functions.tails)
 
 __all__ = ["QUERIES", "SQL"]

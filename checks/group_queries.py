@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import data
 from checks.registry import query
-from checks.sqltext import dist, secs
+from checks.sqltext import beta_series, dist, gamma_series, secs
 from trackflow.functions.columns import parse_source_columns
 from trackflow.operators import clusters, crossings, movement, network, routes, snapshots, stats, trips
 from trackflow.operators.tables import materialise
@@ -166,9 +166,28 @@ def k1(spark, sf_dir):
     return stats.kruskal_wallis(arrival(spark, sf_dir), "rank", "animal_id").select("n", "k", F.round("h", 4).alias("h"), "df")
 
 
-@query("k1_kruskal_wallis_p")
+@query(
+    "k1_kruskal_wallis_p",
+    f"select n::bigint as n, k, round(h, 4) as h, k - 1 as df, round(greatest(0, 1 - {gamma_series('((k - 1) / 2.0)', '(h / 2.0)')}), 6) as p from kw",
+)
 def k1_p(spark, sf_dir):
-    return stats.kruskal_wallis(arrival(spark, sf_dir), "rank", "animal_id")
+    tested = stats.kruskal_wallis(arrival(spark, sf_dir), "rank", "animal_id")
+    return tested.withColumns({"h": F.round("h", 4), "p": F.round("p", 6)})
+
+
+@query(
+    "k1_kruskal_wallis_p_of_quantity",
+    f"""select n::bigint as n, k, round(1 - {gamma_series('((k - 1) / 2.0)', '(h / 2.0)')}, 6) as p from (select n, k, (b - n * (n + 1.0) * (n + 1.0) / 4.0) / s2 as h from (
+      select sum(n) as n, count(*) as k, sum(rs * rs / n) as b from (select l_linenumber, count(*) as n, sum(r) as rs from R group by 1)),
+      (select (sum(r * r) - count(*) * (count(*) + 1.0) * (count(*) + 1.0) / 4.0) / (count(*) - 1) as s2 from R))""".replace(
+        "R",
+        "(select l_linenumber, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as r from lineitem)",
+    ),
+)
+def k1_p_quantity(spark, sf_dir):
+    """A test of groups that hardly differ, so p is not near 0."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", "l_quantity")
+    return stats.kruskal_wallis(items, "l_quantity", "l_linenumber").select("n", "k", F.round("p", 6).alias("p"))
 
 
 @query(
@@ -201,9 +220,19 @@ def k2(spark, sf_dir):
     return tested.select("a", "b", F.round("diff", 4).alias("diff"), F.round("t", 6).alias("t"), "df")
 
 
-@query("k2_posthoc_p")
+TESTED = f"""(select *, least(1.0, min(q) over (order by p desc range between unbounded preceding and current row)) as p_adj from (
+  select *, p * (count(*) over ())::double / (count(*) over (order by p range between unbounded preceding and current row)) as q from (
+    select *, greatest(0.0, 1 - {beta_series("0.5", "(df / 2.0)", "y")}) as p from (select *, t * t / (df + t * t) as y from {POSTHOC}))))"""
+
+
+@query(
+    "k2_posthoc_p",
+    f"""select a, b, round(mean_a, 4) as mean_a, round(mean_b, 4) as mean_b, round(diff, 4) as diff, round(t, 6) as t, df, round(p, 6) as p, round(p_adj, 6) as p_adj
+      from {TESTED}""",
+)
 def k2_p(spark, sf_dir):
-    return stats.posthoc(arrival(spark, sf_dir), "rank", "animal_id")
+    tested = stats.posthoc(arrival(spark, sf_dir), "rank", "animal_id")
+    return tested.withColumns({c: F.round(c, n) for c, n in (("mean_a", 4), ("mean_b", 4), ("diff", 4), ("t", 6), ("p", 6), ("p_adj", 6))})
 
 
 # Values in (0, 1] that stand for p values: exact in both engines.
@@ -222,16 +251,17 @@ def k2_bh(spark, sf_dir):
     return stats.bh_adjust(held, "p", "p_adj").withColumn("p_adj", F.round("p_adj", 9))
 
 
-@query(
-    "k3_letter_groups",
-    f"""with g as (select grp, row_number() over (order by sum(r) / count(*) desc, grp) as place from pooled group by grp),
-      d as (select least(x.place, y.place) as lo, greatest(x.place, y.place) as hi from {POSTHOC} p join g x on x.grp = p.a join g y on y.grp = p.b where abs(t) > 2),
+def letters_sql(order: str, tested: str, differs: str, final: str) -> str:
+    return f"""with g as (select grp, sum(r) / count(*) as m, row_number() over (order by sum(r) / count(*) {order}, grp) as place from pooled group by grp),
+      d as (select least(x.place, y.place) as lo, greatest(x.place, y.place) as hi from {tested} p join g x on x.grp = p.a join g y on y.grp = p.b where {differs}),
       e as (select place, coalesce((select min(hi) from d where lo = place) - 1, (select count(*) from g)) as stop from g),
       s as (select place, min(stop) over (order by place rows between current row and unbounded following) as stop from e),
       f as (select place, stop, max(stop) over (order by place rows between unbounded preceding and 1 preceding) as far from s),
       r as (select place, stop, row_number() over (order by place) as no from f where far is null or stop > far)
-      select grp as animal_id, string_agg(chr(cast(96 + no as int)), '' order by no) as letters from g join r on g.place between r.place and r.stop group by grp""",
-)
+      select {final}, string_agg(chr(cast(96 + no as int)), '' order by no) as letters from g join r on g.place between r.place and r.stop group by grp, m"""
+
+
+@query("k3_letter_groups", letters_sql("desc", POSTHOC, "abs(t) > 2", "grp as animal_id"))
 def k3(spark, sf_dir):
     ranks = arrival(spark, sf_dir)
     tested = stats.posthoc(ranks, "rank", "animal_id").withColumn("differs", F.abs("t") > 2)
@@ -239,12 +269,16 @@ def k3(spark, sf_dir):
     return stats.letter_groups(means, tested).select(F.col("group").alias("animal_id"), "letters")
 
 
-@query("k3_letter_groups_bh")
+# Reversed ranks turn the order of the means round and change no p value.
+@query(
+    "k3_letter_groups_bh",
+    letters_sql("asc", TESTED, "p_adj <= 0.05", 'grp as "group", round((select count(*) from arrival) + 1 - m, 4) as mean_rank'),
+)
 def k3_bh(spark, sf_dir):
     ranks = stats.reversed_rank(arrival(spark, sf_dir), "rank", "reversed")
     tested = stats.posthoc(ranks, "reversed", "animal_id").withColumn("differs", F.col("p_adj") <= 0.05)
     means = stats.rank_sums(stats.pooled_ranks(ranks, "reversed", "animal_id")).select("group", "mean_rank")
-    return stats.letter_groups(means, tested)
+    return stats.letter_groups(means, tested).withColumn("mean_rank", F.round("mean_rank", 4))
 
 
 @query("k4_effect_size", "select round((h - k + 1) / (n - k), 6) as effect_size from kw")
@@ -273,6 +307,16 @@ def k5_price(spark, sf_dir):
     return out.select("n", "k", F.round("f", 4).alias("f"), "df1", "df2")
 
 
+@query(
+    "k5_levene_p",
+    f"""select n, k, round(1 - {beta_series("((k - 1) / 2.0)", "((n - k) / 2.0)", "y")}, 6) as p from (
+      select n, k, (k - 1) * f / (n - k + (k - 1) * f) as y from ({levene_sql('lineitem', 'l_quantity', 'l_linenumber').replace(', 4) as f', ', 12) as f')}))""",
+)
+def k5_p(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", "l_quantity")
+    return stats.levene(items, "l_quantity", "l_linenumber").select("n", "k", F.round("p", 6).alias("p"))
+
+
 @query("k6_group_means", "select animal_id, count(rank) as n, round(avg(rank), 4) as mean from arrival group by animal_id")
 def k6(spark, sf_dir):
     return stats.group_means(arrival(spark, sf_dir), "rank", ["animal_id"]).withColumn("mean", F.round("mean", 4))

@@ -39,6 +39,18 @@ def meets(a: tuple, b: tuple) -> str:
     )
 
 
+def beta_series(a: str, b: str, y: str) -> str:
+    """The regularised incomplete beta function I_y(a, b) as a power series; good where y is not near 1."""
+    front = f"exp({a} * ln({y}) + {b} * ln(1 - {y}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
+    term = f"exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({y}))"
+    return f"case when {y} <= 0 then 0.0 else {front} * list_sum(list_transform(range(0, 4000), lambda i: {term})) end"
+
+
+def gamma_series(a: str, x: str) -> str:
+    """The regularised lower incomplete gamma function P(a, x) as a power series."""
+    return f"list_sum(list_transform(range(0, 5000), lambda i: exp(({a} + i) * ln({x}) - {x} - lgamma({a} + 1 + i))))"
+
+
 OWN = ("x", "y", "x2", "y2")
 GATE = ("gx1", "gy1", "gx2", "gy2")
 

@@ -100,3 +100,33 @@ def test_letters_when_a_later_member_differs(spark):
     pairs = spark.createDataFrame([("A", "B", False), ("A", "C", False), ("B", "C", True)], "a string, b string, differs boolean")
     letters = {r["group"]: set(r["letters"]) for r in letter_groups(groups, pairs).collect()}
     assert letters["A"] & letters["B"] and not letters["B"] & letters["C"]
+
+
+def test_tail_probabilities(spark):
+    """Closed forms: even and single degrees of freedom, F of 2 and n, t squared as F, and large samples."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from trackflow.functions.tails import chi2_tail, f_tail, log_gamma, t_two_sided
+
+    def all_of(fn, rows):
+        names = ["s", "a", "b"][: len(rows[0])]
+        table = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names))
+        return [r["v"] for r in table.select(fn(*map(F.col, names)).alias("v")).collect()]
+
+    chi = [(s, k) for s in (0, 0.3, 2, 9, 40, 700) for k in (2, 4, 10, 40)]
+    want = [math.exp(-s / 2) * sum((s / 2) ** i / math.factorial(i) for i in range(k // 2)) for s, k in chi]
+    assert all_of(chi2_tail, chi) == pytest.approx(want, rel=1e-11, abs=1e-300)
+    one = [0.01, 0.5, 1, 3, 12, 40]
+    assert all_of(chi2_tail, [(s, 1) for s in one]) == pytest.approx([math.erfc(math.sqrt(s / 2)) for s in one], rel=1e-11)
+    assert all_of(t_two_sided, [(s, 1) for s in one]) == pytest.approx([1 - 2 * math.atan(s) / math.pi for s in one], rel=1e-11)
+    assert all_of(t_two_sided, [(-s, 2) for s in one]) == pytest.approx([1 - s / math.sqrt(2 + s * s) for s in one], rel=1e-9)
+    assert all_of(t_two_sided, [(s, 1e7) for s in one[:4]]) == pytest.approx([math.erfc(s / math.sqrt(2)) for s in one[:4]], rel=1e-5)
+    fs = [(s, 2, n) for s in one for n in (1, 7, 50, 4000)]
+    assert all_of(f_tail, fs) == pytest.approx([(1 + 2 * s / n) ** (-n / 2) for s, _, n in fs], rel=1e-9, abs=1e-300)
+    assert all_of(f_tail, [(s * s, 1, 33) for s in one]) == pytest.approx(all_of(t_two_sided, [(s, 33) for s in one]), rel=1e-10)
+    assert all_of(f_tail, [(float("inf"), 3, 9), (0, 3, 9)]) == [0.0, 1.0]
+    assert all_of(log_gamma, [(x,) for x in (0.5, 1, 2.5, 40, 1e6)]) == pytest.approx([math.lgamma(x) for x in (0.5, 1, 2.5, 40, 1e6)], rel=1e-13, abs=1e-14)
+    none = spark.range(1).select(chi2_tail(F.lit(None), F.lit(3)).alias("c"), t_two_sided(F.lit(None), F.lit(3)).alias("t"), f_tail(F.lit(1.0), F.lit(0), F.lit(3)).alias("f"))
+    assert tuple(none.head()) == (None, None, None)
