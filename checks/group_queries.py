@@ -347,7 +347,8 @@ def k7(spark, sf_dir):
 
 @query("k7_mantel_999", MANTEL)
 def k7_full(spark, sf_dir):
-    return data.study(spark, sf_dir).mantel().withColumn("r", F.round("r", 6))
+    """Two whole matrices: every pair meets every permutation."""
+    return stats.mantel(data.study(spark, sf_dir).pairs, "same_breed").withColumn("r", F.round("r", 6))
 
 
 # --- clusters
@@ -483,9 +484,24 @@ def x9(spark, sf_dir):
     return movement.mean_pair_distance(data.study(spark, sf_dir).positions).withColumn("mean_dist", F.round("mean_dist", 4))
 
 
-@query("x10_hull_area")
+# A hull's edge has no place to its right, and none in line with it beyond its ends.
+SIDE = "((q.px - p.px) * (r.py - p.py) - (q.py - p.py) * (r.px - p.px))"
+BEYOND = "((r.px - p.px) * (q.px - p.px) + (r.py - p.py) * (q.py - p.py) < 0 or (r.px - q.px) * (p.px - q.px) + (r.py - q.py) * (p.py - q.py) < 0)"
+
+
+@query(
+    "x10_hull_area",
+    f"""with pts as materialized (select distinct session_id, direction, gate_no, px, py from pos where px is not null and py is not null),
+      edges as (select p.session_id, p.direction, p.gate_no, p.px as x1, p.py as y1, q.px as x2, q.py as y2 from pts p join pts q
+        on p.session_id = q.session_id and p.direction = q.direction and p.gate_no = q.gate_no and (p.px <> q.px or p.py <> q.py)
+        where not exists (select 1 from pts r where r.session_id = p.session_id and r.direction = p.direction and r.gate_no = p.gate_no
+          and (r.px <> p.px or r.py <> p.py) and (r.px <> q.px or r.py <> q.py) and ({SIDE} < 0 or ({SIDE} = 0 and {BEYOND}))))
+      select session_id, direction, gate_no, greatest(1, count(x1))::int as corners, round(coalesce(sum((x1 - ox) * (y2 - oy) - (y1 - oy) * (x2 - ox)), 0) / 2, 3) as area
+      from (select session_id, direction, gate_no, min(px) as ox, min(py) as oy from pts group by all) left join edges using (session_id, direction, gate_no)
+      group by session_id, direction, gate_no""",
+)
 def x10(spark, sf_dir):
-    return movement.hull_area(data.study(spark, sf_dir).positions)
+    return movement.hull_area(data.study(spark, sf_dir).positions).withColumn("area", F.round("area", 3))
 
 
 CHANGES = """(select animal_id, direction, session_id, mean_rank, first_time, mean_rank - lag(mean_rank) over (partition by animal_id, direction order by first_time, session_id) as change

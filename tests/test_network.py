@@ -54,6 +54,31 @@ def test_published_matrix_figures(published):
     assert same["mean"] == pytest.approx(13.2857, abs=1e-4) and mixed["mean"] == pytest.approx(8.5176, abs=1e-4)
 
 
+def test_mantel_of_labels(spark, published):
+    """The same as with all pairs and permutations as rows, on the published counts, random ones, and without spread."""
+    import random
+
+    from trackflow.functions.columns import breed_from_animal
+
+    def both(pairs, permutations):
+        ids = pairs.select(F.col("a").alias("animal_id")).union(pairs.select("b")).distinct()
+        labelled = ids.withColumn("label", breed_from_animal(F.col("animal_id")))
+        return (
+            stats.mantel_of_labels(pairs.filter("n > 0"), labelled, permutations).head(),
+            stats.mantel(network.same_breed(pairs), "same_breed", permutations).head(),
+        )
+
+    new, old = both(published, 199)
+    assert new["r"] == pytest.approx(0.316516, abs=1e-6) and tuple(new) == pytest.approx(tuple(old))
+    r = random.Random(4)
+    names = [f"{r.choice(['HO', 'HW', 'OB'])}{i:02d}" for i in range(9)]
+    rows = [(min(a, b), max(a, b), r.choice([0, 0, 1, 5])) for i, a in enumerate(names) for b in names[i + 1 :]]
+    new, old = both(spark.createDataFrame(rows, "a string, b string, n long"), 99)
+    assert tuple(new) == pytest.approx(tuple(old))
+    flat = spark.createDataFrame([(a, b, 2) for a, b, _ in rows], "a string, b string, n long")
+    assert tuple(stats.mantel_of_labels(flat, spark.createDataFrame([(n, n[:2]) for n in names], "animal_id string, label string"), 9).head()) == (None, None, 9)
+
+
 def test_mantel_on_the_published_matrix(published):
     out = stats.mantel(network.same_breed(published), "same_breed").head()
     assert out["r"] == pytest.approx(0.316516, abs=1e-6)
@@ -138,7 +163,7 @@ def test_mean_pair_distance(positions, block):
 
 @pytest.mark.parametrize("hot", [1000, 20])
 def test_hull_area(positions, monkeypatch, hot):
-    monkeypatch.setattr(movement, "HOT_GROUP", hot)
+    monkeypatch.setattr(movement, "HULL_PART", hot)
     pos = positions.toPandas().dropna()
 
     def brute(pts):
@@ -194,3 +219,25 @@ def test_calinski_harabasz(spark):
     df = spark.createDataFrame(pts, "g int, px double, py double, cluster int")
     row = snapshots.calinski_harabasz(df, ["g"]).head()
     assert (row["k"], row["n"], row["score"]) == (2, 4, pytest.approx((100 / 1) / (4 / 2)))
+
+
+def test_hull_shapes(spark):
+    """Collinear places, one and two places, repeated ones, and a ring whose places are all corners."""
+    import math
+
+    shapes = {
+        "one": ([(3, 4)] * 3, 1, 0.0), "two": ([(0, 0), (1, 1), (0, 0)], 2, 0.0), "line": ([(i, 2 * i) for i in range(9)], 2, 0.0),
+        "square": ([(i, j) for i in range(5) for j in range(5)], 4, 16.0), "triangle": ([(0, 0), (4, 0), (0, 4), (1, 1), (2, 2)], 3, 8.0),
+        "ring": ([(math.cos(i), math.sin(i)) for i in range(40)], 40, None),
+    }
+    rows = [(n, f"a{i}", float(x), float(y)) for n, (places, _, _) in shapes.items() for i, (x, y) in enumerate(places)] + [("none", "a", None, 1.0)]
+    table = spark.createDataFrame(rows, "s string, animal_id string, px double, py double")
+    for part in (256, 7):
+        movement.HULL_PART, before = part, movement.HULL_PART
+        try:
+            got = {r["s"]: r for r in movement.hull_area(table, ["s"]).collect()}
+        finally:
+            movement.HULL_PART = before
+        assert got.keys() == shapes.keys()
+        for name, (_, corners, area) in shapes.items():
+            assert got[name]["corners"] == corners and (area is None or got[name]["area"] == pytest.approx(area))

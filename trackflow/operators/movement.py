@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trackflow.functions.columns import hour_number, seconds_between
 from trackflow.functions.geometry import Line, distance
-from trackflow.operators.network import HOT_GROUP
 from trackflow.operators.ordered import neighbours, running_total, time_chunk, within_time
 from trackflow.operators.snapshots import SNAPSHOT
 from trackflow.operators.tables import attach, materialise, row_count
@@ -18,6 +17,7 @@ from trackflow.operators.trips import OUT
 # animals leave their comfort zone and are under heat stress.
 LAPSE_PER_KM = 6.5
 WARM_FROM, HOT_FROM = 16.0, 22.0
+HULL_PART = 256
 TRIP = ["session_id", "animal_id", "direction"]
 
 
@@ -162,61 +162,71 @@ def mean_pair_distance(pos: DataFrame, snapshot: list[str] = SNAPSHOT, block: in
     return total.withColumn("mean_dist", F.try_divide(F.col("_sum"), pairs)).drop("_sum")
 
 
-def hull_area(pos: DataFrame, snapshot: list[str] = SNAPSHOT) -> DataFrame:
-    """Convex hull area of every snapshot: (*snapshot, corners, area).
+def hull(points: Column) -> Column:
+    """The corners of the convex hull of an array of distinct struct(px, py) sorted by both, counter-clockwise from the first.
 
-    The hull of a whole is the hull of its parts' hulls: parts of at most
-    about ``HOT_GROUP`` points are reduced to their corners first.
+    Monotone chain as two folds: each place takes from the chain's end the corners it makes needless, and is added. Along
+    a convex chain these are the ones from some place on, so they are found by one pass over the chain.
     """
-    points = pos.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select(*snapshot, "px", "py").distinct()
-    points = materialise(points)
-    sizes = points.groupBy(*snapshot).agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_GROUP)).alias("_parts"))
-    large = materialise(sizes.filter("_parts > 1"))
-    keys = list(snapshot)
-
-    def corners(pdf, key_columns):
-        import numpy as np
-        import pandas as pd
-
-        pts = np.unique(pdf[["px", "py"]].to_numpy(), axis=0)
-
-        def half(rows):
-            kept = []
-            for p in rows:
-                while len(kept) > 1 and (
-                    (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]) <= 0
-                ):
-                    kept.pop()
-                kept.append(p)
-            return kept
-
-        ring = pts if len(pts) < 3 else np.array(half(pts)[:-1] + half(pts[::-1])[:-1])
-        out = pd.DataFrame(ring, columns=["px", "py"])
-        for c in key_columns:
-            out[c] = pdf[c].iloc[0]
-        return out
 
-    def reduce_part(pdf):
-        return corners(pdf, [*keys, "_part"])[[*keys, "_part", "px", "py"]]
+    def left_turn(a: Column, b: Column, c: Column) -> Column:
+        return (b["px"] - a["px"]) * (c["py"] - a["py"]) - (b["py"] - a["py"]) * (c["px"] - a["px"]) > 0
 
-    def finish(pdf):
-        import numpy as np
+    def chain(line: Column) -> Column:
+        none = F.slice(line, 1, 0)
 
-        ring = corners(pdf, keys)
-        x, y = ring["px"].to_numpy(), ring["py"].to_numpy()
-        x, y = x - x[0], y - y[0]
-        out = ring.iloc[:1][keys].copy()
-        out["corners"] = len(ring)
-        out["area"] = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-        return out
+        def add(held: Column, p: Column) -> Column:
+            # From the end of the chain: how many corners go before the first that stays.
+            start = F.struct(F.lit(0).alias("gone"), F.lit(False).alias("stays"))
+
+            def look(state: Column, i: Column) -> Column:
+                keeps = left_turn(F.get(held, i - 1), F.get(held, i), p)
+                seen = F.struct((state["gone"] + F.when(keeps, 0).otherwise(1)).alias("gone"), keeps.alias("stays"))
+                return F.when(state["stays"], state).otherwise(seen)
+
+            inner = F.when(F.size(held) > 1, F.sequence(F.size(held) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+            gone = F.aggregate(inner, start, look, lambda state: state["gone"])
+            return F.concat(F.slice(held, F.lit(1), F.size(held) - gone), F.array(p))
+
+        return F.aggregate(line, none, add)
+
+    low, high = chain(points), chain(F.reverse(points))
+    ring = F.concat(F.slice(low, F.lit(1), F.size(low) - 1), F.slice(high, F.lit(1), F.size(high) - 1))
+    return F.when(F.size(points) < 3, points).otherwise(ring)
 
-    if row_count(large) > 0:
+
+def ring_area(ring: Column) -> Column:
+    """The area inside a ring of struct(px, py), measured from its first corner."""
+    x = lambda i: F.get(ring, i)["px"] - F.get(ring, F.lit(0))["px"]
+    y = lambda i: F.get(ring, i)["py"] - F.get(ring, F.lit(0))["py"]
+    inner = F.when(F.size(ring) > 2, F.sequence(F.lit(1), F.size(ring) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.abs(F.aggregate(inner, F.lit(0.0), lambda s, i: s + (x(i) * y(i + 1) - y(i) * x(i + 1)))) / 2
+
+
+def hull_area(pos: DataFrame, snapshot: list[str] = SNAPSHOT) -> DataFrame:
+    """Convex hull area of every snapshot: (*snapshot, corners, area).
+
+    The hull of a whole is the hull of its parts' hulls: parts of about ``HULL_PART`` places are reduced to their
+    corners until a snapshot is one part.
+    """
+    points = pos.filter(F.col("px").isNotNull() & F.col("py").isNotNull()).select(*snapshot, "px", "py").distinct()
+    point = F.array_sort(F.collect_list(F.struct("px", "py")))
+    while True:
+        points = materialise(points)
+        sizes = points.groupBy(*snapshot).agg(F.ceil(F.count(F.lit(1)) / F.lit(HULL_PART)).alias("_parts"))
+        large = materialise(sizes.filter("_parts > 1"))
+        if row_count(large) == 0:
+            break
         dealt = attach(points, large, snapshot)
         part = F.pmod(F.xxhash64("px", "py"), F.coalesce("_parts", F.lit(1).cast("bigint")))
-        dealt = dealt.select(*keys, part.alias("_part"), "px", "py")
-        points = dealt.groupBy(*keys, "_part").applyInPandas(reduce_part, dealt.schema)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pos.select(*keys).schema)
-    return points.groupBy(*keys).applyInPandas(finish, f"{kinds}, corners int, area double")
+        corners = dealt.groupBy(*snapshot, part.alias("_part")).agg(hull(point).alias("ring"))
+        fewer = materialise(corners.select(*snapshot, F.explode("ring").alias("c")).select(*snapshot, "c.px", "c.py"))
+        if row_count(fewer) == row_count(points):  # all of them are corners of their parts
+            points = fewer
+            break
+        points = fewer
+    rings = points.groupBy(*snapshot).agg(hull(point).alias("ring"))
+    return rings.select(*snapshot, F.size("ring").alias("corners"), ring_area(F.col("ring")).alias("area"))
 
 
 def rank_changes(ranked: DataFrame) -> DataFrame:

@@ -224,9 +224,45 @@ def mantel(pairs: DataFrame, other: str, permutations: int = PERMUTATIONS, seed:
     met = moved.join(pairs.select("a", "b", "n"), ["a", "b"]).groupBy("perm")
     # A matrix without spread has no correlation (NULL), and then no p.
     r = F.try_divide(F.covar_pop("n", "v"), F.stddev_pop("n") * F.stddev_pop("v"))
-    per = materialise(met.agg(r.alias("r")))
+    return _permutation_p(materialise(met.agg(r.alias("r"))), permutations)
+
+
+def _permutation_p(per: DataFrame, permutations: int) -> DataFrame:
+    """(r, p, permutations) of correlations (perm, r), written; perm 0 is the one seen."""
     seen = per.filter("perm = 0").select(F.lit(1).alias("_all"), F.col("r").alias("r0"))
     drawn = attach(per.filter("perm > 0").withColumn("_all", F.lit(1)), seen, ["_all"])
     high = F.count(F.when(F.col("r") >= F.col("r0") - SAME_R, 1))
     p = F.when(F.max("r0").isNotNull(), (high + 1) / F.lit(permutations + 1.0))
     return drawn.agg(F.max("r0").alias("r"), p.alias("p")).withColumn("permutations", F.lit(permutations))
+
+
+def mantel_of_labels(edges: DataFrame, nodes: DataFrame, permutations: int = PERMUTATIONS, seed: int = 73) -> DataFrame:
+    """``mantel`` of pair counts against the matrix of equal labels, from the edges alone: (r, p, permutations).
+
+    ``edges`` holds the pairs (a, b, n) with n other than 0, each once; ``nodes`` all animals (animal_id, label). A null label equals none.
+    Moving the labels changes neither sums nor squares of both matrices, only what edges of equal labels weigh. Each animal
+    carries the labels that all permutations give it as one array, so pairs that never met take no part and an edge
+    meets its permutations inside its row.
+    """
+    held = materialise(nodes.select("animal_id", "label").distinct())
+    moves = permuted_names(held.select("animal_id"), permutations, seed)
+    given = moves.join(held, "animal_id").groupBy("moved_to").agg(F.array_sort(F.collect_list(F.struct("perm", "label"))).alias("g"))
+    given = materialise(given.select("moved_to", F.transform("g", lambda e: e["label"]).alias("labels")))
+    counted = materialise(edges.select("a", "b", F.col("n").cast("double").alias("n")).filter("n != 0"))
+    one = attach(counted, given.select(F.col("moved_to").alias("a"), F.col("labels").alias("la")), ["a"], "inner")
+    two = attach(one, given.select(F.col("moved_to").alias("b"), F.col("labels").alias("lb")), ["b"], "inner")
+    every = F.sequence(F.lit(0), F.lit(permutations))
+    equal = F.filter(every, lambda i: F.get("la", i) == F.get("lb", i))
+    weighed = two.select(F.explode(equal).alias("perm"), "n").groupBy("perm").agg(F.sum("n").alias("nv"))
+    perms = held.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("perm"), F.lit(1).alias("_all"))
+    size = held.agg(F.count(F.lit(1)).cast("double").alias("c")).withColumn("_all", F.lit(1))
+    groups = held.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    whole = size.join(groups.agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("v")).withColumn("_all", F.lit(1)), "_all")
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("sn"), F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0)).alias("nn")).withColumn("_all", F.lit(1))
+    total = materialise(whole.join(sums, "_all"))
+    met = attach(perms.join(weighed, "perm", "left"), total, ["_all"])
+    pairs = F.col("c") * (F.col("c") - 1) / 2
+    spread = (pairs * F.col("nn") - F.col("sn") * F.col("sn")) * (pairs * F.col("v") - F.col("v") * F.col("v"))
+    # A matrix without spread has no correlation (NULL), and then no p.
+    r = (pairs * F.coalesce("nv", F.lit(0.0)) - F.col("sn") * F.col("v")) / F.when(spread > 0, F.sqrt(spread))
+    return _permutation_p(materialise(met.select("perm", r.alias("r"))), permutations)

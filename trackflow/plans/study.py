@@ -116,7 +116,9 @@ class Study:
         return stats.epsilon_squared(stats.kruskal_wallis(ranked, "rank", "animal_id"))
 
     def mantel(self, permutations: int = stats.PERMUTATIONS, seed: int = SEED) -> DataFrame:
-        return stats.mantel(self.pairs, "same_breed", permutations, seed)
+        """Proximity against equal breeds; pairs that never met are not listed for it."""
+        labelled = network.nodes(self.animals).withColumnRenamed("breed", "label")
+        return stats.mantel_of_labels(self.proximity, labelled, permutations, seed)
 
 
 def between_x(lo: float, hi: float) -> Column:
