@@ -62,3 +62,21 @@ def test_quantiles(table):
         np.testing.assert_allclose(got[name].to_numpy(), want.to_numpy())
     whole = quantiles(df, [], "v", {"m": 0.5}).head()
     assert whole["m"] == pdf["v"].quantile(0.5)
+
+
+def test_value_ranges_follow_the_rows(spark, monkeypatch):
+    """Ranges never fall along the values, and hundred times the rows do not make the largest one larger."""
+    from trackflow.operators import ordered
+    from trackflow.operators.tables import materialise
+
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 100)
+    largest = {}
+    for n in (500, 50_000):
+        table = materialise(spark.range(n).select((F.col("id") * 37 % n).cast("double").alias("v")))
+        found = table.withColumn("c", ordered.value_chunk(table, "v"))
+        sizes = found.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("c").collect()
+        assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:])) and sum(r["n"] for r in sizes) == n
+        largest[n] = max(r["n"] for r in sizes)
+    assert max(largest.values()) <= 200
+    one = materialise(spark.range(50).select(F.col("id").cast("double").alias("v")))
+    assert one.select(ordered.value_chunk(one, "v").alias("c")).distinct().count() == 1

@@ -114,3 +114,35 @@ def test_matrix_of_too_many_animals_is_an_error(spark, monkeypatch):
     assert network.pair_matrix(pairs, animals.limit(2)).count() == 2
     with pytest.raises(ValueError, match="with_zero_pairs"):
         network.pair_matrix(pairs, animals)
+
+
+def test_layers_are_replaced_together(spark, tmp_path):
+    """The third of four layers fails: the old four stay. A run that died while moving is finished by the next."""
+    names = ["a", "b", "c", "d"]
+    old = {n: spark.range(i + 1) for i, n in enumerate(names)}
+    path = str(tmp_path / "layers")
+    rows = lambda: {n: spark.read.parquet(f"{path}/{n}").count() for n in names}
+    sinks.write_layers(old, path)
+    assert rows() == {"a": 1, "b": 2, "c": 3, "d": 4}
+    broken = {n: spark.range(9) for n in names} | {"c": spark.range(9).select(F.raise_error(F.lit("no"))  .alias("id"))}
+    with pytest.raises(Exception, match="no"):
+        sinks.write_layers(broken, path)
+    assert rows() == {"a": 1, "b": 2, "c": 3, "d": 4} and {p.name for p in (tmp_path / "layers").iterdir() if not p.name.endswith(".crc")} == set(names)
+    moves, real = [], sinks._Files.move
+
+    def dies(self, name, to):
+        moves.append(name)
+        if len(moves) == 4:
+            raise KeyboardInterrupt
+        real(self, name, to)
+
+    sinks._Files.move = dies
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_layers({n: spark.range(7) for n in names}, path)
+    finally:
+        sinks._Files.move = real
+    sinks.finish_layers(spark, path)
+    assert rows() == dict.fromkeys(names, 7)
+    sinks.write_layers({"b": spark.range(2)}, path)
+    assert rows() == {"a": 7, "b": 2, "c": 7, "d": 7}

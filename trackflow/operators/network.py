@@ -11,6 +11,7 @@ from trackflow.operators.snapshots import SNAPSHOT
 from trackflow.operators.tables import attach, materialise, row_count
 
 HOT_GROUP = 1000
+PAIR_BLOCK = 500
 # A matrix has one column per animal.
 MAX_MATRIX_ANIMALS = 2000
 # Fixed value: animals within five metres are together.
@@ -79,12 +80,14 @@ def co_cluster_counts(labels: DataFrame, snapshot: list[str] = SNAPSHOT) -> Data
     return group_join(here, there, on, F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def all_pairs(animals: DataFrame, blocks: int = 8) -> DataFrame:
+def all_pairs(animals: DataFrame, blocks: int | None = None) -> DataFrame:
     """Every pair a < b of the listed animals.
 
-    The animals are dealt into blocks and every two blocks are joined on their
-    numbers, so the pairs are spread over blocks * (blocks + 1) / 2 keys.
+    The animals are dealt into blocks of about PAIR_BLOCK and every two blocks are joined on their
+    numbers, so the pairs are spread over blocks * (blocks + 1) / 2 keys of bounded size.
     """
+    if blocks is None:
+        blocks = max(1, -(-row_count(animals) // PAIR_BLOCK))
     dealt = animals.select("animal_id", F.pmod(F.xxhash64("animal_id"), F.lit(blocks)).alias("_b"))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
     one = dealt.select(F.col("animal_id").alias("id1"), F.col("_b").alias("b1"), F.explode(every).alias("b2"))

@@ -15,9 +15,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackflow.operators.tables import attach, materialise
+from trackflow.operators.tables import attach, materialise, row_count
 
 CHUNK_SECONDS = 900
+ROWS_PER_RANGE = 50_000
+MOST_RANGES = 1024
 
 
 def time_chunk(time: str = "time", seconds: int = CHUNK_SECONDS) -> Column:
@@ -130,14 +132,26 @@ def within_time(
     return found.filter(F.col("_chunk").eqNullSafe(chunk)).drop("_at", "_chunk")
 
 
-def value_chunk(counted: DataFrame, value: str, chunks: int = 64) -> Column:
-    """Chunk number by value range; cut points are approximate quantiles of a written table."""
+def value_chunk(counted: DataFrame, value: str, rows_per_range: int | None = None) -> Column:
+    """Chunk number by value range; cut points are approximate quantiles of a written table.
+
+    There are as many ranges as the table needs to hold about ROWS_PER_RANGE rows each, MOST_RANGES at most; a small table is one.
+    A value finds its range through a list of lists of cuts, so it is compared with about twice the root of their number.
+    """
+    chunks = min(MOST_RANGES, -(-row_count(counted) // (rows_per_range or ROWS_PER_RANGE)))
+    if chunks <= 1:
+        return F.lit(0).cast("bigint")
     shares = [i / chunks for i in range(1, chunks)]
     cuts = counted.agg(F.percentile_approx(value, shares).alias("cuts")).head()["cuts"] or []
     steps = sorted({float(c) for c in cuts})
     if not steps:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in steps]), lambda c: c <= F.col(value)))
+        return F.lit(0).cast("bigint")
+    width = math.isqrt(len(steps) - 1) + 1
+    lists = [steps[i : i + width] for i in range(0, len(steps), width)]
+    passed = lambda held: F.size(F.filter(held, lambda c: c <= F.col(value)))
+    whole = passed(F.array(*[F.lit(g[-1]) for g in lists]))
+    rest = F.get(F.array(*[F.array(*map(F.lit, g)) for g in lists]), whole)
+    return (whole * width + F.when(rest.isNotNull(), passed(rest)).otherwise(0)).cast("bigint")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, chunk: Column | None = None) -> DataFrame:
