@@ -34,29 +34,37 @@ def lines(fixes: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumn("points", F.transform(checked, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once; lambdas are not compiled, and would repeat it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def discrete_frechet(p: Column, q: Column) -> Column:
     """The distance of two arrays of struct(x, y); NULL if one has none. Time grows with the product of the lengths, memory with the sum."""
-    short, long = F.when(F.size(p) <= F.size(q), p).otherwise(q), F.when(F.size(p) <= F.size(q), q).otherwise(p)
-    n, m = F.size(short), F.size(long)
-    infinite = F.lit(float("inf"))
+    n, m = F.size(p), F.size(q)
+    turned = F.reverse(q)
+    low = lambda k: F.greatest(F.lit(0), k - m + 1)
 
-    def gap2(i: Column, j: Column) -> Column:
-        a, b = F.get(short, i), F.get(long, j)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        return dx * dx + dy * dy
+    def gap2(a: Column, b: Column) -> Column:
+        return (b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])
 
     def diagonal(k: Column, last: Column, before: Column) -> Column:
-        def cell(i: Column) -> Column:
-            come = F.least(F.get(last, i), F.get(last, i - 1), F.get(before, i - 1))
-            return F.when((k - i >= 0) & (k - i < m), F.greatest(gap2(i, k - i), come)).otherwise(infinite)
+        """Cells (i, k - i) from i = low(k) on; ``last`` and ``before`` are those of k - 1 and k - 2."""
+        size = F.least(n - 1, k) - low(k) + 1
+        gaps = F.zip_with(F.slice(p, low(k) + 1, size), F.slice(turned, m - k + low(k), size), gap2)
+        shifts = F.struct((low(k) - low(k - 1)).alias("one"), (low(k) - low(k - 2)).alias("two"), gaps.alias("gaps"))
+
+        def cells(s: Column) -> Column:
+            come = lambda t: F.least(F.get(last, t + s["one"]), F.get(last, t + s["one"] - 1), F.get(before, t + s["two"] - 1))
+            return F.transform(s["gaps"], lambda g, t: F.greatest(g, come(t)))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), cell)
+        return _once(shifts, cells)
 
-    first = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, gap2(i, i)).otherwise(infinite))
-    start = F.struct(first.alias("last"), F.array_repeat(infinite, n).alias("before"))
+    first = F.array(gap2(F.get(p, F.lit(0)), F.get(q, F.lit(0))))
+    start = F.struct(first.alias("last"), F.slice(first, 1, 0).alias("before"))
     steps = F.when(n + m > 2, F.sequence(F.lit(1), n + m - 2)).otherwise(F.array().cast("array<int>"))
     filled = F.aggregate(
-        steps, start, lambda acc, k: F.struct(diagonal(k, acc["last"], acc["before"]).alias("last"), acc["last"].alias("before")), lambda acc: F.get(acc["last"], n - 1)
+        steps, start, lambda acc, k: F.struct(diagonal(k, acc["last"], acc["before"]).alias("last"), acc["last"].alias("before")), lambda acc: F.get(acc["last"], F.lit(0))
     )
     return F.when((n > 0) & (m > 0), F.sqrt(filled))
 
