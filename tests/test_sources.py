@@ -146,3 +146,22 @@ def test_layers_are_replaced_together(spark, tmp_path):
     assert rows() == dict.fromkeys(names, 7)
     sinks.write_layers({"b": spark.range(2)}, path)
     assert rows() == {"a": 7, "b": 2, "c": 7, "d": 7}
+
+
+def test_only_asked_columns_are_read(spark, folder):
+    from pyspark.sql.types import StructType
+
+    from trackflow.sources.geopackage import GeoPackageReader
+
+    asked = lambda kinds: GeoPackageReader(StructType.fromDDL(kinds), {"path": folder}).statement("06-25-A", "geom", {"ID", "Time", "NSat", "PDOP"})
+    by_row = 'from "06-25-A" where rowid between ? and ? order by rowid'
+    assert asked("source_layer string, nsat int") == (f'select rowid, "NSat" {by_row}', ["nsat"])
+    assert asked("fid long, x double, altitude double") == (f'select rowid, "geom" {by_row}', ["_geometry"])
+    assert asked("source_file string") == (f"select rowid {by_row}", [])
+    narrow = spark.read.format("gpkg_tracks").schema("source_file string, x double").option("bytesPerTask", 1000).load(folder)
+    assert narrow.rdd.getNumPartitions() > 10 and narrow.count() == 4 and {r["x"] for r in narrow.collect()} == {1.5, 3.0, 5.0, None}
+
+
+def test_a_filter_leaves_the_next_query_whole(spark, folder):
+    raw = read_tracks(spark, folder)
+    assert [raw.filter("nsat = 7").count(), raw.count(), raw.filter("source_layer > '06'").count()] == [1, 4, 4]
