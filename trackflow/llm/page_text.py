@@ -12,8 +12,13 @@ out first. A class name or id is evidence only: an element so named stays if it
 or most of the content that the ratios find when all but reader comments counts. Where an article or main lies
 outside, parts of a name that says nothing else ("ad", not "has-ad") go in any case.
 
+Text in links weighs nothing, unless an article or main holds nothing else: then its links are the content. Of several elements
+that hold equally much the outermost main, or else the innermost division, counts. The time for a page grows with its
+length, not with the depth of its elements.
+
 White space inside a block (a line break counts as such) becomes one space, blocks are joined by an empty
-line. Null and empty pages, and pages without content, give an empty text.
+line. Null and empty pages, and pages without content, give an empty text. Every row is a page of its own, repeated ones, too; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,6 +87,10 @@ class Element:
     comments: bool = False
     gone: bool = False
     mass: float = 0.0
+    in_main: bool = False  # it or an element around it is one; so with the next two
+    linked: bool = False
+    heading: bool = False
+    path: int = 0
 
 
 @dataclass
@@ -92,7 +101,7 @@ class Block:
 
 @dataclass
 class Piece:
-    path: str
+    path: int
     element: Element
     text: str
     linked: bool
@@ -106,15 +115,13 @@ def _opened(tag: str, rest: str, parent: Element) -> Element:
     out = parent.out or tag in LEFT_OUT
     named = False
     if not out and not main and tag not in ("html", "body"):
-        inside = parent
-        while inside.parent is not None and not inside.main:
-            inside = inside.parent
-        heads = not inside.main and tag == "header"
+        heads = not parent.in_main and tag == "header"
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
         hidden = hidden or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         out = heads or hidden or role in LEFT_OUT_ROLES
-        named = bool(LEFT_OUT_NAMES.intersection(names)) or not inside.main and bool(HEADERS.intersection(names))
+        named = bool(LEFT_OUT_NAMES.intersection(names)) or not parent.in_main and bool(HEADERS.intersection(names))
     made = Element(tag, f"{tag}.{names[0]}" if names else tag, parent, out, main, parent.depth + 1, named)
+    made.in_main, made.linked, made.heading = main or parent.in_main, tag == "a" or parent.linked, tag in HEADINGS or parent.heading
     if named:
         made.comments = bool(COMMENTS.intersection(names))
         single = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
@@ -123,24 +130,33 @@ def _opened(tag: str, rest: str, parent: Element) -> Element:
 
 
 def parse(page: str) -> tuple[list[Block], list[Piece], list[Element]]:
-    """Blocks of text, pieces with their paths and elements, in page order; named parts are in, others left out."""
+    """Blocks of text, pieces with their paths and elements, in page order; named parts are in, others left out.
+
+    What an element has from those around it is set when it opens, and paths are numbers, so a page's depth costs nothing.
+    """
     root = Element("", "", None, False, False, 0)
     at, here = 0, root
     blocks: list[Block] = [Block(root)]
     pieces: list[Piece] = []
-    paths: dict[int, str] = {id(root): ""}
-    held = [root]  # keeps elements alive, so that ids stay theirs
+    paths: dict[tuple[int, str], int] = {}  # number of the path above and name
+    held = [root]  # elements in page order, each after its parent
+    open_tags: dict[str, int] = defaultdict(int)
+
+    def leave(top: Element) -> Element:
+        """Closes everything up to ``top``."""
+        element = here
+        while True:
+            open_tags[element.tag] -= 1
+            if element is top:
+                return top.parent
+            element = element.parent
 
     def said(raw: str) -> None:
         if here.out or not raw:
             return
         blocks[-1].pieces.append((raw, here))
         if not raw.isspace():
-            chain, linked = here, False
-            while chain is not None:
-                linked = linked or chain.tag == "a"
-                chain = chain.parent
-            pieces.append(Piece(paths[id(here)], here, html.unescape(raw).strip(), linked))
+            pieces.append(Piece(here.path, here, html.unescape(raw).strip(), here.linked))
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -154,11 +170,11 @@ def parse(page: str) -> tuple[list[Block], list[Piece], list[Element]]:
             continue
         block = tag not in INLINE
         if m["end"]:
-            top = here
+            top = here if open_tags[tag] else root
             while top is not root and top.tag != tag and not (block is False and top.tag not in INLINE):
                 top = top.parent
             if top is not root and top.tag == tag:
-                here = top.parent
+                here = leave(top)
             if block:
                 blocks.append(Block(here))
             continue
@@ -172,29 +188,30 @@ def parse(page: str) -> tuple[list[Block], list[Piece], list[Element]]:
             while top is not root and top.tag not in closes and top.tag != "p" and (top.tag not in SCOPES or top.tag in closes):
                 top = top.parent
             if top is not root and (top.tag in closes or top.tag == "p"):
-                here = top.parent
+                here = leave(top)
                 if tag == "tr" and top.tag in ("td", "th") and here.tag == "tr":
-                    here = here.parent
+                    here = leave(here)
         if tag not in VOID:
             made = _opened(tag, m["rest"] or "", here)
             held.append(made)
-            paths[id(made)] = f"{paths[id(here)]}/{made.name}"
+            made.path = paths.setdefault((here.path, made.name), len(paths) + 1)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
                 continue
             if not (m["rest"] or "").rstrip().endswith("/") or tag not in ("svg", "path"):
                 here = made
+                open_tags[tag] += 1
         if block:
             blocks.append(Block(here))
     return blocks, pieces, held
 
 
-def content_paths(pieces: list[Piece]) -> set[str]:
+def content_paths(pieces: list[Piece]) -> set[int]:
     """The paths whose fused, smoothed ratio of text length and punctuation is high for this page."""
-    length: dict[str, float] = defaultdict(float)
-    points: dict[str, float] = defaultdict(float)
-    number: dict[str, int] = defaultdict(int)
+    length: dict[int, float] = defaultdict(float)
+    points: dict[int, float] = defaultdict(float)
+    number: dict[int, int] = defaultdict(int)
     for p in pieces:
         length[p.path] += 0 if p.linked else len(p.text)
         points[p.path] += 0 if p.linked else len(PUNCTUATION.findall(p.text))
@@ -202,49 +219,52 @@ def content_paths(pieces: list[Piece]) -> set[str]:
     fused = {p: length[p] / n * (1 + points[p] / n) for p, n in number.items()}
     row = [fused[p.path] for p in pieces]
     padded = [row[0], *row, row[-1]] if row else []
-    smooth: dict[str, float] = defaultdict(float)
+    smooth: dict[int, float] = defaultdict(float)
     for i, p in enumerate(pieces):
         smooth[p.path] += padded[i] / 4 + padded[i + 1] / 2 + padded[i + 2] / 4
     mean = sum(smooth.values()) / len(pieces) if pieces else 0.0
     return {p for p, n in number.items() if length[p] and smooth[p] / n >= THRESHOLD * mean}
 
 
-def weigh(pieces: list[Piece]) -> float:
-    """Sets each element's mass, the length of the content in it; returns that of the page."""
-    chosen = content_paths(pieces)
-    total = 0
-    for p in pieces:
-        element = p.element
-        while element is not None:
-            element.mass = 0
-            element = element.parent
-    for p in pieces:
-        if p.path in chosen and not p.linked:
-            total += len(p.text)
-            element = p.element
-            while element is not None:
-                element.mass += len(p.text)
-                element = element.parent
+def spread(elements: list[Element], own: dict[int, int], stop: bool = False) -> dict[int, int]:
+    """Adds what each element has of its own (by its id) to all elements around it, with ``stop`` not through named ones."""
+    total = defaultdict(int, own)
+    for e in reversed(elements):
+        if stop and e.named:
+            total[id(e)] = 0
+        elif e.parent is not None:
+            total[id(e.parent)] += total[id(e)]
     return total
 
 
+def weigh(elements: list[Element], pieces: list[Piece], chosen: set[int] | None = None) -> float:
+    """Sets each element's mass, the length of the content in it; returns that of the page. ``chosen``: paths that are content, in links, too."""
+    paths = content_paths(pieces) if chosen is None else chosen
+    own: dict[int, int] = defaultdict(int)
+    for p in pieces:
+        if p.path in paths and (chosen is not None or not p.linked):
+            own[id(p.element)] += len(p.text)
+    found = spread(elements, own)
+    for e in elements:
+        e.mass = found[id(e)]
+    return sum(own.values())
+
+
 def hold_articles(elements: list[Element], pieces: list[Piece]) -> bool:
     """Ends the names of elements that hold the page's article or main; returns whether one lies in no named element."""
     mains = [e for e in elements if e.main and not e.out]
     while True:
-        size = {id(e): 0 for e in mains}
+        own: dict[int, int] = defaultdict(int)
         for p in pieces:
-            element = None if p.linked else p.element
-            while element is not None and not element.named:
-                if element.main:
-                    size[id(element)] += len(p.text)
-                element = element.parent
+            own[id(p.element)] += 0 if p.linked else len(p.text)
+        size = spread(elements, own, stop=True)
+        outermost: dict[int, Element | None] = {}  # the outermost named element around each
+        for e in elements:
+            above = e.parent
+            outermost[id(e)] = above and (outermost[id(above)] or (above if above.named else None))
         free, largest, tops = False, 0, {}
         for e in mains:
-            above, top = e.parent, None
-            while above is not None:
-                top = above if above.named else top
-                above = above.parent
+            top = outermost[id(e)]
             if top is None:
                 free, largest = True, max(largest, size[id(e)])
             else:
@@ -266,7 +286,7 @@ def leave_out(elements: list[Element], pieces: list[Piece]) -> None:
         for e in elements:
             if e.named and e.comments or id(e.parent) in replies:
                 replies.add(id(e))
-        total = weigh([p for p in pieces if id(p.element) not in replies]) or weigh(pieces)
+        total = weigh(elements, [p for p in pieces if id(p.element) not in replies]) or weigh(elements, pieces)
     for e in elements:
         if e.named and total and e.mass >= MOST * total and not (free and e.wholly):
             e.named = False
@@ -278,48 +298,33 @@ def main_text(page: str) -> str:
     if any(e.named for e in elements):
         leave_out(elements, pieces)
         pieces = [p for p in pieces if not p.element.gone]
-    total = weigh(pieces)
+    total = weigh(elements, pieces)
+    if not total:  # an article or main that holds nothing but links is the content still
+        inside = [p for p in pieces if p.element.in_main]
+        total = weigh(elements, inside, {p.path for p in inside})
     if not total:
         return ""
-    seen = {}
-    for p in pieces:
-        element = p.element
-        while element is not None:
-            seen[id(element)] = element
-            element = element.parent
-    mains = [e for e in seen.values() if e.main and e.mass >= MOST * total]
+    mains = [e for e in elements if e.main and e.mass >= MOST * total]
     if mains:
         content = min(mains, key=lambda e: e.depth)
     else:
-        content = max((e for e in seen.values() if e.mass == total and (e.tag in DIVISIONS or not e.tag)), key=lambda e: e.depth)
+        content = max((e for e in elements if e.mass == total and (e.tag in DIVISIONS or not e.tag)), key=lambda e: e.depth)
+    within: dict[int, bool] = {}
+    for e in elements:
+        within[id(e)] = e is content or e.parent is not None and within[id(e.parent)]
     texts, links = [], []
     for b in blocks:
-        element = b.element
-        while element is not None and element is not content:
-            element = element.parent
-        if element is content:
+        if within[id(b.element)]:
             text = " ".join(html.unescape("".join(raw for raw, e in b.pieces if not e.gone)).split())
             if text:
                 texts.append(text)
-                links.append(all(raw.isspace() or e.gone or _in_link(e) for raw, e in b.pieces) and not _in_heading(b.element))
+                links.append(all(raw.isspace() or e.gone or e.linked for raw, e in b.pieces) and not b.element.heading)
     if content.tag in ("", "html", "body") and False in links:
         first, last = links.index(False), len(links) - links[::-1].index(False)
         texts = texts[first:last]
     return "\n\n".join(texts)
 
 
-def _in_link(element: Element | None) -> bool:
-    while element is not None and element.tag != "a":
-        element = element.parent
-    return element is not None
-
-
-def _in_heading(element: Element | None) -> bool:
-    while element is not None and element.tag not in HEADINGS:
-        element = element.parent
-    return element is not None
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
