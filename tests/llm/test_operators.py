@@ -225,6 +225,23 @@ def test_page_text_no_article():
     assert page_text.main_text(f"<body>{menu}<div>{sections}</div>") == "\n\n".join(f"Part {i}\n\n{more.strip()}" for i in range(3))
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>x" * 100_000 + "<p>y", "</div>" * 50_000 + "<span>" * 50_000 + "x</i>" * 50_000])
+def test_page_text_deep(page):
+    began = time.perf_counter()
+    assert "x" in page_text.main_text(page)
+    assert time.perf_counter() - began < 40
+
+
+def test_page_text_links_only(spark):
+    link = "<p><a href=x>A long linked sentence, with words.</a></p>"
+    menu = "<nav><a>Home</a></nav><div class=ad><a>Buy this, now.</a></div>"
+    pages = [f"<body>{menu}<article>{link}</article></body>", f"<body>{menu}{link}</body>", f"<main>{menu}{link}{link}</main>"]
+    long = "A long linked sentence, with words."
+    assert [page_text.main_text(p) for p in pages] == [long, "", f"{long}\n\n{long}"]
+    table = spark.createDataFrame([(1, None, "u"), (1, "", "u")], "page_id long, html string, text string")
+    assert [r["text"] for r in page_text.extract(table).collect()] == ["", ""] and page_text.extract(table.limit(0)).collect() == []
+
+
 def parses_brute(sample, text):
     n, i = 0, 0
     while i < len(text):
@@ -394,6 +411,39 @@ def test_quality(spark):
     assert none.filter("kept = base_failed").isEmpty()
 
 
+def test_quality_scores(spark, monkeypatch):
+    """Scores, the cut and the verdicts worked out again from the counts of all documents and a bounded draw of trusted ones."""
+    from collections import Counter
+
+    from trackflow.llm.words import Words
+
+    monkeypatch.setattr(quality, "TRUSTED_ROWS", 40)
+    r = random.Random(21)
+    texts = [" ".join(r.choice(["fine", "plain", "word", "text", "more"] if i % 3 else ["spam", "buy", "word", "now"]) + str(r.randrange(9)) for _ in range(r.randrange(5, 60))) for i in range(240)]
+    table = docs(spark, texts)
+    marks = spark.createDataFrame([(i, int(i % 3 > 0 and i % 7 > 0)) for i in range(240)], "doc_id long, quality int")
+    keyed = marks.select("doc_id", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), F.xxhash64("doc_id", F.lit("trusted")).alias("draw")).collect()
+    trusted = {k["doc_id"] for k in sorted((k for k in keyed if not k["held"] and k["quality"] == 1), key=lambda k: (k["draw"], k["doc_id"]))[:40]}
+    grams = [quality.ngrams(Words([t.encode()]))[0].tolist() for t in texts]
+    every, good = Counter(), Counter()
+    for i, g in enumerate(grams):
+        every.update(g)
+        if i in trusted:
+            good.update(g)
+    size = 1 << quality.BITS
+    n_all, n_good = size + sum(every.values()), size + sum(good.values())
+    score = [sum(math.log((1 + good[b]) / n_good) - math.log((1 + every[b]) / n_all) for b in g) / max(1, len(g)) for g in grams]
+    held = [(score[k["doc_id"]], k["quality"]) for k in keyed if k["held"]]
+    bins = sorted({math.floor(x / quality.STEP) for x, _ in held})
+    cuts = [bins[0], *[b + 1 for b in bins]]
+    lost = lambda c: sum(quality.LOSS if q else 0 for x, q in held if math.floor(x / quality.STEP) < c) + sum(1 for x, q in held if not q and math.floor(x / quality.STEP) >= c)
+    limit = min(cuts, key=lambda c: (lost(c), c)) * quality.STEP
+    got = quality.judge(table, marks).orderBy("doc_id").collect()
+    assert [g["score"] for g in got] == pytest.approx(score, abs=1e-9) and len(trusted) == 40
+    assert [g["kept"] for g in got] == [not g["base_failed"] and score[g["doc_id"]] >= limit for g in got]
+    assert 0 < sum(g["kept"] for g in got) < sum(not g["base_failed"] for g in got)
+
+
 def test_topk(spark):
     r = random.Random(2)
     rows = [(i, [r.uniform(-1, 1) for _ in range(12)], 0) for i in range(400)]

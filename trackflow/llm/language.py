@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackflow.llm.frames import chunks
+from trackflow.llm.frames import chunks, free_name
 from trackflow.operators.tables import attach, materialise, row_count
 
 SAMPLE_ROWS = 200
@@ -229,27 +229,36 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", draw: Col
     return {r["lang"]: r["sample"] for r in joined.filter("sample <> ''").collect()}
 
 
-def predictions(docs: DataFrame, samples: dict[str, str], text: str = "text", lettered: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score, on wish also whether the text has a letter; columns of these names are replaced."""
-    new = ["lang_pred", "score", "lettered"][: 3 if lettered else 2]
-    kept = [c for c in docs.columns if c.lower() not in new]
+def predictions(
+    docs: DataFrame, samples: dict[str, str], text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with a language and a score under ``names``, a third name: whether the text has a letter; columns of these names are replaced.
+
+    A text that is a column of its own type goes to the Python workers once.
+    """
+    taken = {n.lower() for n in names}
+    kept = [c for c in docs.columns if c.lower() not in taken]
     inner = [f"c{i}" for i in range(len(kept))]
-    plain_rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(text).cast("string").alias("_text"))
+    plain_rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)])
+    place = next((i for i, c in enumerate(kept) if c.lower() == text.lower() and plain_rows.schema[i].dataType.simpleString() == "string"), None)
+    if place is None:
+        place, plain_rows = len(inner), docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(kept, inner)], F.col(f"`{text}`").cast("string").alias("_text"))
     kinds = [f"{i} {plain_rows.schema[i].dataType.simpleString()}" for i in inner]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(samples) if samples else None
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(place)
             for a, b in chunks([n or 0 for n in pc.binary_length(column).to_pylist()], CHUNK_CHARS):
                 texts = [plain(t or "") for t in column.slice(a, b - a).to_pylist()]
-                names, scores = parser.judge(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                own = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                found = [pa.array(names), pa.array(scores), pa.array([bool(t) for t in texts])]
+                judged, scores = parser.judge(texts) if parser else ([UNKNOWN] * len(texts), [0.0] * len(texts))
+                own = [c.slice(a, b - a) for c in batch.columns[: len(inner)]]
+                found = [pa.array(judged), pa.array(scores), pa.array([bool(t) for t in texts])]
                 yield pa.RecordBatch.from_arrays([*own, *found], [*inner, "lang_pred", "score", "lettered"])
 
     judged = plain_rows.mapInArrow(judge, ", ".join([*kinds, "lang_pred string", "score double", "lettered boolean"]))
-    return judged.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *new)
+    found = [F.col(i).alias(n) for i, n in zip(("lang_pred", "score", "lettered"), names)]
+    return judged.select(*[F.col(i).alias(c) for c, i in zip(kept, inner)], *found)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -266,10 +275,12 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without those that have no language: null texts and texts without a letter.
+    """``docs`` without those that have no language: null texts and texts without a letter. A document without a label gets the judged one.
 
-    Texts with letters stay whatever they are judged to be, also unjudged where there is nothing to learn from.
+    Texts with letters stay whatever they are judged to be, also unjudged (and then unlabelled) where there is nothing to learn from.
     """
     samples = learn(docs.filter(~held_out(doc_id)), text, lang)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return predictions(row, samples, lettered=True).filter("lettered").select("row.*")
+    names = tuple(free_name(docs, n) for n in ("_judged", "_score", "_lettered"))
+    judged = predictions(docs, samples, text, names).filter(F.col(names[2]))
+    known = F.coalesce(F.col(f"`{lang}`"), F.when(F.col(names[0]) != UNKNOWN, F.col(names[0])))
+    return judged.select(*[known.alias(c) if c.lower() == lang.lower() else F.col(f"`{c}`") for c in docs.columns])
