@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-1. language: documents without a language (null texts, texts without a letter) go.
+1. language: documents without a language (null texts, texts without a letter) go; missing labels are filled in.
 2. lines: lines that ten documents or more share go, wherever they stand.
 3. near_copies: of each group of near duplicates the document of the smallest doc_id stays.
 4. mix: documents are repeated or left out so that sources come near their target weights.
@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_pieces, pieces, best_score): one row per document of the mix, repeats included."""
-    found = pieces.encoded(docs, pieces.read_model(queries.PIECES), N_BEST)
+    found = pieces.encoded(docs, pieces.read_model(queries.PIECES), N_BEST, keep=["doc_id", "source"])
     return found.select(
         "row.doc_id", "row.source", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.col("scores")[0].alias("best_score")
     )

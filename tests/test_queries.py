@@ -16,7 +16,8 @@ a3_read_gates a6_elevation_join b1_parse_time b4_animal_from_file b16_rescale b1
 c4_enough_satellites_as_text c6_moving_fixes c7_longitude_band d2_segments d3_drop_speed_outliers d4_smooth d7_trip_events d9_crossing_time
 e2_perpendicular_line e4_measuring_gates e8_point_polyline_distance f5_asof_last f6_asof_nearest g3_assign_route g4_gap_summary
 g8_distinct_counts g10_proximity_counts h3_order_by_time_of_day h7_nearest_to_gate k1_kruskal_wallis k2_bh_adjust k5_levene_price
-k7_mantel x5_stops x9_mean_pair_distance
+k1_kruskal_wallis_p_of_quantity k5_levene_p k7_mantel x4_moving_speed_60s x5_stops x8_leader_follower x9_mean_pair_distance x10_hull_area
+x11_frechet_within
 """.split()
 NAMES = sorted(SQL) if os.environ.get("TRACKFLOW_ALL_QUERIES") else SOME
 
