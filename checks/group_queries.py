@@ -69,7 +69,13 @@ def g9(spark, sf_dir):
     return network.co_cluster_counts(thirds(spark, sf_dir))
 
 
-@query("g9_co_cluster_counts_of_clusters")
+@query(
+    "g9_co_cluster_counts_of_clusters",
+    """with recursive together as (select p.animal_id as a, q.animal_id as b, count(*) as n from clustered p
+        join clustered q using (session_id, direction, gate_no, cluster) where p.animal_id < q.animal_id group by all)
+      select p.animal_id as a, q.animal_id as b, coalesce(n, 0)::bigint as n from herd p join herd q on p.animal_id < q.animal_id
+      left join together t on t.a = p.animal_id and t.b = q.animal_id""",
+)
 def g9_clusters(spark, sf_dir):
     study = data.study(spark, sf_dir)
     return network.with_zero_pairs(network.co_cluster_counts(study.clusters), study.animals)
@@ -354,9 +360,14 @@ def k7_full(spark, sf_dir):
 # --- clusters
 
 
-@query("l1_snapshot_clusters")
+@query(
+    "l1_snapshot_clusters",
+    """with recursive labels as (select * from clustered)
+      select session_id, direction, gate_no, animal_id, round(px, 4) as px, round(py, 4) as py, k::int as k, cluster::int as cluster from labels""",
+)
 def l1(spark, sf_dir):
-    return data.study(spark, sf_dir).clusters
+    labelled = data.study(spark, sf_dir).clusters
+    return labelled.withColumns({c: F.round(c, 4) for c in ("px", "py")})
 
 
 @query(

@@ -202,6 +202,41 @@ select n, k, (b - n * (n + 1) * (n + 1) / 4.0) / s2 as h, s2 from (
   select sum(n) as n, count(*) as k, sum(rs * rs / n) as b from (select grp, count(*) as n, sum(r) as rs from pooled group by grp)),
   (select (sum(r * r) - count(*) * (count(*) + 1.0) * (count(*) + 1.0) / 4.0) / (count(*) - 1) as s2 from pooled)"""
 
+# Clusters of snapshots, replayed as lists: hash-drawn starts, steps to standstill, the best restart and k.
+# ``lloyd`` refers to itself; a query that uses it starts with "with recursive".
+SNAP = "session_id, direction, gate_no"
+_apart = "(p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)"
+_squares = f"list_transform(centres, lambda c: {_apart})"
+_of = "list_filter(pts, lambda p, i: lab[i] = j)"
+CTES["snaps"] = f"""
+select {SNAP}, pts, n, list_sum(list_transform(pts, lambda p: (p.x - mx) * (p.x - mx) + (p.y - my) * (p.y - my))) as sst from (
+  select {SNAP}, list(struct_pack(id := animal_id, x := px, y := py) order by animal_id) as pts, count(*) as n, avg(px) as mx, avg(py) as my
+  from pos where px is not null and py is not null group by all having count(*) >= 3)"""
+CTES["dealt"] = f"""
+select {SNAP}, n, run, list_sort(list_transform(pts, lambda p: struct_pack(
+  key := md5(concat_ws('|', '73', run::varchar, p.id, session_id, direction, gate_no::varchar)), id := p.id, x := p.x, y := p.y))) as deck
+from snaps, range(100) r(run)"""
+CTES["lloyd"] = f"""
+select {SNAP}, k, run, list_sort(list_transform(deck[1:k], lambda p: struct_pack(x := p.x, y := p.y))) as centres, true as go
+from dealt, range(2, 7) c(k) where k < n
+union all
+select {SNAP}, k, run, moved, list_max(list_transform(range(1, k + 1), lambda j:
+  greatest(abs(moved[j].x - centres[j].x), abs(moved[j].y - centres[j].y)))) > 1e-6 as go
+from (select *, list_transform(range(1, k + 1), lambda j: case when list_contains(lab, j) then struct_pack(
+    x := round(list_avg(list_transform({_of}, lambda p: p.x)), 6), y := round(list_avg(list_transform({_of}, lambda p: p.y)), 6)) else centres[j] end) as moved
+  from (select {SNAP}, k, run, centres, pts, list_transform(pts, lambda p: list_position({_squares}, list_min({_squares}))) as lab
+    from lloyd join snaps using ({SNAP}) where go))"""
+CTES["settled"] = f"""
+select {SNAP}, k, n, run, centres, round(coalesce(list_sum(list_transform(pts, lambda p: list_min({_squares}))) / nullif(sst, 0), 0), 9) as rest
+from lloyd join snaps using ({SNAP}) where not go"""
+CTES["by_k"] = f"""
+select *, coalesce(((1 - rest) / (k - 1)) / nullif(rest / (n - k), 0), cast('inf' as double)) as score from (
+  select *, row_number() over (partition by {SNAP}, k order by rest, run) as rn from settled) where rn = 1"""
+CTES["clustered"] = f"""
+select {SNAP}, p.id as animal_id, p.x as px, p.y as py, k, list_position({_squares}, list_min({_squares})) as cluster from (
+  select {SNAP}, k, list_sort(centres) as centres, unnest(pts) as p
+  from (select *, row_number() over (partition by {SNAP} order by score desc, k) as best from by_k) join snaps using ({SNAP}) where best = 1)"""
+
 
 def sql(final: str) -> str:
     """``final`` with the CTEs it names, directly or through others."""

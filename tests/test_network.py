@@ -204,6 +204,17 @@ def test_clusters_find_clear_blobs(spark):
         assert len(seen) == len({t for t, _ in seen}) == len({c for _, c in seen})
 
 
+def test_clusters_repeat_and_are_numbered_by_place(spark, positions):
+    some = positions.filter("gate_no < 2")
+    key = ["gate_no", "animal_id"]
+    one, two = (clusters.snapshot_clusters(df, restarts=4).toPandas().sort_values(key) for df in (some, some.repartition(7, "px")))
+    assert one[[*key, "k", "cluster"]].values.tolist() == two[[*key, "k", "cluster"]].values.tolist()
+    for _, group in one.groupby("gate_no"):
+        assert group.groupby("cluster")["px"].mean().round(6).is_monotonic_increasing
+    same = spark.createDataFrame([("s", "out", 1, f"HO{i}", 5.0, 5.0) for i in range(5)], some.select("session_id", "direction", "gate_no", "animal_id", "px", "py").schema)
+    assert {(r["k"], r["cluster"]) for r in clusters.snapshot_clusters(same, restarts=2).collect()} == {(2, 1)}
+
+
 def test_clusters_of_a_crowded_snapshot_are_stable(positions):
     big = positions.filter("gate_no = 0")
     got = clusters.snapshot_clusters(big, restarts=3).toPandas()

@@ -1,4 +1,11 @@
-"""K-means of every snapshot at once, with the number of clusters chosen per snapshot."""
+"""K-means of every snapshot at once, with the number of clusters chosen per snapshot.
+
+Every step follows from the rows alone, so that runs repeat and other engines can replay them: starts are the
+k places with the smallest md5 of seed, restart, animal and snapshot; a place goes to the nearest centre, the
+first on ties; a centre without places stays where it is; centres are kept to six decimals. Errors are compared as
+shares of the snapshot's whole spread, to nine decimals: the smallest restart wins among equals, and the
+smallest k among equal scores. Clusters are numbered by their centres' place, x before y.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +19,7 @@ from trackflow.operators.tables import attach, materialise
 K_MIN, K_MAX, SEED = 2, 6, 73
 RESTARTS = 100
 STILL = 1e-6
+PLACES, SHARE_PLACES = 6, 9  # decimals of centres, and of a run's share of the whole spread
 
 
 def _squares(centres: Column) -> Column:
@@ -32,7 +40,7 @@ def _nearest(points: DataFrame, centres: DataFrame, snapshot: list[str]) -> Data
 
 
 def _starts(points: DataFrame, sizes: DataFrame, snapshot: list[str], k_min: int, k_max: int, restarts: int, seed: int) -> DataFrame:
-    """Per snapshot, k and restart: k points drawn by hash, (snapshot, k, run, centres).
+    """Per snapshot, k and restart: the k points of the smallest hashes, (snapshot, k, run, centres).
 
     The row_number bound lets every task send on at most ``k_max`` points per
     snapshot and restart.
@@ -40,7 +48,7 @@ def _starts(points: DataFrame, sizes: DataFrame, snapshot: list[str], k_min: int
     drawn = attach(points, sizes, snapshot, "inner").withColumn(
         "run", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1)))
     )
-    key = F.xxhash64(F.lit(seed), F.col("run"), F.col("animal_id"), *snapshot)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("run").cast("string"), "animal_id", *[F.col(c).cast("string") for c in snapshot]))
     w = Window.partitionBy(*snapshot, "run").orderBy("_key", "animal_id")
     first = drawn.withColumn("_key", key).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k_max)
     counts = F.explode(F.sequence(F.lit(k_min), F.lit(k_max)))
@@ -76,7 +84,8 @@ def snapshot_clusters(
     done: list[DataFrame] = []
     while not active.isEmpty():
         placed = _nearest(points, active, snapshot)
-        means = placed.groupBy(*run, "cluster").agg(F.avg("px").alias("x"), F.avg("py").alias("y"))
+        mean = [F.round(F.avg(c), PLACES).alias(name) for c, name in (("px", "x"), ("py", "y"))]
+        means = placed.groupBy(*run, "cluster").agg(*mean)
         entry = F.struct("cluster", F.struct("x", "y").alias("c"))
         new = means.groupBy(*run).agg(F.map_from_entries(F.collect_list(entry)).alias("_new"))
         joined = active.join(new, run)
@@ -95,23 +104,18 @@ def snapshot_clusters(
     for more in done[1:]:
         final = final.unionByName(more)
     final = materialise(final)
-    errors = _nearest(points, final, snapshot).groupBy(*run).agg(F.sum("sq").alias("ssw")).join(final, run)
-    best = errors.groupBy(*snapshot, "k").agg(F.min_by(F.struct("centres", "ssw"), F.struct("ssw", "run")).alias("_b"))
-    best = best.select(*snapshot, "k", "_b.*")
     spread = attach(points, sizes, snapshot, "inner")
     dx, dy = F.col("px") - F.col("mx"), F.col("py") - F.col("my")
     total = spread.groupBy(*snapshot).agg(F.max("n").alias("n"), F.sum(dx * dx + dy * dy).alias("sst"))
-    scored = best.join(total, snapshot).withColumn(
-        "score",
-        F.coalesce(
-            F.try_divide(
-                (F.col("sst") - F.col("ssw")) / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))
-            ),
-            F.lit(float("inf")),
-        ),
-    )
+    errors = _nearest(points, final, snapshot).groupBy(*run).agg(F.sum("sq").alias("ssw")).join(final, run).join(total, snapshot)
+    left = F.round(F.coalesce(F.try_divide("ssw", "sst"), F.lit(0.0)), SHARE_PLACES)
+    errors = errors.withColumn("left", left)
+    best = errors.groupBy(*snapshot, "k").agg(F.min_by(F.struct("centres", "left", "n"), F.struct("left", "run")).alias("_b"))
+    best = best.select(*snapshot, "k", "_b.*")
+    score = F.try_divide((1 - F.col("left")) / (F.col("k") - 1), F.col("left") / (F.col("n") - F.col("k")))
+    scored = best.withColumn("score", F.coalesce(score, F.lit(float("inf"))))
     chosen = scored.groupBy(*snapshot).agg(
-        F.max_by(F.struct("centres", "k"), F.struct(F.col("score"), -F.col("k"))).alias("_c")
+        F.max_by(F.struct(F.sort_array("centres").alias("centres"), "k"), F.struct(F.col("score"), -F.col("k"))).alias("_c")
     )
     chosen = materialise(chosen.select(*snapshot, "_c.*"))
     return _nearest(points, chosen, snapshot).select(*snapshot, "animal_id", "px", "py", "k", "cluster")
