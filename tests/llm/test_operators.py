@@ -58,6 +58,28 @@ def test_lines_deletion_undoes_insertion(spark):
     assert narrow.may_hold(np.array([k["h2"] for k in keys])).sum() == common.count()
 
 
+@pytest.mark.parametrize("rows_per_probe", [400_000, 5])
+def test_lines_of_repeated_ids(spark, monkeypatch, rows_per_probe):
+    """Rows of one doc_id are one document; rows without one are documents of their own."""
+    monkeypatch.setattr(line_dedup, "ROWS_PER_PROBE", rows_per_probe)
+    rows = [(i % 6, f"shared by rows\neverywhere\nown {i}") for i in range(12)] + [(None, "everywhere\nnone")] * 4 + [(50 + i, "everywhere") for i in range(3)]
+    got = line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    want = [(d, "\n".join(x for x in t.split("\n") if x != "everywhere")) for d, t in rows]
+    assert sorted([(r["doc_id"], r["text"]) for r in got], key=repr) == sorted(want, key=repr)
+
+
+def test_lines_filters_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 50)
+    lines = [f"line {i}" for i in range(400)]
+    small = line_dedup.materialise(line_dedup.reference_counts(line_dedup.line_keys(docs(spark, ["\n".join(lines[:40])] * 2))))
+    more = line_dedup.line_keys(docs(spark, ["\n".join(lines)] * 2))
+    grown = line_dedup.materialise(line_dedup.insert(small, more))
+    filters, shards = line_dedup.follow(line_dedup.build_filters(line_dedup.materialise(small), 1), small, grown, 1, 2)
+    assert shards == 8 and filters.count() == 8
+    keys = line_dedup.materialise(more)
+    assert line_dedup.common_lines(keys, line_dedup.materialise(grown.filter("n >= 2")), filters, shards).count() == 800
+
+
 def test_cuckoo_filter():
     random.seed(3)
     keys = [(random.getrandbits(63), random.getrandbits(63)) for _ in range(5000)]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+UNKNOWN_BYTES = 1 << 50
+PART_BYTES = 64 << 20  # stored bytes of a table that one task of a shuffle should get
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -43,6 +45,16 @@ def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
+def shuffle_parts(df: DataFrame) -> int:
+    """Into how many parts the rows of ``df`` are shuffled: the session's number, more where the tables' stored bytes ask for it.
+
+    Spark's estimate for a table that is no file is far beyond UNKNOWN_BYTES; then the session's number holds.
+    """
+    stored = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if stored > UNKNOWN_BYTES else max(least, -(-stored // PART_BYTES))
+
+
 def as_text(column: str) -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

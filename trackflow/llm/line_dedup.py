@@ -10,8 +10,9 @@ filter over its common keys. The filters follow the counts: keys that become
 common are inserted, keys that cease to be common are deleted. Dropping lines asks the
 filter first; only lines it lets pass are looked up in the exact table.
 
-Every row is a document. Defined results: a null or empty text is one empty line; an
-empty key is never common; rows may repeat and doc_id may be null or repeated.
+Defined results: a null or empty text is one empty line; an empty key is never common. Rows of one doc_id are
+one document: all rows are inserted, then the references that they hold more than once are deleted again. A row
+without doc_id is a document of its own. Every row gets its result from its own text. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackflow.llm.frames import free_name, utf8, with_columns
-from trackflow.operators.tables import materialise, row_count
+from trackflow.llm.frames import shuffle_parts, utf8
+from trackflow.operators.tables import attach, materialise, row_count
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -143,16 +144,22 @@ def reference_counts(keys: DataFrame) -> DataFrame:
 
 def insert(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """The counts with more documents."""
-    return _changed(counts, keys, 1)
+    return _changed(counts, reference_counts(keys), 1)
 
 
 def delete(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """The counts without documents that were inserted; keys that no document has are gone."""
-    return _changed(counts, keys, -1)
+    return _changed(counts, reference_counts(keys), -1)
 
 
-def _changed(counts: DataFrame, keys: DataFrame, sign: int) -> DataFrame:
-    change = reference_counts(keys).withColumn("n", F.col("n") * sign)
+def surplus(keys: DataFrame) -> DataFrame:
+    """(h1, h2, n): how many references of a key come from further rows of a doc_id that has it already."""
+    rows = keys.filter("doc_id IS NOT NULL").groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter("n > 1").groupBy("h1", "h2").agg(F.sum(F.col("n") - 1).alias("n"))
+
+
+def _changed(counts: DataFrame, references: DataFrame, sign: int) -> DataFrame:
+    change = references.withColumn("n", F.col("n") * sign)
     return counts.unionByName(change).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
@@ -209,18 +216,30 @@ def shard_count(common: DataFrame) -> int:
     return max(1, math.ceil(row_count(common) / KEYS_PER_SHARD))
 
 
+def follow(filters: DataFrame, before: DataFrame, after: DataFrame, shards: int, min_docs: int) -> tuple[DataFrame, int]:
+    """The filters after a change of the counts, written, and their number of shards.
+
+    Shards that have grown to twice KEYS_PER_SHARD are dealt anew, from the exact table.
+    """
+    common = materialise(after.filter(F.col("n") >= min_docs))
+    wanted = shard_count(common)
+    if wanted > 2 * shards:
+        return materialise(build_filters(common, wanted)), wanted
+    return materialise(update_filters(filters, before, after, shards, min_docs)), shards
+
+
 def common_lines(keys: DataFrame, common: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """The rows of ``keys`` (written) whose key is in ``common``: the filter first, then the exact table.
 
-    Rows of a shard are dealt over as many parts as keep one part to ROWS_PER_PROBE rows, also if
-    every document had the same line.
+    A shard's rows are dealt over as many parts as keep one part to ROWS_PER_PROBE rows, also if every document
+    had the same line; its filter goes to these parts only.
     """
-    rows = row_count(keys)
-    parts = max(1, math.ceil(rows / ROWS_PER_PROBE))
     by = keys.select("doc_id", "h1", "h2", _shard(shards).alias("shard"))
-    by = by.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    spread = filters.withColumn("part", F.explode(every))
+    parts = F.ceil(F.count(F.lit(1)) / ROWS_PER_PROBE).cast("int").alias("parts")
+    dealt = materialise(by.groupBy("shard").agg(parts))
+    by = attach(by, dealt, ["shard"], "inner")
+    by = by.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).drop("parts")
+    spread = filters.join(dealt, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def probe(lines: pa.Table, held: pa.Table) -> pa.Table:
         lines = lines.select(["doc_id", "h1", "h2"])
@@ -266,7 +285,15 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     counts = materialise(reference_counts(keys))
     common = materialise(counts.filter(F.col("n") >= min_docs))
     shards = shard_count(common)
-    hits = common_lines(keys, common, build_filters(common, shards), shards)
+    filters = build_filters(common, shards)
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    repeated = materialise(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if row_count(repeated):
+        extra = surplus(attach(keys, repeated, ["doc_id"], "left_semi"))
+        fewer = materialise(_changed(counts, extra, -1))
+        filters, shards = follow(filters, counts, fewer, shards, min_docs)
+        common = materialise(fewer.filter(F.col("n") >= min_docs))
+    hits = common_lines(keys, common, filters, shards)
     drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
 
     others = [c for c in docs.columns if c.lower() not in (text.lower(), "n_lines", "n_dropped")]
@@ -276,6 +303,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
         F.col(doc_id).cast("long").alias("_id"),
         F.col(text).cast("string").alias("_text"),
     )
+    if not row_count(repeated):  # an id that repeats may be hot: then adaptive execution splits the join's partitions
+        left = left.repartition(shuffle_parts(docs), "_id")
     joined = left.join(drops, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(*inner, "_text", "_drops")
     kinds = [f"{i} {joined.schema[i].dataType.simpleString()}" for i in inner]
     cut = joined.mapInArrow(
