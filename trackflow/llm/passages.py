@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackflow.llm.frames import chunks, utf8
+from trackflow.llm.frames import chunks, shuffle_parts, utf8
 from trackflow.llm.words import BYTE_BASES, Sequences, Words, covered, window_starts
 
 WINDOW = 35
@@ -211,9 +211,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_words, n_removed, text) per row: the kept words joined by one space."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     packed = plain.mapInArrow(_blocks, "block long, doc_ids array<long>, texts binary")
-    parts = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # All three uses read the same columns, so that Spark shuffles the blocks once.
-    blocks = packed.repartition(parts, "block")
+    blocks = packed.repartition(shuffle_parts(plain), "block")
 
     anchors = blocks.mapInArrow(_give_anchors, "h1 long, block long, twice boolean")
     anchors = _seen(anchors, ["h1"]).filter("repeated").groupBy("block").agg(F.collect_list("h1").alias("anchors"))
