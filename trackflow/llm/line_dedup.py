@@ -286,7 +286,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
     common = materialise(counts.filter(F.col("n") >= min_docs))
     shards = shard_count(common)
     filters = build_filters(common, shards)
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     repeated = materialise(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
     if row_count(repeated):
         extra = surplus(attach(keys, repeated, ["doc_id"], "left_semi"))
@@ -304,7 +304,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, doc_id: str = "doc_id
         F.col(text).cast("string").alias("_text"),
     )
     if not row_count(repeated):  # an id that repeats may be hot: then adaptive execution splits the join's partitions
-        left = left.repartition(shuffle_parts(docs), "_id")
+        # The very expressions by which Spark compares ids that may be null, so that the join takes these parts as they are.
+        left = left.repartition(shuffle_parts(docs), F.coalesce("_id", F.lit(0).cast("long")), F.isnull("_id"))
     joined = left.join(drops, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(*inner, "_text", "_drops")
     kinds = [f"{i} {joined.schema[i].dataType.simpleString()}" for i in inner]
     cut = joined.mapInArrow(
