@@ -95,6 +95,17 @@ def test_odd_rows(spark):
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_repeated_ids_are_one_node(spark):
+    """Rows of one doc_id with different texts tie what their texts are linked with, over several such ids, too."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(5, 0), (7, 0), (7, 1), (8, 1), (8, 2), (3, 2), (None, 3), (None, 4), (20, 4), (9, 5), (9, 5), (30, 3)]
+    fps = [fingerprint_brute(t) for t in texts]
+    assert len(set(components_brute(fps))) == 6
+    got = simhash.classes(spark.createDataFrame([(i, texts[k]) for i, k in rows], "doc_id long, text string"))
+    want = sorted((fps[k], i or 0, {0: 3, 1: 3, 2: 3, 3: 30, 4: 20, 5: 9}[k]) for i, k in rows)
+    assert sorted((r["fp"] % (1 << 64), r["doc_id"] or 0, r["component_id"]) for r in got.collect()) == want
+
+
 def test_query(spark, tmp_path):
     texts = texts_of(random.Random(12))
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))

@@ -18,8 +18,9 @@ XXH64 hashes (seed 42).
    components as all pairs would have, and grow in proportion to the list.
 
 Defined results: a null text, an empty one or one without words has the fingerprint zero and is linked like any other. Every row
-is a document of its own, repeated rows and doc_ids, too. A row with a null doc_id links, but gives its component no name: the
-component is null if no other row is in it. An empty table gives no rows.
+keeps its own fingerprint, repeated rows and doc_ids, too; rows that share a doc_id are in one component, as whatever reaches one of them
+reaches that doc_id. A row with a null doc_id links, but gives its component no name: the component is null if no other row is in it.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,12 +174,25 @@ def links(fps: DataFrame) -> DataFrame:
     return components(found.unionByName(further)) if row_count(further) else labels
 
 
+def tied(signed: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``labelled`` (fp, low, component) with the components joined that one doc_id of ``signed`` (doc_id, fp) has rows in."""
+    ids = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("other"))
+    several = materialise(ids.filter("one != other").select("doc_id"))
+    if not row_count(several):
+        return labelled
+    met = materialise(signed.join(several, "doc_id").join(labelled, "fp").select("doc_id", "component").distinct())
+    least = met.groupBy("doc_id").agg(F.min("component").alias("least"))
+    over = components(met.join(least, "doc_id").select(F.col("component").alias("a"), F.col("least").alias("b")))
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    return materialise(labelled.join(over, "component", "left").select("fp", "low", F.coalesce("over", "component").alias("component")))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, fp, component_id), the smallest doc_id that links reach."""
     signed = materialise(fingerprints(docs, doc_id, text))
     distinct = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labelled = distinct.join(links(distinct.select("fp")).withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = materialise(labelled.select("fp", "low", F.coalesce("component", "fp").alias("component")))
+    labelled = tied(signed, materialise(labelled.select("fp", "low", F.coalesce("component", "fp").alias("component"))))
     lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     named = labelled.join(lowest, "component").select("fp", "component_id")
     return signed.join(named, "fp").select("doc_id", "fp", "component_id")
