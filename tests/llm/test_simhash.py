@@ -66,6 +66,16 @@ def test_links(spark, monkeypatch, limit):
         assert {frozenset(g) for g in found.values()} == want
 
 
+def test_dense_list_makes_few_links(spark):
+    """Of 41 fingerprints all linked with each other, a list makes a link each, not all 820 pairs."""
+    fps = sorted(simhash._signed((1 << 63) + sum(1 << b for b in range(20, 40)) ^ (1 << i)) for i in range(16, 56)) + [simhash._signed((1 << 63) + 5)]
+    lists = spark.createDataFrame([(b, sorted(fps)) for b in range(len(simhash.BLOCKS))], "block int, fps array<long>")
+    got = [tuple(r) for r in simhash.pairs(lists).collect()]
+    linked = [v for v in fps if v != fps[-1]]
+    assert len(got) == len(set(got)) < 2 * len(fps)
+    assert {r["component"] for r in simhash.components(spark.createDataFrame(got, "a long, b long")).collect()} == {min(linked)}
+
+
 def test_blocks():
     assert len(simhash.BLOCKS) == 14
     for gone in combinations(range(8), 3):

@@ -242,7 +242,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
         counted = materialise(_shared(pairs, sets))
         found = counted.filter(_possible(F.col("na"), F.col("nb"), F.col("shared"))).select("a", "b")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        labels = _joined(labels, found)
+        labels = joined(labels, found)
         rest = alive.join(hubs.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("component", "buckets")
         rest = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn == 1:
@@ -256,7 +256,7 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return labels
 
 
-def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """The components after the links ``found`` (written, a and b) between nodes."""
     if labels is None:
         return components(found)

@@ -10,7 +10,8 @@ XXH64 hashes (seed 42).
    numbers have exclusive or 0. Any three positions lie in one such set and the other four positions make another, so two fingerprints that
    share five bytes meet in a list of the index.
 3. In each list the shared positional bytes of a pair are tallied; pairs that reach five are verified by their differing bits.
-   A pair counts in its first common list only.
+   A pair counts in its first common list only, and a link of two fingerprints that a smaller one of the list is linked with is
+   left out, so a dense group makes few links a fingerprint, not all its pairs.
 4. Lists of more than LIST fingerprints make no pairs. Fingerprints at most one bit from a third value are linked through it (two bits
    apart at most), and such a value has 65 neighbours at most. Between what is not in one component yet, three bits are
    met half way: one bit from one end, two bits from the other, within the positions that the list leaves free. Each
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackflow.llm.frames import chunks, utf8
-from trackflow.llm.near_dedup import components
+from trackflow.llm.near_dedup import components, joined
 from trackflow.operators.tables import materialise, row_count
 
 WIDTH = 3
@@ -110,16 +111,25 @@ def postings(fps: DataFrame) -> DataFrame:
 
 
 def pairs(lists: DataFrame) -> DataFrame:
-    """Links (a, b) within lists (block, fps) of bounded size: tallied, then verified."""
+    """Links (a, b) within lists (block, fps) of bounded size, fps in order: tallied, then verified.
+
+    Of three fingerprints linked with each other the link of the two larger ones is left out: the least one connects them.
+    """
     masks = _any_of(MASKS)
 
     def link(a: Column, b: Column) -> Column:
         x = a.bitwiseXOR(b)
-        first = F.array_position(F.transform(masks, lambda m: x.bitwiseAND(m) == 0), True) == F.col("block") + 1
-        return (shared_bytes(x) >= MIN_BYTES) & (F.bit_count(x) <= BITS) & first
+        return (shared_bytes(x) >= MIN_BYTES) & (F.bit_count(x) <= BITS)
+
+    def first(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        return F.array_position(F.transform(masks, lambda m: x.bitwiseAND(m) == 0), True) == F.col("block") + 1
 
     def of(a: Column, i: Column) -> Column:
-        return F.transform(F.filter(F.slice("fps", F.lit(1), i), lambda b: link(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))
+        close = F.filter(F.slice("fps", F.lit(1), i), lambda b: link(a, b))
+        # In an array of one, so that it is worked out once.
+        apart = lambda bs: F.filter(bs, lambda b, j: first(a, b) & ~F.exists(F.slice(bs, F.lit(1), j), lambda c: link(b, c)))
+        return F.flatten(F.transform(F.array(close), lambda bs: F.transform(apart(bs), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
     return lists.select("block", F.explode(F.flatten(F.transform("fps", of))).alias("p")).select("p.a", "p.b")
 
@@ -161,7 +171,7 @@ def links(fps: DataFrame) -> DataFrame:
     filed = postings(fps)
     sizes = materialise(filed.groupBy(*key).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     small = filed.join(sizes.filter(F.col("size") <= LIST).select(*key), key)
-    lists = small.groupBy(*key).agg(F.collect_list("fp").alias("fps"))
+    lists = small.groupBy(*key).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     found = pairs(lists)
     large = sizes.filter(F.col("size") > LIST).select(*key)
     if large.isEmpty():
@@ -171,7 +181,7 @@ def links(fps: DataFrame) -> DataFrame:
     labels = components(found)
     named = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     further = materialise(far_links(named.select(*key, "fp", "label")))
-    return components(found.unionByName(further)) if row_count(further) else labels
+    return joined(labels, further)
 
 
 def tied(signed: DataFrame, labelled: DataFrame) -> DataFrame:
