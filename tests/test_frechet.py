@@ -4,6 +4,7 @@ import math
 import random
 from functools import lru_cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,52 @@ def test_frechet_long_tracks(spark, fixes):
     assert frechet.frechet_pairs(fixes(rows), ["session_id"]).head()["frechet"] == pytest.approx(best[-1][-1])
 
 
+def test_long_ways_to_and_fro_fill_little_of_the_table(monkeypatch):
+    """Tracks that go to and fro ten times as often take about ten times the cells, not a hundred times."""
+    filled = []
+    gap2 = frechet._gap2
+    monkeypatch.setattr(frechet, "_gap2", lambda dx, dy: (filled.append(dx.size if dx.ndim == 2 else 0), gap2(dx, dy))[1])
+
+    def cells(trips):
+        r = random.Random(trips)
+        ways = [np.array([[700 * abs(1 - i % 40 / 20), r.randrange(9)] for i in range(40 * trips)]).T for _ in range(3)]
+        filled.clear()
+        got = frechet.distances(ways, ways, np.array([(0, 1), (0, 2), (1, 2)]))
+        return sum(filled), ways, got
+
+    few, ways, got = cells(5)
+    assert list(got) == pytest.approx([frechet_brute(*(tuple(map(tuple, ways[i].T.tolist())) for i in ij)) for ij in ((0, 1), (0, 2), (1, 2))])
+    assert cells(50)[0] < 20 * few
+
+
+@pytest.mark.parametrize("within", [None, 3.0, 9.0])
+def test_distances_of_odd_tracks(within):
+    """Lengths from one place on, far tracks, and places that are no number."""
+    r = random.Random(7)
+    ways = [np.array(walk(r, n), float).T for n in (1, 1, 2, 3, 30, 31, 90, 200, 33)]
+    ways[8][0] += 1e6
+    pairs = np.array([(i, j) for i in range(9) for j in range(i + 1, 9)])
+    got = frechet.distances(ways, ways, pairs, within)
+    want = [frechet_brute(*(tuple(map(tuple, ways[i].T.tolist())) for i in ij)) for ij in pairs]
+    near = [within is None or w <= within for w in want]
+    assert [g for g, b in zip(got, near) if b] == pytest.approx([w for w, b in zip(want, near) if b])
+    assert not any(g <= within for g, b in zip(got, near) if not b)
+    ways[5][1, 3] = math.nan
+    lost = frechet.distances(ways, ways, np.array([(4, 5), (4, 6)]))
+    assert math.isnan(lost[0]) and lost[1] == pytest.approx(want[pairs.tolist().index([4, 6])])
+
+
+def test_more_blocks_than_tracks(spark, fixes, monkeypatch):
+    """Blocks by places: some have no track; a session without a name has no pairs."""
+    monkeypatch.setattr(frechet, "BLOCK_POINTS", 8)
+    r = random.Random(4)
+    walks = {f"HO{i:02d}": walk(r, 20 + i) for i in range(6)}
+    rows = [(s, a, f"10:00:{i:02d}", x, y) for s in ("s", None) for a, w in walks.items() for i, (x, y) in enumerate(w)]
+    got = frechet.frechet_pairs(fixes(rows), ["session_id"]).collect()
+    want = {("s", a, b): frechet_brute(tuple(p), tuple(q)) for a, p in walks.items() for b, q in walks.items() if a < b}
+    assert len(got) == len(want) and {(x["session_id"], x["a"], x["b"]): x["frechet"] for x in got} == pytest.approx(want)
+
+
 def test_too_long_tracks_are_an_error(spark, fixes, monkeypatch):
     monkeypatch.setattr(frechet, "MAX_POINTS", 2)
     rows = [("s", a, f"10:00:0{i}", i, 0) for a in ("HO01", "HO02") for i in range(3)]

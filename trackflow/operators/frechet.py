@@ -1,13 +1,23 @@
 """Discrete Fréchet distance of tracks: the least largest gap of two walkers who each pass their fixes in order.
 
-The table of the dynamic program is filled by anti-diagonals. A diagonal depends on the two before it only, so it is one
-``transform`` over array columns, and the fold over all diagonals keeps two of them. Nothing leaves the JVM.
+The table of the dynamic program is filled by anti-diagonals. A diagonal depends on the two before it only, so three are kept.
+``discrete_frechet`` does this for one pair as column expressions. ``frechet_pairs`` takes the tracks of every two
+blocks as one group of a cogroup and works out the diagonals of many pairs at once with numpy. There the distance of a
+walk that greedily takes the nearest next places is an upper bound, and cells beyond it lie on no best walk: a diagonal is filled
+from the first to the last cell that is within the bound only.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trackflow.operators.ordered import neighbours, time_chunk
 from trackflow.operators.tables import attach, materialise
@@ -16,6 +26,12 @@ from trackflow.operators.trajectory import ORDER
 # A track is one array. Longer ones are an error; thin them in time first.
 MAX_POINTS = 100_000
 BLOCK = 16  # tracks that meet another block's tracks in one row
+BLOCK_POINTS = 1 << 15  # places that a block should have together, so that long tracks are spread over more groups
+MOST_PAIRS, MOST_PLACES = 128, 1 << 19  # pairs, and places of either side, that are worked out at once
+TRIM = 8  # diagonals between two looks at which cells are within the bound
+
+# Python workers may start in a folder from which the package cannot be imported.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def lines(fixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,21 +85,29 @@ def discrete_frechet(p: Column, q: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(filled))
 
 
+def _halves(made: DataFrame, group: list[str], by: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """The tracks of every two blocks b1 <= b2 of a group: (*group, b1, b2, l1) and (*group, b1, b2, l2)."""
+    held = materialise(made)
+    parts = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(F.size("points").cast("long")) / F.lit(BLOCK_POINTS))
+    sizes = materialise(held.groupBy(*group).agg(F.ceil(parts).alias("_parts")))
+    dealt = attach(held, sizes, group).withColumn("_b", F.pmod(F.xxhash64(by), F.col("_parts")))
+    line = F.struct(*[c for c in made.columns if c not in group])
+    blocks = materialise(dealt.groupBy(*group, "_b").agg(F.collect_list(line).alias("ls")))
+    present = materialise(blocks.groupBy(*group).agg(F.collect_set("_b").alias("_every")))
+    blocks, every = attach(blocks, present, group, "inner"), F.col("_every")
+    left = blocks.select(*group, F.col("_b").alias("b1"), F.explode(every).alias("b2"), F.col("ls").alias("l1"))
+    right = blocks.select(*group, F.explode(every).alias("b1"), F.col("_b").alias("b2"), F.col("ls").alias("l2"))
+    return left.filter("b1 <= b2"), right.filter("b1 <= b2")
+
+
 def line_pairs(made: DataFrame, group: list[str], by: str = "animal_id", block: int = BLOCK) -> DataFrame:
     """Every two tracks of a group: (*group, one, two), structs of the other columns of ``lines`` with one.by < two.by.
 
     Tracks are dealt into blocks, and every two blocks meet in one row, so a track is sent once per block of its
     group rather than once per pair.
     """
-    held = materialise(made)
-    sizes = materialise(held.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_parts")))
-    dealt = attach(held, sizes, group).withColumn("_b", F.pmod(F.xxhash64(by), F.col("_parts")))
-    line = F.struct(*[c for c in made.columns if c not in group])
-    blocks = materialise(dealt.groupBy(*group, "_b").agg(F.collect_list(line).alias("ls"), F.first("_parts").alias("_parts")))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)
-    left = blocks.select(*group, F.col("_b").alias("b1"), F.explode(every).alias("b2"), F.col("ls").alias("l1"))
-    right = blocks.select(*group, F.col("_b").alias("b2"), F.explode(every).alias("b1"), F.col("ls").alias("l2"))
-    met = left.filter("b1 <= b2").join(right.filter("b1 <= b2"), [*group, "b1", "b2"])
+    left, right = _halves(made, group, by, block)
+    met = left.join(right, [*group, "b1", "b2"])
 
     def others(one: Column) -> Column:
         fresh = F.filter("l2", lambda two: (F.col("b1") < F.col("b2")) | (one[by] < two[by]))
@@ -105,17 +129,146 @@ def least_possible(one: Column, two: Column) -> Column:
     return F.greatest(*sides, *ends)
 
 
+def _gap2(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    return dx * dx + dy * dy
+
+
+def _greedy(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distance of a walk that always takes the nearest of the next places; an upper bound for each pair."""
+    (_, n, pairs), m = p.shape, q.shape[1]
+    of = np.arange(pairs)
+    i, j = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    most = _gap2(q[0, 0] - p[0, 0], q[1, 0] - p[1, 0])
+    while (i + j).min() < n + m - 2:
+        a, b = np.minimum(i + 1, n - 1), np.minimum(j + 1, m - 1)
+        ways = np.array([_gap2(q[0, v, of] - p[0, u, of], q[1, v, of] - p[1, u, of]) for u, v in ((a, b), (a, j), (i, b))])
+        # At the end of one track a step along it alone would stand still.
+        ways[1][(i == n - 1) & (j < m - 1)] = np.inf
+        ways[2][(j == m - 1) & (i < n - 1)] = np.inf
+        best = ways.argmin(axis=0)
+        i, j = np.where(best == 2, i, a), np.where(best == 1, j, b)
+        most = np.maximum(most, ways[best, of])
+    return most
+
+
+def _squares(p: np.ndarray, q: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of pairs of tracks of the same lengths, ``p`` (2, n, pairs) and ``q`` (2, m, pairs).
+
+    With a ``bound`` (squared, for each pair) those beyond it need not be right, but are beyond it or NaN; without one all are right.
+    A cell that cannot be reached is NaN, which ``fmin`` passes over and ``maximum`` keeps.
+    """
+    (_, n, pairs), m = p.shape, q.shape[1]
+    limit = _greedy(p, q) if bound is None else bound
+    trims = bool(np.isfinite(limit).all())
+    turned = np.ascontiguousarray(q[:, ::-1])
+    # Cell (i, k - i) of diagonal k is row i + 1; ``held`` are the rows that a diagonal has filled.
+    kept, held = np.full((3, n + 1, pairs), np.nan), [(0, 0)] * 3
+    low, high = 0, 1  # rows i of the diagonal
+    for k in range(n + m - 1):
+        now, last, before = kept[k % 3], kept[(k - 1) % 3], kept[(k - 2) % 3]
+        now[slice(*held[k % 3])] = np.nan
+        if k:
+            low, high = max(low, k - m + 1), min(high + 1, n, k + 1)
+        if low >= high:
+            return np.full(pairs, np.nan)
+        shift = m - 1 - k
+        gaps = _gap2(turned[0, shift + low : shift + high] - p[0, low:high], turned[1, shift + low : shift + high] - p[1, low:high])
+        if k:
+            come = np.fmin(last[low + 1 : high + 1], last[low:high])
+            np.fmin(come, before[low:high], out=come)
+            np.maximum(gaps, come, out=gaps)
+        now[low + 1 : high + 1] = gaps
+        held[k % 3] = (low + 1, high + 1)
+        if trims and k % TRIM == 0:
+            # A next cell comes from this diagonal or the one before.
+            near = (gaps <= limit).any(axis=1)
+            near[: high - low] |= (last[low + 1 : high + 1] <= limit).any(axis=1)
+            alive = np.flatnonzero(near)
+            if not len(alive):
+                return np.full(pairs, np.nan)
+            low, high = low + int(alive[0]), low + int(alive[-1]) + 1
+    return kept[(n + m - 2) % 3][n]
+
+
+def _padded(tracks: list[np.ndarray]) -> np.ndarray:
+    """Tracks (2, length) as one array (2, longest, tracks): the shorter ones stand still at their end, which changes no distance."""
+    longest = max(t.shape[1] for t in tracks)
+    return np.stack([np.pad(t, ((0, 0), (0, longest - t.shape[1])), mode="edge") for t in tracks], axis=2)
+
+
+def distances(ones: list[np.ndarray], twos: list[np.ndarray], pairs: np.ndarray, within: float | None = None) -> np.ndarray:
+    """The distance of each pair (row of numbers in ``ones`` and ``twos``) of tracks (2, length); with a bound, NaN for those beyond it."""
+    found = np.full(len(pairs), np.nan)
+    if within is not None:
+        # Beyond the bound are first and last places, or sides of boxes, that are further apart: no table is filled.
+        ends, boxes = ([np.array([f(t) for t in side]) for side in (ones, twos)] for f in (lambda t: t[:, [0, -1]], lambda t: np.stack([t.min(axis=1), t.max(axis=1)])))
+        a, b = pairs[:, 0], pairs[:, 1]
+        steps = ends[1][b] - ends[0][a]
+        apart = np.sqrt(_gap2(steps[:, 0], steps[:, 1])).max(axis=1)
+        sides = np.abs(boxes[1][b] - boxes[0][a]).max(axis=(1, 2))
+        order = np.flatnonzero(~(np.maximum(apart, sides) > within))
+    else:
+        order = np.arange(len(pairs))
+    sizes = np.array([(ones[i].shape[1], twos[j].shape[1]) for i, j in pairs[order]]).reshape(-1, 2)
+    by_size = np.lexsort((sizes[:, 1], sizes[:, 0]))
+    order, longest, at = order[by_size], sizes.max(axis=1)[by_size], 0
+    while at < len(order):
+        # Tracks of up to a quarter more places are padded together.
+        n = MOST_PAIRS
+        while n > 1 and (at + n > len(order) or n * longest[at : at + n].max() > MOST_PLACES or longest[at : at + n].max() > 64 + 1.25 * longest[at : at + n].min()):
+            n //= 2
+        some = order[at : at + n]
+        p, q = _padded([ones[i] for i in pairs[some, 0]]), _padded([twos[j] for j in pairs[some, 1]])
+        # A little above the square, so that rounding leaves nothing out; the caller compares the distances.
+        bound = None if within is None else np.full(len(some), within * within * (1 + 1e-9))
+        found[some] = np.sqrt(_squares(p, q, bound))
+        at += n
+    return found
+
+
+def _tracks(side: pa.ChunkedArray, by: str) -> tuple[pa.Array, list[np.ndarray]]:
+    """The animals and the places (2, length) of a side's only row."""
+    held = side.combine_chunks()
+    held = held.flatten() if not isinstance(held, pa.ChunkedArray) else held.chunk(0).flatten()
+    fields = dict(zip([f.name for f in held.type], held.flatten()))
+    points = fields["points"]
+    places = dict(zip([f.name for f in points.values.type], points.values.flatten()))
+    xy = np.stack([places[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+    ends = points.offsets.to_numpy()
+    return fields[by], [xy[:, a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _of_blocks(group: list[str], by: str, within: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, ones), (b, twos) = _tracks(left["l1"], by), _tracks(right["l2"], by)
+        if left["b1"][0] == left["b2"][0]:
+            # Both sides are one block; their order may differ.
+            b, twos = a, ones
+            pairs = np.stack(np.triu_indices(len(ones), 1), axis=1)
+        else:
+            pairs = np.stack([v.ravel() for v in np.indices((len(ones), len(twos)))], axis=1)
+        far = distances(ones, twos, pairs, within)
+        if within is not None:
+            pairs, far = pairs[far <= within], far[far <= within]
+        first = pa.array(np.zeros(len(pairs), np.int64))
+        columns = [left[g].take(first) for g in group] + [a.take(pa.array(pairs[:, 0])), b.take(pa.array(pairs[:, 1])), pa.array(far, pa.float64())]
+        return pa.table(columns, [*group, "_one", "_two", "frechet"])
+
+    return found
+
+
 def frechet_pairs(fixes: DataFrame, group: list[str], within: float | None = None, by: str = "animal_id") -> DataFrame:
     """(*group, a, b, frechet) of every two animals of a group, or of those at most ``within`` apart.
 
-    With a bound, pairs whose lower bound is beyond it fill no table.
+    With a bound, pairs whose lower bound (``least_possible``) is beyond it fill no table, and a table is left once a diagonal has no cell within it.
     """
-    met = line_pairs(lines(fixes, [*group, by]), group, by)
-    one, two = F.col("one"), F.col("two")
-    if within is not None:
-        met = met.filter(least_possible(one, two) <= within)
-    found = met.select(*group, one[by].alias("a"), two[by].alias("b"), discrete_frechet(one["points"], two["points"]).alias("frechet"))
-    return found if within is None else found.filter(F.col("frechet") <= within)
+    made = lines(fixes, [*group, by]).filter(F.col(by).isNotNull())
+    left, right = _halves(made, group, by, BLOCK)
+    key = [*group, "b1", "b2"]
+    kinds = StructType([left.schema[g] for g in group] + [StructField(c, made.schema[by].dataType) for c in ("_one", "_two")] + [StructField("frechet", DoubleType())])
+    right = right.toDF(*right.columns)  # columns of its own: both sides read one table
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_of_blocks(group, by, within), kinds)
+    return found.select(*group, F.least("_one", "_two").alias("a"), F.greatest("_one", "_two").alias("b"), "frechet")
 
 
 def mean_frechet(fixes: DataFrame, group: list[str], by: str = "animal_id") -> DataFrame:
