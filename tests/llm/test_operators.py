@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackflow.llm import language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, queries, topk
+from trackflow.llm import frames, language, line_dedup, mixing, near_dedup, page_text, passages, personal_data, pieces, quality, queries, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double"
@@ -343,6 +343,38 @@ def test_language_stage_labels(spark):
     assert language.keep_known(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("step", ["language", "pieces"])
+def test_batches_bounded(spark, monkeypatch, tmp_path, step):
+    """Python workers get a few MB of texts at once, not 10,000 texts of any length; a lower limit of the session stays."""
+    module, note = {"language": language, "pieces": pieces}[step], tmp_path / "batches"
+
+    def noted(sizes, *limit):
+        with open(note, "a") as f:
+            f.write(f"{sum(sizes)}\n")
+        return frames.chunks(sizes, *limit)
+
+    def largest():
+        note.write_text("")
+        if step == "language":
+            rows = language.predictions(table, {"en": "the cat sat"})
+        else:
+            rows = pieces.encoded(table, pieces.read_model(queries.PIECES), keep=["doc_id"])
+        assert rows.count() == 600
+        batches = list(map(int, note.read_text().split()))
+        assert sum(batches) == 600 * 20_000
+        return max(batches)
+
+    monkeypatch.setattr(module, "chunks", noted)
+    table = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the cat sa "), 2000).substr(1, 20_000).alias("text"))
+    before = spark.conf.get(frames.BATCH_LIMIT, None)
+    try:
+        assert largest() <= frames.BATCH_BYTES + 40_000
+        spark.conf.set(frames.BATCH_LIMIT, "1m")
+        assert largest() <= (1 << 20) + 40_000 and spark.conf.get(frames.BATCH_LIMIT) == "1m"
+    finally:
+        spark.conf.unset(frames.BATCH_LIMIT) if before is None else spark.conf.set(frames.BATCH_LIMIT, before)
+
+
 def test_language_held_out(spark):
     found = queries.op5(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     share = found.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20  # of the rows that a Python worker gets at once
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 UNKNOWN_BYTES = 1 << 50
 PART_BYTES = 64 << 20  # stored bytes of a table that one task of a shuffle should get
 
@@ -45,6 +48,26 @@ def chunks(sizes: Sequence[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends rows to Python workers in batches of about BATCH_BYTES, or the limit it has if that is less.
+
+    Without a limit in bytes a batch is 10,000 rows however long their texts, and an executor holds it for every core,
+    in the JVM (up to three times, as its buffers grow by doubling) and in the worker.
+    """
+    has = spark.conf.get(BATCH_LIMIT, None)
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if has is None or not 0 < bytes_of(has) <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of freed memory; a worker lives on and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def shuffle_parts(df: DataFrame) -> int:
     """Into how many parts the rows of ``df`` are shuffled: the session's number, more where the tables' stored bytes ask for it.
 

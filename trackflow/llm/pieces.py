@@ -35,7 +35,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackflow.llm.frames import chunks
+from trackflow.llm.frames import bound_batches, chunks, give_back
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
@@ -447,7 +447,13 @@ def encoded(docs: DataFrame, model: bytes, n_best: int = 4, text: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 scores = pa.array([[score for score, _ in found] for found in options], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, scores, pa.array(options, pa.list_(option))], ["row", "pieces", "scores", "n_best"])
+                del part, ids, options, lists, scores
+            del batch
+            give_back()
+        del pieces
+        give_back()
 
+    bound_batches(docs.sparkSession)
     return row.mapInArrow(encode, f"row {kind}, pieces array<int>, scores array<double>, n_best array<struct<score double, changes {CHANGES}>>")
 
 
