@@ -512,6 +512,44 @@ def test_topk(spark):
     assert topk.search(topk.build_index(empty), empty, 5).count() == 0
 
 
+def test_topk_blocks_bounded(spark, monkeypatch, tmp_path):
+    """A worker gets a block of rows once, however many blocks of queries it meets, and a few blocks at once; many blocks give the rows that one gives."""
+    r = np.random.default_rng(6)
+    whole = {i: r.integers(-300, 300, 12 if i % 7 else 3) for i in range(0, 6000, 2)}
+    table = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in whole.items()], "vec_id long, embedding array<double>").repartition(3)
+    note, plain = str(tmp_path / "batches"), type(table).mapInArrow
+
+    def noted(self, f, schema):
+        def seen(batches):
+            for batch in batches:
+                with open(note, "a") as out:
+                    out.write("".join(f"{batch.column(c).nbytes}\n" for c in range(batch.num_columns) if str(batch.column(c).type) == "binary"))
+                yield batch
+
+        return plain(self, lambda batches: f(seen(batches)), schema)
+
+    monkeypatch.setattr(type(table), "mapInArrow", noted)
+    monkeypatch.setattr(topk, "ROWS_PER_BLOCK", 300)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 2)
+    monkeypatch.setattr(topk, "HELD_NUMBERS", 600, raising=False)
+    monkeypatch.setattr(frames, "BATCH_BYTES", 10_000)
+    before = spark.conf.get(frames.BATCH_LIMIT, None)
+    try:
+        spark.conf.unset(frames.BATCH_LIMIT)
+        index = topk.build_index(table)
+        largest = index.agg(F.max(F.length("data")), F.sum(F.length("data")), F.count("data")).head()
+        got = topk.search(index, table.filter("vec_id % 16 = 0"), 5).collect()
+    finally:
+        spark.conf.unset(frames.BATCH_LIMIT) if before is None else spark.conf.set(frames.BATCH_LIMIT, before)
+    sizes = [int(x) for x in open(note)]
+    assert largest[2] >= 10 and max(sizes) <= 12_000 + largest[0]
+    # 375 queries in 188 blocks or more: each of 32 parts gets the index at most once, each of 16 slots the queries.
+    assert sum(sizes) <= 32 * (largest[1] + 4 * largest[2]) + 16 * 375 * 8 * 14
+    for q in range(0, 6000, 16):
+        want = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got if x["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_topk_large_components(spark):
     r = random.Random(5)
     rows = [(i, [0.0] + [r.choice([1, 1e3, 1e5, 3e6]) * r.uniform(-1, 1) for _ in range(5)]) for i in range(300)]
