@@ -95,13 +95,12 @@ class Slices:
         weights = (np.uint64(1) << np.arange(self.planes.shape[1], dtype=np.uint64))[None, :, None]
         return ((bit * weights).sum(axis=1, dtype=np.uint64) + self.lowest.view(np.uint64)[:, None]).view(np.int64).T
 
-    def scores(self, query: list[int]) -> np.ndarray:
+    def scores(self, query: np.ndarray) -> np.ndarray:
         """The slices, least first, of the inner product less a constant that all rows share."""
         dims, bits, words = self.planes.shape
-        digits = sorted((minus, shift, d) for d, q in enumerate(query) for shift, minus in signed_digits(q))
-        if not digits:
+        minus, shift, d = signed_digits(query)
+        if not len(d):
             return np.zeros((0, words), np.uint64)
-        minus, shift, d = (np.array(x) for x in zip(*digits))
         last = int(shift.max()) + bits - 1
         own = []  # by weight: the attributes' slices, and how many of them are added as they are
         sizes = []  # by weight: how many slices of its own and how many carries it has
@@ -143,7 +142,7 @@ class Slices:
             open_[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
         sure = np.zeros_like(open_)
         if count(open_) > k:
-            for plane in reversed(self.scores(query.tolist())):
+            for plane in reversed(self.scores(query)):
                 high = open_ & plane
                 n = count(sure | high)
                 if n > k:
@@ -173,16 +172,14 @@ def exact_products(values: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array(wide, np.int64)
 
 
-def signed_digits(value: int) -> Iterator[tuple[int, bool]]:
-    """The non-adjacent form: (shift, is minus) with value = sum of +-2**shift."""
-    shift = 0
-    while value:
-        if value & 1:
-            digit = 2 - (value & 3)
-            yield shift, digit < 0
-            value -= digit
-        value >>= 1
-        shift += 1
+def signed_digits(query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The non-adjacent form: (is minus, shift, attribute) of each digit, with value = sum of +-2**shift; the minus ones last."""
+    value = query if -(1 << 62) <= int(query.min()) and int(query.max()) < 1 << 62 else query.astype(object)  # whole numbers of any size
+    half = value >> 1
+    more = value + half
+    shifts = np.arange(max(int(x).bit_length() for x in (more.min(), more.max())) + 1)[:, None]
+    plus, minus = (np.nonzero(((bits >> shifts) & 1).astype(bool)) for bits in (more & ~half, half & ~more))
+    return np.arange(len(plus[0]) + len(minus[0])) >= len(plus[0]), *(np.concatenate(x) for x in zip(plus, minus))
 
 
 def count(bitmap: np.ndarray) -> int:
